@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import mixing, sharding
+from glimmer.llm import fingerprints, mixing, packing, sharding
 from glimmer.llm.tables import documents
 
 
+def tokenizer_path() -> str:
+    """The default vocabulary: the public byte-level BPE file that the machine offers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -44,6 +59,8 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
+    "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op10_sharding": op10_sharding,
 }
