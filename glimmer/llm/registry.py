@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import fingerprints, mixing, packing, sharding
+from glimmer.llm import fingerprints, mixing, packing, sharding, substrings
 from glimmer.llm.tables import documents
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir), as_digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -58,10 +62,24 @@ SELECT doc_id, size, source_size, target,
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
 
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS m FROM s),
+k AS (SELECT m FROM h GROUP BY m HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM h JOIN k USING (m)),
+g AS (SELECT r, list(i) AS gone FROM c GROUP BY r),
+e AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (r))
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN len(gone) = 0 THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM e
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op5_mixing": OP5_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,8 +34,23 @@ class Saved:
         out.saved_at = path
         return out
 
+    def bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        """A table whose groups by `column` need no further shuffle."""
+        name, path = f"saved_{uuid.uuid4().hex}", f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
+        df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out.saved_at, out.saved_as = path, name
+        return out
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps: it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that no later step reads."""
+        if getattr(df, "saved_as", None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {df.saved_as}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
