@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import fingerprints, minhash, mixing, packing, sharding, substrings
+from glimmer.llm import fingerprints, lines, minhash, mixing, packing, sharding, substrings
 from glimmer.llm.tables import documents
 
 
@@ -34,6 +34,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, sf_dir), as_digest=True).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_sharding": op10_sharding,
 }
