@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import fingerprints, lines, minhash, mixing, neighbours, packing, sharding, substrings
+from glimmer.llm import fingerprints, language, lines, minhash, mixing, neighbours, packing, sharding, substrings
 from glimmer.llm.tables import documents
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_held_out(documents(spark, sf_dir))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir), as_digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -104,6 +108,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
