@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import fingerprints, language, lines, minhash, mixing, neighbours, packing, sharding, substrings
+from glimmer.llm import fingerprints, language, lines, minhash, mixing, neighbours, packing, sharding, substrings, toxicity
 from glimmer.llm.tables import documents
 
 
@@ -42,6 +42,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(documents(spark, sf_dir), as_digest=True).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict_held_out(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_nearest": op8_nearest,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_sharding": op10_sharding,
