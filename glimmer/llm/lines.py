@@ -258,12 +258,12 @@ def _summed(packed: list[bytes]) -> np.ndarray:
     return np.bincount(both[0], both[1], 1 << TABLE_BITS)
 
 
-def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, rows_per_bucket: int = 4000) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, carry: tuple[str, ...] = (), rows_per_bucket: int = 4000) -> DataFrame:
     """docs(doc_id, text, ...) without the lines that repeat an earlier one, nearly or exactly.
 
     Returns for each row doc_id, n_lines, n_removed (long), removed (array<int>,
     the numbers of the lines that go, from 0) and kept: the lines left, joined by newlines, or with
-    as_digest kept_sha256, the hash of that.  A line goes if an earlier one, in
+    as_digest kept_sha256, the hash of that; and the columns named in carry.  A line goes if an earlier one, in
     the order of doc_id and line number, has a Jaccard similarity of words of
     percent/100 or more with it, whether that one stays or not.
 
@@ -279,7 +279,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, row
     save = Saved(spark)
     text = F.col("text").cast("string")
     late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), F.col("doc_id").isNull().alias("unnamed"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), F.col("doc_id").isNull().alias("unnamed"), text.alias("text"), F.struct(F.lit(0).alias("glimmer"), *carry).alias("carried"))
     n_rows = rows.count()
     rows = save.bucketed(rows, "doc", max(1, math.ceil(n_rows / rows_per_bucket)))
     save.release()
@@ -420,7 +420,9 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, row
                 drop = set(numbers)
                 left = b"\n".join(x for i, x in enumerate(split) if i not in drop)
                 kept.append(hashlib.sha256(left).hexdigest() if as_digest else None if raw is None else left.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_removed", "removed", name])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string()), batch.column("carried")], ["doc_id", "n_lines", "n_removed", "removed", name, "carried"])
 
     named = F.when(~F.col("unnamed"), F.col("doc")).alias("doc_id")
-    return rows.join(gone, "doc", "left").select(named, "text", "removed").mapInArrow(finish, f"doc_id long, n_lines long, n_removed long, removed array<int>, {name} string")
+    out = rows.join(gone, "doc", "left").select(named, "text", "removed", "carried")
+    out = out.mapInArrow(finish, f"doc_id long, n_lines long, n_removed long, removed array<int>, {name} string, carried {rows.schema['carried'].dataType.simpleString()}")
+    return out.select("doc_id", "n_lines", "n_removed", "removed", name, *(F.col("carried")[c].alias(c) for c in carry))

@@ -173,5 +173,7 @@ def mix(docs: DataFrame, levels: int = 4, seed: int = 1, **more) -> DataFrame:
     part = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("mix_draw.words").cast("int")))
     rows = rows.withColumn("text", F.when(F.col("mix_draw.words") < F.col("mix_size"), part).otherwise(F.col("text"))).withColumn("mix_shard", F.col("mix_draw.shard"))
     rows = rows.withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_key", "mix_draw.copy"))
-    spread = max(4, 1 << levels)
-    return rows.repartition(spread, "mix_shard").sortWithinPartitions("mix_shard", "mix_order").select(*docs.columns, "mix_shard")
+    # A shard's documents are dealt by the first bits of their order to as many tasks as a shuffle has.
+    tasks = max(1 << levels, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.shiftrightunsigned("mix_order", 64 - max(1, (tasks >> levels).bit_length()))
+    return rows.withColumn("mix_part", part).repartition(tasks, "mix_shard", "mix_part").sortWithinPartitions("mix_shard", "mix_part", "mix_order").select(*docs.columns, "mix_shard")
