@@ -182,7 +182,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, first: int = 18, as_digest
             packed = [np.frombuffer(p.as_buffer(), kind) for p in table["packed"]]
             flags = _repeated(np.concatenate(packed))
             each = np.split(flags, np.cumsum([len(p) for p in packed])[:-1])
-            kept = [i for i, f in enumerate(each) if f.any()]
+            kept = np.array([i for i, f in enumerate(each) if f.any()], np.int64)
             return pa.table({"part": table["part"].take(kept), "level": pa.array([k] * len(kept), pa.int32()), "range": table["range"].take(kept), "flags": pa.array([np.packbits(each[i]).tobytes() for i in kept], pa.binary())})
 
         return answer
