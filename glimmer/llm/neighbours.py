@@ -23,7 +23,7 @@ from glimmer.llm.tables import Saved
 #: Rows of the sample that the tree is fitted on, and queries that the visits are calibrated on, at most about.
 SAMPLE, CALIBRATION = 32_768, 256
 #: Children of a node, rows of a leaf as fitted, leaves of the tree at most, and rows of a block within a leaf.
-BRANCHES, LEAF_ROWS, MOST_LEAVES, BLOCK = 8, 512, 4096, 8192
+BRANCHES, LEAF_ROWS, MOST_LEAVES, BLOCK = 8, 1024, 4096, 8192
 
 
 class Tree:
@@ -91,21 +91,34 @@ def _kmeans(rows: np.ndarray, k: int, rng, rounds: int = 8) -> list[np.ndarray]:
 
 
 def best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query_id, ids, scores) of each query's k best rows but itself, ties to the smaller id; scores are sums of products in a fixed order."""
-    for begin in range(0, len(queries), 512):
-        some = queries[begin : begin + 512]
+    """(numbers of queries, their hits, ids, scores): each query's k best rows but itself, in order.
+
+    Ties go to the smaller id; scores are sums of products in a fixed order, the
+    same wherever a row is.  A matrix product finds the rows that can be among
+    the best; a query with many rows as good as its last is looked at by itself.
+    """
+    most = min(len(rows), k + 4)
+    for begin in range(0, len(queries), 256):
+        some, names = queries[begin : begin + 256], query_ids[begin : begin + 256]
         about = some @ rows.T
-        for i, name in enumerate(query_ids[begin : begin + 512].tolist()):
-            scores = about[i]
-            if len(scores) > k + 1:
-                least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                at = np.flatnonzero(scores >= least - 1e-9 * max(1.0, abs(float(least))))
-            else:
-                at = np.arange(len(scores))
-            at = at[ids[at] != name]
-            exact = (rows[at] * some[i]).sum(axis=1)
-            order = np.lexsort((ids[at], -exact))[:k]
-            yield name, ids[at][order], exact[order]
+        at = np.argpartition(-about, most - 1, axis=1)[:, :most]
+        picked = np.take_along_axis(about, at, axis=1)
+        alone = np.zeros(len(some), bool)
+        if most < len(rows):
+            last = np.partition(picked, most - k - 1, axis=1)[:, most - k - 1]
+            last -= 1e-9 * np.maximum(1.0, np.abs(last))
+            alone = (about >= last[:, None]).sum(axis=1) > most - 1
+        groups = [(np.flatnonzero(~alone), at[~alone])] + [(np.array([i]), np.flatnonzero(about[i] >= last[i])[None]) for i in np.flatnonzero(alone).tolist()]
+        for mine, at in groups:
+            if not len(mine):
+                continue
+            exact = (rows[at] * some[mine][:, None, :]).sum(axis=2)
+            own = ids[at]
+            exact[own == names[mine][:, None]] = -np.inf
+            order = np.lexsort((own, -exact), axis=1)[:, :k]
+            exact, own = np.take_along_axis(exact, order, axis=1), np.take_along_axis(own, order, axis=1)
+            there = np.isfinite(exact)
+            yield begin + mine, there.sum(axis=1), own[there], exact[there]
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -127,6 +140,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.
     rows there are no results; further columns aren't read.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     spark = vectors.sparkSession
     save = Saved(spark)
@@ -165,10 +179,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.
         for batch in parts:
             ids, leaf = batch.column("vec_id").to_numpy(), batch.column("leaf").to_numpy()
             mine = _matrix(batch.column("embedding"), dim)
-            for i, (_, at, scores) in enumerate(best(ids, mine, *wanted.value, k)):
-                where = dict(zip(ids.tolist(), leaf.tolist(), strict=True))
-                both = sorted([*held.get(i, ()), *((-s, v, where[v]) for s, v in zip(scores.tolist(), at.tolist(), strict=True))])
-                held[i] = both[:k]
+            where = dict(zip(ids.tolist(), leaf.tolist(), strict=True))
+            for queries, hits, found, scores in best(ids, mine, *wanted.value, k):
+                ends = np.cumsum(hits).tolist()
+                for i, a, b in zip(queries.tolist(), [0, *ends], ends, strict=False):
+                    held[i] = sorted([*held.get(i, ()), *((-s, v, where[v]) for s, v in zip(scores[a:b].tolist(), found[a:b].tolist(), strict=True))])[:k]
         out = [(i, v, -s, leaf) for i, rest in held.items() for s, v, leaf in rest]
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(("query", "vec_id", "score", "leaf"), x, strict=True)) for x in out], pa.schema([("query", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int32())]))
@@ -196,13 +211,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.
         if not own.num_rows or not queries.num_rows:
             return hits.empty_table()
         own, queries = own.combine_chunks(), queries.combine_chunks()
-        found = list(best(own["vec_id"].to_numpy(), _matrix(own["embedding"].combine_chunks(), dim), queries["vec_id"].to_numpy(), _matrix(queries["embedding"].combine_chunks(), dim), k))
-        return pa.table([[q for q, _, _ in found], [v for _, v, _ in found], [s for _, _, s in found]], schema=hits)
+        names = queries["vec_id"].to_numpy()
+        found = list(best(own["vec_id"].to_numpy(), _matrix(own["embedding"].combine_chunks(), dim), names, _matrix(queries["embedding"].combine_chunks(), dim), k))
+        at, n, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        return pa.table([pa.array(names[at]), pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(scores))], schema=hits)
 
     def merge(table):
         table = table.combine_chunks()
-        query = np.repeat(table["query_id"].to_numpy(), [len(x) for x in table["vec_ids"]])
-        ids, scores = (np.concatenate([x.values.to_numpy() for x in table[c]]) if table.num_rows else np.zeros(0) for c in ("vec_ids", "scores"))
+        lists = {c: table[c].combine_chunks() for c in ("vec_ids", "scores")}
+        query = np.repeat(table["query_id"].to_numpy(), pc.list_value_length(lists["vec_ids"]).to_numpy())
+        ids, scores = (x.flatten().to_numpy() for x in lists.values())
         order = np.lexsort((ids, -scores, query))
         query, ids, scores = query[order], ids[order], scores[order]
         new = np.ones(len(query), bool)
