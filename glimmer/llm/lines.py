@@ -15,7 +15,7 @@ words makes the filters exact, the rare-first one makes them cheap.  A word that
 table shows to be in one line only isn't indexed.
 
 Each set needs one earlier similar set, no matter which.  It is tried with its
-first two candidates, verified on full sets; only sets that failed and have
+closest few candidates, verified on full sets; only sets that failed and have
 more candidates go on, with ever more of them, until none is left.
 """
 
@@ -34,40 +34,46 @@ from glimmer.llm.text import U64, Hasher, batches, encoded, mix
 #: Bits of the table of word frequencies (a byte for each entry), and slices in which it is added up.
 TABLE_BITS, SLICES = 22, 64
 #: Index entries in a range of words, those of one word beyond which it is compared in blocks, and pairs that are tested at once.
-RANGE, HOT, WIDE = 1 << 18, 1 << 19, 1 << 20
+RANGE, HOT, WIDE = 1 << 18, 1 << 19, 1 << 19
+#: A candidate whose sketch differs in up to so many thousandths of the allowed words is surely near, but for a few.
+SURE = 800
+#: Candidates under a range of words that a set is tried with at first.
+FIRST = 16
 ENTRY = np.dtype([("word", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u4"), ("place", "<u4"), ("a", "<u8"), ("b", "<u8"), ("side", "u1")])
 PAIR = np.dtype([("doc", "<i8"), ("line", "<i8"), ("doc2", "<i8"), ("line2", "<i8"), ("more", "?")])
 
 
-class LineSets:
-    """The lines of some texts as sets of word hashes, without the lines that have no word."""
-
-    def __init__(self, texts: list[bytes], hasher: Hasher) -> None:
-        self.lines = [t.split(b"\n") for t in texts]
-        flat = [x for lines in self.lines for x in lines]
-        words, counts = hasher.words(flat)
-        self.doc = np.repeat(np.arange(len(texts)), [len(x) for x in self.lines])
-        self.number = np.concatenate([np.arange(len(x)) for x in self.lines]) if texts else np.zeros(0, np.int64)
-        line = np.repeat(np.arange(len(flat)), counts)
-        order = np.argsort(words)
-        new = np.ones(len(words), bool)
-        new[1:] = words[order][1:] != words[order][:-1]
-        known, ids = words[order][new], np.empty(len(words), np.int64)
+class Lines:
+    """The lines of some texts: all of them, or of each text those of the given numbers."""
+
+    def __init__(self, texts: list[bytes], hasher: Hasher, numbers: list[list[int]] | None = None) -> None:
+        split = [t.split(b"\n") for t in texts]
+        if numbers is None:
+            numbers = [range(len(x)) for x in split]
+        else:
+            numbers = [[n for n in ns if n < len(x)] for ns, x in zip(numbers, split, strict=True)]
+        self.texts = [x[n] for ns, x in zip(numbers, split, strict=True) for n in ns]
+        self.doc = np.repeat(np.arange(len(texts)), [len(ns) for ns in numbers])
+        self.number = np.array([n for ns in numbers for n in ns], np.int64)
+        self.words, counts = hasher.words(self.texts)
+        self.line = np.repeat(np.arange(len(self.texts)), counts)
+        self.lengths = counts
+
+    def keys(self) -> list[bytes | None]:
+        """128 bits that tell lines apart, none for lines without words."""
+        return [hashlib.blake2b(t, digest_size=16).digest() if n else None for t, n in zip(self.texts, self.lengths.tolist(), strict=True)]
+
+    def sets(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct words of all lines, and where each line's end."""
+        order = np.argsort(self.words)
+        new = np.ones(len(order), bool)
+        new[1:] = self.words[order][1:] != self.words[order][:-1]
+        known, ids = self.words[order][new], np.empty(len(order), np.int64)
         ids[order] = np.cumsum(new) - 1
-        both = np.sort(line * max(len(known), 1) + ids)
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-        self.line, ids = np.divmod(both, max(len(known), 1))
-        self.words = known[ids]
-        self.sizes = np.bincount(self.line, minlength=len(flat))
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit sums that tell sets apart; zeros for lines without words."""
-        out = []
-        for salt in (0x1B873593, 0x85EBCA6B):
-            sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.words ^ U64(salt)), dtype=U64)])
-            ends = np.cumsum(self.sizes)
-            out.append(sums[ends] - sums[ends - self.sizes])
-        return out[0], out[1]
+        both = np.sort(self.line * max(len(known), 1) + ids)
+        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+        line, ids = np.divmod(both, max(len(known), 1))
+        return known[ids], np.cumsum(np.bincount(line, minlength=len(self.texts)))
 
 
 def slot(words: np.ndarray) -> np.ndarray:
@@ -102,30 +108,35 @@ def unpack(raw: bytes) -> np.ndarray:
     return out
 
 
-def index_entries(sets: LineSets, wanted: np.ndarray, docs: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix entries of the wanted lines."""
-    keep = wanted[sets.line]
-    line, words = sets.line[keep], sets.words[keep]
-    codes = table[slot(words)]
-    order = np.lexsort((words, codes, line)) if len(words) else np.zeros(0, np.int64)
-    line, words, codes = line[order], words[order], codes[order]
-    sizes = sets.sizes[line]
+def index_entries(lines: Lines, docs: np.ndarray, table: np.ndarray, percent: int, asked: np.ndarray | None = None) -> np.ndarray:
+    """The prefix entries of lines; asked limits them to words whose slots it marks.
+
+    Words are sorted as numbers of line, frequency code and as many of the hash's bits as fit, 40 or more.
+    """
+    bits = 56 - max(1, len(lines.texts).bit_length())
+    key = lines.line.astype(U64) << U64(bits + 8)
+    key |= table[slot(lines.words)].astype(U64) << U64(bits)
+    key |= lines.words >> U64(64 - bits)
+    key.sort()
+    if len(key):
+        key = key[np.append(True, key[1:] != key[:-1])]
+    line = (key >> U64(bits + 8)).astype(np.int64)
+    codes, words = (key >> U64(bits)).astype(np.uint8), key & U64((1 << bits) - 1)
     first = np.ones(len(line), bool)
     first[1:] = line[1:] != line[:-1]
     starts = np.flatnonzero(first)
     lengths = np.diff(np.append(starts, len(line)))
+    sizes = np.repeat(lengths, lengths)
     place = np.arange(len(line)) - np.repeat(starts, lengths)
-    sketch = []
-    bit = words & U64(127)
-    for half in (0, 1):
-        ones = np.where((bit >> U64(6)) == U64(half), U64(1) << (bit & U64(63)), U64(0))
-        sketch.append(np.repeat(np.bitwise_xor.reduceat(ones, starts), lengths) if len(starts) else ones)
+    ones, high = U64(1) << (words & U64(63)), (words & U64(64)) > 0
+    sketch = [np.bitwise_xor.reduceat(np.where(high == half, ones, U64(0)), starts) if len(starts) else ones for half in (False, True)]
     take = (place < prefix_length(sizes, percent)) & (codes > 0)
+    if asked is not None:
+        take &= asked[(words >> U64(bits - TABLE_BITS)).astype(np.int64)]
     out = np.zeros(int(take.sum()), ENTRY)
-    number = line[take]
-    for name, values in (("word", (words >> U64(20)).astype(np.uint32)[take]), ("doc", docs[sets.doc[number]]), ("line", sets.number[number]), ("size", sizes[take]), ("place", place[take]), ("a", sketch[0][take]), ("b", sketch[1][take])):
+    number, owner = line[take], np.repeat(np.arange(len(starts)), lengths)[take]
+    for name, values in (("word", (words >> U64(7)).astype(np.uint32)[take]), ("doc", docs[lines.doc[number]]), ("line", lines.number[number]), ("size", sizes[take]), ("place", place[take]), ("a", sketch[0][owner]), ("b", sketch[1][owner]), ("side", codes[take])):
         out[name] = values
-    out["side"] = codes[take]
     return out
 
 
@@ -182,19 +193,19 @@ def _chunks(counts: np.ndarray):
 def candidates(entries: np.ndarray, percent: int, low: int, high: int, cross: bool = False, asked: np.ndarray | None = None) -> np.ndarray:
     """Rows (set, earlier set, more) of index entries under equal words.
 
-    Of each set the candidates number low to high-1 (earliest first), with
-    `more` where others follow; asked limits the sets whose candidates are
+    Of each set the candidates number low to high-1 (closest sketches first),
+    with `more` where others follow; where not even the closest is surely
+    near, sixteen times as many.  asked limits the sets whose candidates are
     wanted, cross the pairs to those of different sides.
     """
     order = np.lexsort((entries["size"], entries["word"]))
-    e = entries[order]
+    e, asked = entries[order], None if asked is None else asked[order]
     n = len(e)
-    if asked is not None:
-        asked = asked[order]
     # Partners have the same word and at least percent of the size, from `first` to the entry itself.
-    key = e["word"].astype(U64) * U64(1 << 32) + e["size"].astype(U64)
-    floor = -(-e["size"].astype(np.int64) * percent // 100)
-    first = np.searchsorted(key, e["word"].astype(U64) * U64(1 << 32) + floor.astype(U64), side="left")
+    size, place, doc, line, one, other, side = (np.ascontiguousarray(e[c]) for c in ("size", "place", "doc", "line", "a", "b", "side"))
+    size, place = size.astype(np.int32), place.astype(np.int32)
+    word = e["word"].astype(U64) << U64(32)
+    first = np.searchsorted(word + size.astype(U64), word + (-(-size.astype(np.int64) * percent // 100)).astype(U64), side="left")
     counts = np.arange(n) - first
     found = []
     for a, b in _chunks(counts):
@@ -202,35 +213,33 @@ def candidates(entries: np.ndarray, percent: int, low: int, high: int, cross: bo
         if not k.sum():
             continue
         right = np.repeat(np.arange(a, b), k)
-        left = np.arange(len(right)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[a:b], k)
-        if cross or asked is not None:
-            some = (e["side"][left] != e["side"][right]) if cross else np.ones(len(left), bool)
-            some &= True if asked is None else asked[left] | asked[right]
-            left, right = left[some], right[some]
-        differ = np.bitwise_count(e["a"][left] ^ e["a"][right]).astype(np.int32) + np.bitwise_count(e["b"][left] ^ e["b"][right])
-        x, y = e["size"][left].astype(np.int64), e["size"][right].astype(np.int64)
-        overlap = needed(x, y, percent)
-        ok = differ <= x + y - 2 * overlap
-        left, right, x, y, overlap = left[ok], right[ok], x[ok], y[ok], overlap[ok]
-        ok = 1 + np.minimum(x - e["place"][left] - 1, y - e["place"][right] - 1) >= overlap
-        left, right = left[ok], right[ok]
-        ok = (e["doc"][left] != e["doc"][right]) | (e["line"][left] != e["line"][right])
-        left, right = left[ok], right[ok]
-        later = (e["doc"][left] > e["doc"][right]) | ((e["doc"][left] == e["doc"][right]) & (e["line"][left] > e["line"][right]))
-        found.append(np.stack([np.where(later, left, right), np.where(later, right, left)]))
+        left = np.arange(len(right)) + np.repeat(first[a:b] - (np.cumsum(k) - k), k)
+        x, y = size[left], size[right]
+        allowed = x + y - 2 * needed(x, y, percent)
+        differ = np.bitwise_count(one[left] ^ one[right])
+        ok = np.flatnonzero(differ <= allowed)
+        left, right, allowed = left[ok], right[ok], allowed[ok]
+        differ = differ[ok].astype(np.int32) + np.bitwise_count(other[left] ^ other[right])
+        ok = differ <= allowed
+        x, y = size[left], size[right]
+        ok &= 1 + np.minimum(x - place[left] - 1, y - place[right] - 1) >= needed(x, y, percent)
+        ok &= (doc[left] != doc[right]) | (line[left] != line[right])
+        if cross:
+            ok &= side[left] != side[right]
+        left, right, allowed, differ = left[ok], right[ok], allowed[ok], differ[ok]
+        later = (doc[left] > doc[right]) | ((doc[left] == doc[right]) & (line[left] > line[right]))
+        found.append(np.stack([np.where(later, left, right), np.where(later, right, left), differ * 1000 // np.maximum(allowed, 1)]))
     out = np.zeros(0, PAIR)
     if not found:
         return out
-    later, earlier = np.concatenate(found, axis=1)
+    later, earlier, far = np.concatenate(found, axis=1)
     if asked is not None:
-        keep = asked[later]
-        later, earlier = later[keep], earlier[keep]
+        later, earlier, far = later[asked[later]], earlier[asked[later]], far[asked[later]]
     if not len(later):
         return out
-    by = np.lexsort((e["line"][earlier], e["doc"][earlier], e["line"][later], e["doc"][later]))
-    later, earlier = later[by], earlier[by]
-    values = np.stack([e["doc"][later], e["line"][later].astype(np.int64), e["doc"][earlier], e["line"][earlier].astype(np.int64)])
-    new = np.ones(len(later), bool)
+    by = np.lexsort((line[earlier], doc[earlier], far, line[later], doc[later]))
+    values = np.stack([doc[later], line[later], doc[earlier], line[earlier], far])[:, by]
+    new = np.ones(values.shape[1], bool)
     new[1:] = (values[:, 1:] != values[:, :-1]).any(axis=0)
     values = values[:, new]
     head = np.ones(values.shape[1], bool)
@@ -238,14 +247,27 @@ def candidates(entries: np.ndarray, percent: int, low: int, high: int, cross: bo
     starts = np.flatnonzero(head)
     lengths = np.diff(np.append(starts, len(head)))
     rank = np.arange(len(head)) - np.repeat(starts, lengths)
-    take = (rank >= low) & (rank < high)
+    most = np.repeat(np.where(values[4][starts] > SURE, 16 * high, high), lengths)
+    take = (rank >= low) & (rank < most)
     out = np.zeros(int(take.sum()), PAIR)
-    for name, v in zip(("doc", "line", "doc2", "line2"), values, strict=True):
+    for name, v in zip(("doc", "line", "doc2", "line2"), values, strict=False):
         out[name] = v[take]
-    out["more"] = np.repeat(lengths > high, lengths)[take]
+    out["more"] = (np.repeat(lengths, lengths) > most)[take]
     return out
 
 
+def near_enough(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of word sets are similar enough; words are told apart by hashes with the pair's number mixed in."""
+    n, m = (np.array([len(s) // 8 for s in z], np.int64) for z in (x, y))
+    salt = mix(np.arange(len(x), dtype=U64) + U64(1))
+    one = np.sort(mix(np.frombuffer(b"".join(x), U64) ^ np.repeat(salt, n)))
+    other, owner = mix(np.frombuffer(b"".join(y), U64) ^ np.repeat(salt, m)), np.repeat(np.arange(len(x)), m)
+    if not len(one):
+        return np.zeros(len(x), bool)
+    both = np.bincount(owner[one[np.minimum(np.searchsorted(one, other), len(one) - 1)] == other], minlength=len(x))
+    return 100 * both >= percent * (n + m - both)
+
+
 def _word_slices(counts: np.ndarray) -> list[tuple[int, bytes]]:
     """The non-zero counts of each slice of the table: numbers and counts, 4 bytes each."""
     at = np.flatnonzero(counts)
@@ -253,9 +275,13 @@ def _word_slices(counts: np.ndarray) -> list[tuple[int, bytes]]:
     return [(i, np.stack([p, np.minimum(counts[p], 0xFFFFFFFF)]).astype("<u4").tobytes()) for i, p in enumerate(parts) if len(p)]
 
 
-def _summed(packed: list[bytes]) -> np.ndarray:
-    both = np.concatenate([np.frombuffer(p, "<u4").reshape(2, -1) for p in packed], axis=1).astype(np.int64)
-    return np.bincount(both[0], both[1], 1 << TABLE_BITS)
+def _summed(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers and sums of packed counts."""
+    number, count = np.concatenate([np.frombuffer(p, "<u4").reshape(2, -1) for p in packed], axis=1).astype(np.int64)
+    first = int(number.min())
+    total = np.bincount(number - first, count)
+    at = np.flatnonzero(total)
+    return at + first, total[at]
 
 
 def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, carry: tuple[str, ...] = (), rows_per_bucket: int = 4000) -> DataFrame:
@@ -287,48 +313,48 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
     # One pass: every line's set, and how many lines each word is in.
     def scan(parts):
         hasher, counts = Hasher(), np.zeros(1 << TABLE_BITS, np.int64)
-        nothing = {"slice": None, "packed": None, "k1": None, "k2": None, "doc": None, "line": None}
+        nothing = {"slice": None, "packed": None, "key": None, "doc": None, "line": None}
         for batch in batches(parts):
-            sets = LineSets(encoded(batch.column("text")), hasher)
-            counts += np.bincount(slot(sets.words), minlength=len(counts))
-            k1, k2 = sets.keys()
-            full = np.flatnonzero(sets.sizes)
-            names = batch.column("doc").to_numpy()[sets.doc[full]]
-            none = pa.nulls(len(full))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), pa.array(k1[full].view(np.int64)), pa.array(k2[full].view(np.int64)), pa.array(names), pa.array(sets.number[full].astype(np.int32))], schema=scanned)
+            lines = Lines(encoded(batch.column("text")), hasher)
+            counts += np.bincount(slot(lines.words), minlength=len(counts))
+            names = batch.column("doc").to_numpy()[lines.doc]
+            none = pa.nulls(len(names))
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), pa.array(lines.keys(), pa.binary()), pa.array(names), pa.array(lines.number.astype(np.int32))], schema=scanned)
         if counts.any():
             yield pa.RecordBatch.from_pylist([nothing | {"slice": i, "packed": p} for i, p in _word_slices(counts)], scanned)
 
-    scanned = pa.schema([("slice", pa.int32()), ("packed", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("line", pa.int32())])
-    found = save(rows.select("doc", "text").mapInArrow(scan, "slice int, packed binary, k1 long, k2 long, doc long, line int"))
+    scanned = pa.schema([("slice", pa.int32()), ("packed", pa.binary()), ("key", pa.binary()), ("doc", pa.int64()), ("line", pa.int32())])
+    found = save(rows.select("doc", "text").mapInArrow(scan, "slice int, packed binary, key binary, doc long, line int"))
 
     def add(table):
-        total = _summed(table["packed"].to_pylist())
-        at = np.flatnonzero(total)
-        return pa.table({"slice": table["slice"].slice(0, 1), "packed": pa.array([np.stack([at, np.minimum(total[at], 0xFFFFFFFF)]).astype("<u4").tobytes()], pa.binary())})
+        number, total = _summed(table["packed"].to_pylist())
+        return pa.table({"slice": table["slice"].slice(0, 1), "packed": pa.array([np.stack([number, np.minimum(total, 0xFFFFFFFF)]).astype("<u4").tobytes()], pa.binary())})
 
     slices = found.where("slice IS NOT NULL").select("slice", "packed", F.pmod(F.xxhash64("packed"), F.lit(64)).alias("some"))
     slices = slices.groupBy("slice", "some").applyInArrow(add, "slice int, packed binary").groupBy("slice").applyInArrow(add, "slice int, packed binary")
     packed = [bytes(r["packed"]) for r in slices.select("packed").collect()]
-    table = spark.sparkContext.broadcast(code(_summed(packed)) if packed else np.zeros(1 << TABLE_BITS, np.uint8))
-
-    lines = found.where("slice IS NULL").select("k1", "k2", "doc", "line")
-    firsts = save(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line")).alias("f")).select("k1", "k2", "f.doc", "f.line"))
+    codes = np.zeros(1 << TABLE_BITS, np.uint8)
+    if packed:
+        number, total = _summed(packed)
+        codes[number] = code(total)
+    table = spark.sparkContext.broadcast(codes)
+
+    lines = found.where("key IS NOT NULL").select("key", "doc", "line")
+    firsts = save(lines.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("f")).select("key", "f.doc", "f.line"))
     save.release()
     totals = sum(int(np.frombuffer(p, "<u4").reshape(2, -1)[1].sum(dtype=np.int64)) for p in packed)
     ranges = max(1, math.ceil(totals * (1 - percent / 100) / RANGE))
     first_lines = firsts.groupBy("doc").agg(F.collect_list("line").alias("lines"))
 
-    def send(parts):
-        hasher = Hasher()
-        for batch in batches(parts):
-            sets = LineSets(encoded(batch.column("text")), hasher)
-            wanted = np.zeros(len(sets.sizes), bool)
-            begins = np.cumsum([0, *map(len, sets.lines)])
-            for i, numbers in enumerate(batch.column("lines").to_pylist()):
-                wanted[begins[i] + np.array([x for x in numbers if x < len(sets.lines[i])], np.int64)] = True
-            out = list(cells(index_entries(sets, wanted, batch.column("doc").to_numpy(), table.value, percent), ranges))
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in out], pa.int64()), pa.array([x for _, x, _ in out], pa.bool_()), pa.array([pack(e) for _, _, e in out], pa.binary())], ["cell", "crossing", "packed"])
+    def sender(asked=None):
+        def send(parts):
+            hasher = Hasher()
+            for batch in batches(parts, 4000, 6 << 20):
+                lines = Lines(encoded(batch.column("text")), hasher, batch.column("lines").to_pylist())
+                out = list(cells(index_entries(lines, batch.column("doc").to_numpy(), table.value, percent, asked and asked.value), ranges))
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in out], pa.int64()), pa.array([x for _, x, _ in out], pa.bool_()), pa.array([pack(e) for _, _, e in out], pa.binary())], ["cell", "crossing", "packed"])
+
+        return send
 
     def partners(low: int, high: int):
         def run(data, asked=None):
@@ -352,47 +378,48 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
                 yield pa.RecordBatch.from_arrays([pa.array([cell] * len(e), pa.int64()), pa.array(e["doc"]), pa.array(e["line"])], ["cell", "doc", "line"])
 
     def test(parts):
-        for batch in parts:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            ok = []
-            for one, other in zip(x, y, strict=True):
-                n, m = len(one) // 8, len(other) // 8
-                both = len(np.intersect1d(np.frombuffer(one, U64), np.frombuffer(other, U64), assume_unique=True))
-                ok.append(100 * both >= percent * (n + m - both))
-            yield batch.select(["doc", "line"]).filter(pa.array(ok, pa.bool_()))
+        for batch in batches(parts):
+            yield batch.select(["doc", "line"]).filter(pa.array(near_enough(batch.column("x").to_pylist(), batch.column("y").to_pylist(), percent)))
 
     def give(parts):
         hasher = Hasher()
         for batch in batches(parts):
-            sets = LineSets(encoded(batch.column("text")), hasher)
-            ends = np.cumsum(sets.sizes)
-            begins = np.cumsum([0, *map(len, sets.lines)])
-            doc, line, words = [], [], []
-            for i, (name, numbers) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("lines").to_pylist(), strict=True)):
-                for number in numbers:
-                    if number < len(sets.lines[i]):
-                        at = begins[i] + number
-                        doc.append(name)
-                        line.append(number)
-                        words.append(sets.words[ends[at] - sets.sizes[at] : ends[at]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(words, pa.binary())], ["doc", "line", "words"])
+            lines = Lines(encoded(batch.column("text")), hasher, batch.column("lines").to_pylist())
+            words, ends = lines.sets()
+            raw, ends = words.tobytes(), [0, *(8 * ends).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc").to_numpy()[lines.doc]), pa.array(lines.number.astype(np.int32)), pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["doc", "line", "words"])
+
+    def mark(parts):
+        hasher, marked = Hasher(), np.zeros(1 << TABLE_BITS, bool)
+        for batch in batches(parts):
+            lines = Lines(encoded(batch.column("text")), hasher, batch.column("lines").to_pylist())
+            marked[slot(lines.words)] = True
+        at = np.flatnonzero(marked)
+        yield pa.RecordBatch.from_arrays([pa.array(at)], ["slot"])
 
     pairs_schema = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("doc2", pa.int64()), ("line2", pa.int64()), ("more", pa.bool_())])
     kinds = "doc long, line long, doc2 long, line2 long, more boolean"
-    near, low, high, open_sets = None, 0, 2, None
+    near, low, high, open_sets = None, 0, FIRST, None
+    texts = rows.select("doc", "text")
     while True:
-        sent = rows.select("doc", "text").join(first_lines, "doc").select("doc", "text", "lines").mapInArrow(send, "cell long, crossing boolean, packed binary")
+        with_lines = texts.join(first_lines, "doc").select("doc", "text", "lines")
         run = partners(low, high)
         if open_sets is None:
+            sent = with_lines.mapInArrow(sender(), "cell long, crossing boolean, packed binary")
             pairs = sent.groupBy("cell").applyInArrow(lambda data: run(data), kinds)
         else:
-            asked = rows.select("doc", "text").join(open_sets.groupBy("doc").agg(F.collect_list("line").alias("lines")), "doc").select("doc", "text", "lines")
-            asked = asked.mapInArrow(send, "cell long, crossing boolean, packed binary").mapInArrow(names, "cell long, doc long, line int")
+            # Sets that are still open go to the cells of their words again, and so do the other sets' entries under these words.
+            asked = texts.join(open_sets.groupBy("doc").agg(F.collect_list("line").alias("lines")), "doc").select("doc", "text", "lines")
+            marked = np.zeros(1 << TABLE_BITS, bool)
+            marked[[r["slot"] for r in asked.mapInArrow(mark, "slot long").distinct().toLocalIterator()]] = True
+            send = sender(spark.sparkContext.broadcast(marked))
+            asked = asked.mapInArrow(sender(), "cell long, crossing boolean, packed binary").mapInArrow(names, "cell long, doc long, line int")
+            sent = with_lines.mapInArrow(send, "cell long, crossing boolean, packed binary")
             pairs = sent.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(lambda data, some: run(data, some) if some.num_rows else pairs_schema.empty_table(), kinds)
         pairs = save(pairs.groupBy("doc", "line", "doc2", "line2").agg(F.max("more").alias("more")))
         save.release()
         wanted = pairs.select("doc", "line").union(pairs.select("doc2", "line2")).distinct().groupBy("doc").agg(F.collect_list(F.col("line").cast("int")).alias("lines"))
-        sets = save(rows.select("doc", "text").join(wanted, "doc").select("doc", "text", "lines").mapInArrow(give, "doc long, line int, words binary"))
+        sets = save(texts.join(wanted, "doc").select("doc", "text", "lines").mapInArrow(give, "doc long, line int, words binary"))
         both = pairs.join(sets.withColumnRenamed("words", "x"), ["doc", "line"]).join(sets.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("words").alias("y")), ["doc2", "line2"])
         passed = both.select("doc", F.col("line").cast("int").alias("line"), "x", "y").mapInArrow(test, "doc long, line int").distinct()
         passed = save(passed if near is None else passed.union(near).distinct())
@@ -405,8 +432,8 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
         low, high = high, high * 16
 
     # Lines that go: all of a set with an earlier similar one, else all but the set's first.
-    judged = firsts.join(near.withColumn("near", F.lit(True)), ["doc", "line"], "left").select("k1", "k2", F.col("doc").alias("d"), F.col("line").alias("l"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.join(judged, ["k1", "k2"]).where("near OR doc <> d OR line <> l").groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    judged = firsts.join(near.withColumn("near", F.lit(True)), ["doc", "line"], "left").select("key", F.col("doc").alias("d"), F.col("line").alias("l"), F.coalesce("near", F.lit(False)).alias("near"))
+    gone = lines.join(judged, "key").where("near OR doc <> d OR line <> l").groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     name = "kept_sha256" if as_digest else "kept"
 
     def finish(parts):
