@@ -9,6 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Bytes of an Arrow batch that a task sends to Python: rows of very long texts or sets come a few at a time.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,10 +32,11 @@ class Saved:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
+        bounded_batches(spark)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.saved_at = path
         return out
@@ -37,7 +44,7 @@ class Saved:
     def bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
         """A table whose groups by `column` need no further shuffle."""
         name, path = f"saved_{uuid.uuid4().hex}", f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
-        df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+        df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(name)
         out = self.spark.table(name)
         out.saved_at, out.saved_as = path, name
         return out
@@ -56,4 +63,5 @@ class Saved:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
