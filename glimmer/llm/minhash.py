@@ -4,16 +4,18 @@ A document is the set of its five-word shingles (lower-cased A-Z).  Equal sets
 are one node.  Each set has 4 x 48 minima of universal hashes; sets that agree
 in one of 48 bands of 4 minima are candidates (a pair at similarity 0.75 agrees
 in none with a chance of 1e-8).  First each band value's sets are paired with
-the smallest of them, in a star; pairs whose signatures agree enough are then
+one of them, in a star; pairs whose signatures agree enough are then
 confirmed on full shingle sets.  Where the sets of a band value are not in one
 component after that, all its pairs of different components are compared by
-signature, in blocks of bounded size, and the near ones confirmed in the same
-way: no link is lost to the choice of a star's centre, and no pairs within a
+signature, in blocks of bounded size, and the near ones confirmed once in the
+same way: no link is lost to the choice of a star's centre, and no pairs within a
 component are made.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,9 @@ from glimmer.llm.text import U64, Hasher, batches, encoded, mix
 ROWS, BANDS = 4, 48
 #: Pairs whose signatures agree by this much less than asked are no links: 6 standard deviations of 192 minima at 0.75.
 SLACK = 0.19
+#: The smallest shingle hashes kept of each set, 4 bytes each: sets of no more are compared by all of theirs, larger ones by an
+#: estimate that may miss the similarity asked for by so much (6 standard deviations).
+LEAST, LEAST_SLACK = 512, 0.12
 #: Sets of one band value that are compared within one task.
 BLOCK = 2048
 SHINGLE = 5
@@ -115,7 +120,7 @@ def _passing(both: DataFrame, test) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, rows_per_bucket: int = 4000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs(doc_id, text, ...).
 
     Documents whose shingle sets have a Jaccard similarity of percent/100 or
@@ -135,7 +140,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     save = Saved(docs.sparkSession)
     least = percent / 100 - SLACK
     rows = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "cast(text as string) AS text")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary())])
+    # Texts are read again by doc_id: dealt by it once, later joins need not move them.
+    rows = save.bucketed(rows, "doc_id", max(1, math.ceil(rows.count() / rows_per_bucket)))
+    save.release()
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary()), ("least", pa.binary())])
 
     def measure(parts):
         hasher, known = Hasher(), {}
@@ -146,14 +154,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             found = signatures(list(new.values()))
             if len(known) + len(new) > 20_000:
                 known = {}
-            known |= {k: (b.tobytes(), s.tobytes()) for k, b, s in zip(new, band_keys(found), found.astype(np.uint8), strict=True)}
-            more = [known.get(k, (None, None)) if k else (None, None) for k in keys]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(([len(s) for s in sets], keys, [m[0] for m in more], [m[1] for m in more]), list(schema)[1:], strict=True))], schema=schema)
+            known |= {k: (b.tobytes(), s.tobytes(), least_hashes(x).tobytes()) for (k, x), b, s in zip(new.items(), band_keys(found), found.astype(np.uint8), strict=True)}
+            more = [known.get(k, (None,) * 3) for k in keys]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(([len(s) for s in sets], keys, *([m[i] for m in more] for i in range(3))), list(schema)[1:], strict=True))], schema=schema)
 
-    measured = save(rows.mapInArrow(measure, "doc_id long, n_shingles long, set_key binary, bands binary, signature binary"))
+    measured = save(rows.mapInArrow(measure, "doc_id long, n_shingles long, set_key binary, bands binary, signature binary, least binary"))
     # Equal sets are one node, named by their smallest doc_id, whose text is read again where its set is needed.
     full = measured.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = save(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
+    nodes = save(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "signature", "least")]))
     signed = nodes.select("node", "signature")
 
     def unpack(parts):
@@ -162,8 +170,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], ["band", "node"])
 
     banded = nodes.select("node", "bands").mapInArrow(unpack, "band long, node long")
-    stars = save(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub"))
-    groups = save(banded.join(stars, "band").select("band", "hub", "node"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    groups = save(banded.join(shared, "band").select("band", "n", "node"))
+    save.release()
+    # A star's centre is the set that meets the most others over all its bands: likely the text that the others are edits of.
+    met = groups.groupBy("node").agg(F.sum("n").alias("met"))
+    groups = groups.join(met, "node").select("band", "node", "met")
+    hubs = groups.groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("hub")).select("band", (-F.col("hub.least")).alias("hub"))
+    groups = save(groups.join(hubs, "band").select("band", "hub", "node"))
     save.release()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -174,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         save.release()
         return out
 
-    pairs = save(groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    pairs = save(groups.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
     links = confirmed(_passing(_joined(pairs, signed, "signature"), lambda x, y: agreement(x, y) >= least))
     labels = save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
@@ -192,8 +206,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         others = F.sequence(F.when(is_main, F.col("m")).otherwise(0), F.col("m") + F.col("k") - 1)
         cells = F.transform(others, lambda i: F.struct(F.least("own", i).alias("i"), F.greatest("own", i).alias("j")))
         spread = mixed.withColumn("own", own).select("band", "node", "component", "own", F.explode(cells).alias("cell"))
-        spread = spread.join(signed, "node").select("band", "cell.i", "cell.j", "own", "node", "component", "signature")
-        more = save(spread.groupBy("band", "i", "j").applyInArrow(_compare(least), "a long, b long").distinct())
+        spread = spread.join(nodes.select("node", "signature", "bands", "least", "n_shingles"), "node").select("band", "cell.i", "cell.j", "own", "node", "component", "signature", "bands", "least", "n_shingles")
+        more = save(spread.groupBy("band", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct())
         more = more.join(pairs, ["a", "b"], "left_anti")
         links = confirmed(more)
         labels = save(components(labels.select("u", F.col("component").alias("v")).union(links.select("a", "b"))))
@@ -202,23 +216,59 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _compare(least: float):
-    """Pairs of different components in a cell whose signatures agree enough."""
+def _compare(percent: int):
+    """Pairs of different components in a cell that are near; of those that are surely linked, just what joins the components."""
     import pyarrow as pa
 
     def compare(table):
-        node, component, own = (table[c].to_numpy() for c in ("node", "component", "own"))
+        node, component, own, size = (table[c].to_numpy() for c in ("node", "component", "own", "n_shingles"))
         signs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(len(node), -1)
+        bands, band = np.frombuffer(b"".join(table["bands"].to_pylist()), np.int64).reshape(len(node), -1), table["band"][0].as_py()
+        least = [np.frombuffer(x, np.uint32) for x in table["least"].to_pylist()]
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         ones, others = np.flatnonzero(own == i), np.flatnonzero(own == j)
         if len(ones) > len(others):
             ones, others = others, ones
-        a, b = [], []
+        root = {c: c for c in set(component.tolist())}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        pairs = set()
         for k in ones.tolist():
             at = others[component[others] != component[k]]
-            at = at[(signs[at] == signs[k]).mean(axis=1) >= least]
-            a += np.minimum(node[at], node[k]).tolist()
-            b += np.maximum(node[at], node[k]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            at = at[(signs[at] == signs[k]).mean(axis=1) >= percent / 100 - SLACK]
+            first = (bands[at] == bands[k]).argmax(axis=1)  # a pair counts under the first band that it shares
+            for m in at[bands[k][first] == band].tolist():
+                a, b = find(int(component[k])), find(int(component[m]))
+                if a == b:
+                    continue
+                likeness = near_by_least(least[k], least[m])
+                whole = size[k] <= LEAST and size[m] <= LEAST
+                if whole and likeness >= percent / 100:
+                    root[a] = b
+                if likeness >= percent / 100 - (0.01 if whole else LEAST_SLACK):
+                    pairs.add((min(int(node[k]), int(node[m])), max(int(node[k]), int(node[m]))))
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
     return compare
+
+
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The LEAST smallest of sorted shingle hashes, as their first 32 bits."""
+    return (shingles[:LEAST] >> U64(32)).astype(np.uint32)
+
+
+def near_by_least(one: np.ndarray, other: np.ndarray) -> float:
+    """The Jaccard similarity of two sets by their smallest hashes: as far as 32 bits tell if both are whole."""
+    both = np.concatenate([one, other])
+    both.sort()
+    twice = np.flatnonzero(both[1:] == both[:-1])
+    union = len(both) - len(twice)
+    if union <= LEAST or (len(one) < LEAST and len(other) < LEAST):
+        return len(twice) / max(union, 1)
+    # The LEAST smallest of the union: what lies above can be unknown to the other side.
+    top = both[np.delete(np.arange(len(both)), twice + 1)][LEAST - 1]
+    return float((both[twice] <= top).sum()) / LEAST
