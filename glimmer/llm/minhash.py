@@ -162,6 +162,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows_per_bucket: int = 4
     # Equal sets are one node, named by their smallest doc_id, whose text is read again where its set is needed.
     full = measured.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     nodes = save(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "signature", "least")]))
+    slim = save(measured.select("doc_id", "n_shingles", "set_key"))
+    save.drop(measured)
     signed = nodes.select("node", "signature")
 
     def unpack(parts):
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows_per_bucket: int = 4
         links = confirmed(more)
         labels = save(components(labels.select("u", F.col("component").alias("v")).union(links.select("a", "b"))))
     whole = nodes.select("set_key", "node").join(labels.withColumnRenamed("u", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    found = measured.select("doc_id", "n_shingles", "set_key").join(whole, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    found = slim.join(whole, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
