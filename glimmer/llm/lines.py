@@ -8,8 +8,8 @@ The join of different sets orders each set's words by rarity, rarest first, and
 indexes the first few: two sets that are similar enough share one of those
 (prefix filter).  Candidates under one word pass if their sizes are near enough
 (length filter), if what follows the shared word's places can still make up
-the overlap (positional filter), and if their 128-bit parity sketches differ
-in no more bits than the allowed words.  Words are ranked by document
+the overlap (positional filter), and if their parity sketches (128 or 256 bits)
+differ in no more bits than the allowed words.  Words are ranked by document
 frequencies counted in a hash table of fixed size over all lines; any order of
 words makes the filters exact, the rare-first one makes them cheap.  A word that the
 table shows to be in one line only isn't indexed.
@@ -35,11 +35,13 @@ from glimmer.llm.text import U64, Hasher, batches, encoded, mix
 TABLE_BITS, SLICES = 22, 64
 #: Index entries in a range of words, those of one word beyond which it is compared in blocks, and pairs that are tested at once.
 RANGE, HOT, WIDE = 1 << 18, 1 << 19, 1 << 19
+#: Sets of more words have sketches of 256 bits instead of 128; their halves' sums are what 128 bits would hold.
+LONG = 96
 #: A candidate whose sketch differs in up to so many thousandths of the allowed words is surely near, but for a few.
 SURE = 800
 #: Candidates under a range of words that a set is tried with at first.
 FIRST = 16
-ENTRY = np.dtype([("word", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u4"), ("place", "<u4"), ("a", "<u8"), ("b", "<u8"), ("side", "u1")])
+ENTRY = np.dtype([("word", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u4"), ("place", "<u4"), ("a", "<u8"), ("b", "<u8"), ("c", "<u8"), ("d", "<u8"), ("side", "u1")])
 PAIR = np.dtype([("doc", "<i8"), ("line", "<i8"), ("doc2", "<i8"), ("line2", "<i8"), ("more", "?")])
 
 
@@ -92,8 +94,8 @@ def pack(entries: np.ndarray) -> bytes:
         column = entries[name]
         base = column.min()
         rest = (column - base).astype(np.uint64)
-        kind = next(k for k in ("u1", "u2", "u4", "u8") if int(rest.max()) < 1 << (8 * int(k[1])))
-        out += [kind[1].encode(), int(base).to_bytes(9, "little", signed=True), rest.astype("<" + kind).tobytes()]
+        width = next(w for w in (0, 1, 2, 4, 8) if int(rest.max()) < 1 << (8 * w))
+        out += [str(width).encode(), int(base).to_bytes(9, "little", signed=True), rest.astype(f"<u{width}").tobytes() if width else b""]
     return b"".join(out)
 
 
@@ -102,7 +104,7 @@ def unpack(raw: bytes) -> np.ndarray:
     out, at = np.empty(n, ENTRY), 4
     for name in ENTRY.names:
         width, base = int(raw[at : at + 1]), int.from_bytes(raw[at + 1 : at + 10], "little", signed=True)
-        rest = np.frombuffer(raw, f"<u{width}", n, at + 10)
+        rest = np.frombuffer(raw, f"<u{width}", n, at + 10) if width else np.zeros(n, np.uint8)
         out[name] = rest.astype(ENTRY[name]) + ENTRY[name].type(base)
         at += 10 + n * width
     return out
@@ -128,14 +130,16 @@ def index_entries(lines: Lines, docs: np.ndarray, table: np.ndarray, percent: in
     lengths = np.diff(np.append(starts, len(line)))
     sizes = np.repeat(lengths, lengths)
     place = np.arange(len(line)) - np.repeat(starts, lengths)
-    ones, high = U64(1) << (words & U64(63)), (words & U64(64)) > 0
-    sketch = [np.bitwise_xor.reduceat(np.where(high == half, ones, U64(0)), starts) if len(starts) else ones for half in (False, True)]
+    ones, quarter = U64(1) << (words & U64(63)), (words >> U64(6)) & U64(3)
+    sketch = [np.bitwise_xor.reduceat(np.where(quarter == q, ones, U64(0)), starts) if len(starts) else ones for q in map(U64, range(4))]
+    short = lengths <= LONG
+    sketch = [sketch[0] ^ np.where(short, sketch[2], U64(0)), sketch[1] ^ np.where(short, sketch[3], U64(0))] + [np.where(short, U64(0), x) for x in sketch[2:]]
     take = (place < prefix_length(sizes, percent)) & (codes > 0)
     if asked is not None:
         take &= asked[(words >> U64(bits - TABLE_BITS)).astype(np.int64)]
     out = np.zeros(int(take.sum()), ENTRY)
     number, owner = line[take], np.repeat(np.arange(len(starts)), lengths)[take]
-    for name, values in (("word", (words >> U64(7)).astype(np.uint32)[take]), ("doc", docs[lines.doc[number]]), ("line", lines.number[number]), ("size", sizes[take]), ("place", place[take]), ("a", sketch[0][owner]), ("b", sketch[1][owner]), ("side", codes[take])):
+    for name, values in (("word", (words >> U64(8)).astype(np.uint32)[take]), ("doc", docs[lines.doc[number]]), ("line", lines.number[number]), ("size", sizes[take]), ("place", place[take]), *((c, x[owner]) for c, x in zip("abcd", sketch, strict=True)), ("side", codes[take])):
         out[name] = values
     return out
 
@@ -154,8 +158,10 @@ def cells(entries: np.ndarray, ranges: int):
     order = np.argsort(where, kind="stable")
     ends = np.cumsum(np.bincount(where.astype(np.int64), minlength=ranges))
     for r, (begin, end) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
-        if end > begin:
-            yield r, False, plain[order[begin:end]]
+        long = plain["size"][order[begin:end]] > LONG
+        for mine in (~long, long):  # apart, as long sets take more room
+            if mine.any():
+                yield r, False, plain[order[begin:end][mine]]
     hot, blocks = entries[blocks > 1], blocks[blocks > 1]
     own = (mix(hot["doc"].astype(U64) * U64(31) + hot["line"].astype(U64)) % blocks.astype(U64)).astype(np.int64)
     for word in np.unique(hot["word"]).tolist():
@@ -202,7 +208,8 @@ def candidates(entries: np.ndarray, percent: int, low: int, high: int, cross: bo
     e, asked = entries[order], None if asked is None else asked[order]
     n = len(e)
     # Partners have the same word and at least percent of the size, from `first` to the entry itself.
-    size, place, doc, line, one, other, side = (np.ascontiguousarray(e[c]) for c in ("size", "place", "doc", "line", "a", "b", "side"))
+    size, place, doc, line, a_, b_, c_, d_, side = (np.ascontiguousarray(e[c]) for c in ("size", "place", "doc", "line", "a", "b", "c", "d", "side"))
+    one, other = a_ ^ c_, b_ ^ d_  # 128 bits of all
     size, place = size.astype(np.int32), place.astype(np.int32)
     word = e["word"].astype(U64) << U64(32)
     first = np.searchsorted(word + size.astype(U64), word + (-(-size.astype(np.int64) * percent // 100)).astype(U64), side="left")
@@ -221,6 +228,9 @@ def candidates(entries: np.ndarray, percent: int, low: int, high: int, cross: bo
         left, right, allowed = left[ok], right[ok], allowed[ok]
         differ = differ[ok].astype(np.int32) + np.bitwise_count(other[left] ^ other[right])
         ok = differ <= allowed
+        both = np.flatnonzero(ok & (size[left] > LONG) & (size[right] > LONG))
+        differ[both] = sum(np.bitwise_count(x[left[both]] ^ x[right[both]]).astype(np.int32) for x in (a_, b_, c_, d_))
+        ok &= differ <= allowed
         x, y = size[left], size[right]
         ok &= 1 + np.minimum(x - place[left] - 1, y - place[right] - 1) >= needed(x, y, percent)
         ok &= (doc[left] != doc[right]) | (line[left] != line[right])
