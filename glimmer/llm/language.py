@@ -261,8 +261,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Field | None:
             yield pa.RecordBatch.from_arrays([pa.array([number[lang]] * len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "slot", "n"])
 
     counts = np.zeros((1 << LEXICON_BITS, len(labels)))
-    for r in rows.mapInArrow(count, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["slot"], r["lang"]] = r["n"]
+    found = rows.mapInArrow(count, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # a row a slot and language at most
+    counts[found["slot"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
     odds = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts)))
     lexicon = np.clip(odds - odds.mean(axis=1, keepdims=True), -5, 5) * (counts.sum(axis=1, keepdims=True) >= LEAST_COUNT)
 
