@@ -421,7 +421,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
             # Sets that are still open go to the cells of their words again, and so do the other sets' entries under these words.
             asked = texts.join(open_sets.groupBy("doc").agg(F.collect_list("line").alias("lines")), "doc").select("doc", "text", "lines")
             marked = np.zeros(1 << TABLE_BITS, bool)
-            marked[[r["slot"] for r in asked.mapInArrow(mark, "slot long").distinct().toLocalIterator()]] = True
+            marked[asked.mapInArrow(mark, "slot long").distinct().toArrow()["slot"].to_numpy()] = True  # the table's slots at most
             send = sender(spark.sparkContext.broadcast(marked))
             asked = asked.mapInArrow(sender(), "cell long, crossing boolean, packed binary").mapInArrow(names, "cell long, doc long, line int")
             sent = with_lines.mapInArrow(send, "cell long, crossing boolean, packed binary")
