@@ -33,6 +33,8 @@ from glimmer.llm.text import U64, Hasher, batches, encoded, mix
 
 #: Bits of the table of word frequencies (a byte for each entry), and slices in which it is added up.
 TABLE_BITS, SLICES = 22, 64
+#: First bits of a word's hash that its index entries are made from, and lines whose words are sorted at once: in 64 bits, with 8 of the frequency code.
+WORD_BITS, AT_ONCE = 44, 1 << 12
 #: Index entries in a range of words, those of one word beyond which it is compared in blocks, and pairs that are tested at once.
 RANGE, HOT, WIDE = 1 << 18, 1 << 19, 1 << 19
 #: Sets of more words have sketches of 256 bits instead of 128; their halves' sums are what 128 bits would hold.
@@ -113,16 +115,27 @@ def unpack(raw: bytes) -> np.ndarray:
 def index_entries(lines: Lines, docs: np.ndarray, table: np.ndarray, percent: int, asked: np.ndarray | None = None) -> np.ndarray:
     """The prefix entries of lines; asked limits them to words whose slots it marks.
 
-    Words are sorted as numbers of line, frequency code and as many of the hash's bits as fit, 40 or more.
+    A line's entries depend on its own words only, not on the lines that are read with it.
     """
-    bits = 56 - max(1, len(lines.texts).bit_length())
-    key = lines.line.astype(U64) << U64(bits + 8)
-    key |= table[slot(lines.words)].astype(U64) << U64(bits)
-    key |= lines.words >> U64(64 - bits)
+    ends = [*range(AT_ONCE, len(lines.texts), AT_ONCE), len(lines.texts)]
+    cuts = np.searchsorted(lines.line, [0, *ends]).tolist()
+    return np.concatenate([_some_entries(lines, begin, end, docs, table, percent, asked) for begin, end in zip(cuts, cuts[1:], strict=False)])
+
+
+def _some_entries(lines: Lines, begin: int, end: int, docs: np.ndarray, table: np.ndarray, percent: int, asked: np.ndarray | None) -> np.ndarray:
+    """The entries of the words begin to end-1, which are those of at most AT_ONCE lines.
+
+    Words are sorted as numbers of line, frequency code and the first WORD_BITS of the hash.
+    """
+    bits, words = WORD_BITS, lines.words[begin:end]
+    base = int(lines.line[begin]) if end > begin else 0
+    key = (lines.line[begin:end] - base).astype(U64) << U64(bits + 8)
+    key |= table[slot(words)].astype(U64) << U64(bits)
+    key |= words >> U64(64 - bits)
     key.sort()
     if len(key):
         key = key[np.append(True, key[1:] != key[:-1])]
-    line = (key >> U64(bits + 8)).astype(np.int64)
+    line = (key >> U64(bits + 8)).astype(np.int64) + base
     codes, words = (key >> U64(bits)).astype(np.uint8), key & U64((1 << bits) - 1)
     first = np.ones(len(line), bool)
     first[1:] = line[1:] != line[:-1]
@@ -139,7 +152,7 @@ def index_entries(lines: Lines, docs: np.ndarray, table: np.ndarray, percent: in
         take &= asked[(words >> U64(bits - TABLE_BITS)).astype(np.int64)]
     out = np.zeros(int(take.sum()), ENTRY)
     number, owner = line[take], np.repeat(np.arange(len(starts)), lengths)[take]
-    for name, values in (("word", (words >> U64(8)).astype(np.uint32)[take]), ("doc", docs[lines.doc[number]]), ("line", lines.number[number]), ("size", sizes[take]), ("place", place[take]), *((c, x[owner]) for c, x in zip("abcd", sketch, strict=True)), ("side", codes[take])):
+    for name, values in (("word", (words >> U64(bits - 32)).astype(np.uint32)[take]), ("doc", docs[lines.doc[number]]), ("line", lines.number[number]), ("size", sizes[take]), ("place", place[take]), *((c, x[owner]) for c, x in zip("abcd", sketch, strict=True)), ("side", codes[take])):
         out[name] = values
     return out
 

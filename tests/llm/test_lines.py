@@ -2,9 +2,11 @@ import hashlib
 import os
 import random
 
+import numpy as np
 import pytest
 
 from glimmer.llm import lines
+from glimmer.llm.text import Hasher
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +75,37 @@ def test_edge_cases(spark):
     want = [(1, 1, 0, [], "a b c d"), (2, 0, 0, [], None), (3, 1, 0, [], ""), (4, 4, 1, [0], "\n \nq"), (4, 4, 1, [0], "\n \nq"), (None, 0, 0, [], None), (None, 2, 1, [0], "z")]
     assert got == sorted([type(got[0])(*w) for w in want], key=str)
     assert lines.dedup_lines(docs.where("doc_id > 9")).collect() == []
+
+
+def test_entries_do_not_depend_on_the_batch():
+    """A line has the same index entries alone, among a few lines and among more than are sorted at once."""
+    rng = random.Random(3)
+    line = b" ".join(b"w%d" % rng.randrange(500) for _ in range(130))
+    table, hasher = np.ones(1 << lines.TABLE_BITS, np.uint8), Hasher()
+    found = []
+    for before, after in ((0, 0), (0, 7), (9000, 9000), (70000, 3)):
+        text = b"\n".join([b"x y"] * before + [line] + [b"", b"z"] * after)
+        entries = lines.index_entries(lines.Lines([text], hasher), np.array([5]), table, 75)
+        mine = entries[entries["line"] == before]
+        mine["line"] = 0
+        found.append(mine.tolist())
+    assert len(found[0]) > 20 and all(f == found[0] for f in found)
+
+
+def test_batches_of_very_different_line_counts(spark, monkeypatch):
+    """Each text fills a batch of its own, of 32 to 9,030 lines; sets come to later rounds."""
+    monkeypatch.setattr(lines, "FIRST", 1)
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(300)}" for _ in range(12)] for _ in range(12)]
+
+    def edited():
+        words = list(rng.choice(base))
+        words[rng.randrange(12)] = f"w{rng.randrange(300)}"
+        return " ".join(words)
+
+    short = [(i, "\n".join(edited() for _ in range(30))) for i in range(4)]
+    # long words that are like no other line
+    rows = [(i, "\n".join([text, *(f"q{i}x{j}" + "z" * (6_400_000 // n) for j in range(n))])) for (i, text), n in zip(short, (2, 9000, 200, 40), strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_lines"] - n, r["n_removed"]) for r, n in zip(lines.dedup_lines(docs, as_digest=True).orderBy("doc_id").collect(), (2, 9000, 200, 40), strict=True))
+    assert got == [r[:3] for r in brute(short)]
