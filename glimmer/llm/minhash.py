@@ -150,10 +150,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows_per_bucket: int = 4
         for batch in batches(parts):
             sets = shingle_sets(encoded(batch.column("text")), hasher)
             keys = [set_key(s) if len(s) else None for s in sets]
+            if len(known) > 20_000:
+                known = {}  # before it is looked up: every set of this batch is in it below
             new = {k: s for k, s in zip(keys, sets, strict=True) if k and k not in known}
             found = signatures(list(new.values()))
-            if len(known) + len(new) > 20_000:
-                known = {}
             known |= {k: (b.tobytes(), s.tobytes(), least_hashes(x).tobytes()) for (k, x), b, s in zip(new.items(), band_keys(found), found.astype(np.uint8), strict=True)}
             more = [known.get(k, (None,) * 3) for k in keys]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(([len(s) for s in sets], keys, *([m[i] for m in more] for i in range(3))), list(schema)[1:], strict=True))], schema=schema)
@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows_per_bucket: int = 4
     measured = save(rows.mapInArrow(measure, "doc_id long, n_shingles long, set_key binary, bands binary, signature binary, least binary"))
     # Equal sets are one node, named by their smallest doc_id, whose text is read again where its set is needed.
     full = measured.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = save(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "signature", "least")]))
+    nodes = save(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), *[F.first(c, ignorenulls=True).alias(c) for c in ("n_shingles", "bands", "signature", "least")]))
     slim = save(measured.select("doc_id", "n_shingles", "set_key"))
     save.drop(measured)
     signed = nodes.select("node", "signature")

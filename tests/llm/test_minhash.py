@@ -74,6 +74,14 @@ def test_edge_cases(spark):
     assert minhash.near_duplicates(docs.where("doc_id = 99")).collect() == []
 
 
+def test_copy_after_more_sets_than_a_task_remembers(spark):
+    """The copy's set was met in a row without a doc_id, and 20,000 other sets lie between."""
+    text = "concat_ws(' ', 'a', 'b', 'c', 'd', if(id IN (0, 20500, 21500), 'x', concat('w', id)))"
+    docs = spark.range(0, 24_000, 1, 1).selectExpr("if(id = 0, NULL, id) AS doc_id", f"{text} AS text")
+    found = minhash.near_duplicates(docs, rows_per_bucket=100_000).where("NOT kept OR doc_id = 20500 OR doc_id IS NULL OR component_id <> doc_id")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(None, 1, None, True), (20500, 1, 20500, True), (21500, 1, 20500, False)], key=str)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(200, i) for i in range(201, 260)] + [(5, 5), (None, 3)]
