@@ -22,13 +22,20 @@ from glimmer.llm.text import U64, Hasher, batches, mix, pieces
 SEEDS = ("clown", "disgusting", "dumb", "fool", "garbage", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "worthless")
 #: Lengths in bytes of the word beginnings; 0 is the whole word.
 STEMS = (0, 3, 4, 5, 6, 7, 8)
-#: Word beginnings that are counted in clean documents too, documents that the label model and the classifier see, and banks of the lexicon, at most.
-CANDIDATES, SAMPLE, BANKS = 20_000, 20_000, 12
-#: A word beginning is toxic if it is in this share of toxic documents, this many, and so many times commoner there.
-LEAST_SHARE, LEAST_DOCUMENTS, LIFT = 0.003, 4, 20.0
+#: Documents that the label model and the classifier see, and banks of the lexicon, at most.
+SAMPLE, BANKS = 20_000, 12
+#: A word beginning is toxic if it is in so many toxic documents, so many times commoner there, and a likelihood ratio test
+#: against equal shares passes (chi squared of one degree of freedom, 0.001), whatever the number of documents.
+LEAST_DOCUMENTS, LIFT, SURE = 4, 20.0, 10.83
+#: Bits of the table that tells which word beginnings to count in clean documents.
+TABLE_BITS = 22
 MEASURES = ("words", "hits", "kinds", "seeds", "marks", "capitals", "lines")
 
 
+def slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U64(64 - TABLE_BITS)).astype(np.int64)
+
+
 class Reader:
     """Reads hits of a lexicon and other measures off texts."""
 
@@ -170,7 +177,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 texts = [t.lower().encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
                 found = [np.zeros((2, 0), U64)]
                 for owner, _, hashes in reader.stems(texts):
-                    at = slice(None) if wanted is None else np.isin(hashes, wanted.value)
+                    at = slice(None) if wanted is None else wanted.value[slot(hashes)]
                     found.append(np.stack([owner[at].astype(U64), hashes[at]]))
                 both = np.concatenate(found, axis=1)
                 order = np.lexsort(both)
@@ -187,14 +194,27 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
         return run
 
+    def slots(parts):
+        marked = np.zeros(1 << TABLE_BITS, bool)
+        for batch in parts:
+            marked[slot(batch.column("stem").to_numpy().view(U64))] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(marked))], ["slot"])
+
     mined = np.zeros(0, U64)
-    least = max(LEAST_DOCUMENTS, LEAST_SHARE * toxic)
-    if toxic:
-        top = rows.where("toxic = 1").mapInArrow(count(None), "stem long, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        a = {r["stem"]: r["n"] for r in top.orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect()}
-        wanted = labelled.sparkSession.sparkContext.broadcast(np.sort(np.array(list(a), np.int64).view(U64)))
-        b = {r["stem"]: r["n"] for r in rows.where("toxic = 0").mapInArrow(count(wanted), "stem long, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()}
-        mined = np.array([s for s, n in a.items() if n / toxic >= LIFT * (b.get(s, 0) + 0.5) / max(clean, 1)], np.int64).view(U64)
+    if toxic and clean:
+        # What is too rare among toxic documents even if no clean one has it needs no count there.
+        least = max(LEAST_DOCUMENTS, LIFT * 0.5 * toxic / clean)
+        top = save(rows.where("toxic = 1").mapInArrow(count(None), "stem long, n long").groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+        marked = np.zeros(1 << TABLE_BITS, bool)
+        marked[top.mapInArrow(slots, "slot long").distinct().toArrow()["slot"].to_numpy()] = True  # the table's slots at most
+        wanted = labelled.sparkSession.sparkContext.broadcast(marked)
+        other = rows.where("toxic = 0").mapInArrow(count(wanted), "stem long, n long").groupBy("stem").agg(F.sum("n").alias("m"))
+        both = top.join(other, "stem", "left").select("stem", "n", F.coalesce("m", F.lit(0)).alias("m"))
+        share, n, m = toxic / (toxic + clean), F.col("n"), F.col("m")
+        ratio = 2 * (n * F.log(n / ((n + m) * share)) + F.when(m > 0, m * F.log(m / ((n + m) * (1 - share)))).otherwise(0.0))
+        both = both.where((n / toxic >= LIFT * (m + 0.5) / clean) & (ratio >= SURE))
+        mined = both.select("stem").toArrow()["stem"].to_numpy().view(U64)
+        save.drop(top)
 
     def read(parts):
         reader = Reader(mined)

@@ -39,6 +39,27 @@ def test_regression_against_gradient():
     assert np.abs(x.T @ (p - q) - np.array([1e-3, 1, 1, 1]) * w).max() < 1e-6
 
 
+def learned(model, word):
+    """Whether the lexicon has the word as a whole."""
+    return bool(np.isin(next(toxicity.Reader().stems([word.encode()], (0,)))[2], model.lexicon).all())
+
+
+def test_rare_terms_of_many_documents_are_learned(spark):
+    """Ten of 5,000 toxic documents have a term, and no clean one; a word of a few documents of both kinds isn't toxic."""
+    text = "CASE WHEN toxic = 1 AND id % 500 = 1 THEN 'a zorgwump here' WHEN id % 500 = 2 THEN 'a plimbled here' ELSE 'nothing to see' END"
+    labelled = spark.range(15_000).selectExpr("id", "int(id < 5000) AS toxic").selectExpr(f"concat({text}, ' ', id) AS text", "toxic")
+    model = toxicity.learn(labelled)
+    assert learned(model, "zorgwump") and not learned(model, "plimbled") and not learned(model, "nothing")
+
+
+def test_terms_rarer_than_many_others_are_learned(spark):
+    """More than 20,000 word beginnings are in all documents of both kinds; a term in nine of ten toxic ones comes after them."""
+    rng = np.random.default_rng(3)
+    common = " ".join("".join(map(chr, x)) for x in rng.integers(97, 123, (6000, 9)))
+    labelled = spark.createDataFrame([(common + (" zorgwump" if i < 9 else ""), int(i < 10)) for i in range(40)], "text string, toxic int")
+    assert learned(toxicity.learn(labelled), "zorgwump")
+
+
 def test_edge_cases(spark):
     good, bad = "the quiet house by the sea", "you stupid moron, what trash"
     labelled = spark.createDataFrame([(good + f" {i}", 0) for i in range(30)] + [(bad + f" {i}", 1) for i in range(30)] + [(None, 0), (good, None), (good, 7)], "text string, toxic int")
