@@ -11,12 +11,15 @@ explains for less.  A logistic regression learns the posterior labels.
 
 from __future__ import annotations
 
+import functools
+import sys
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.llm.tables import Saved
-from glimmer.llm.text import U64, Hasher, batches, mix, pieces
+from glimmer.llm.text import PIECE, U64, Hasher, batches, mix, pieces
 
 #: Common English insults.
 SEEDS = ("clown", "disgusting", "dumb", "fool", "garbage", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "worthless")
@@ -36,6 +39,17 @@ def slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> U64(64 - TABLE_BITS)).astype(np.int64)
 
 
+@functools.cache
+def _upper() -> np.ndarray:
+    """Whether each code point is an upper-case character."""
+    return np.fromiter((chr(i).isupper() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def capitals_in(text: str) -> int:
+    """The upper-case characters of the whole text, counted a piece at a time."""
+    return sum(int(_upper()[np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "replace"), "<u4")].sum()) for at in range(0, len(text), PIECE))
+
+
 class Reader:
     """Reads hits of a lexicon and other measures off texts."""
 
@@ -87,7 +101,7 @@ class Reader:
         np.add.at(out, (owner[at], banks), 1)
         for i, t in enumerate(texts):
             out[i, 0], out[i, 4], out[i, 6] = len(t.split()), t.count("!"), t.count("\n") + 1
-            out[i, 5] = sum(map(str.isupper, t[:: max(1, len(t) // 400)])) / max(1, len(t[:: max(1, len(t) // 400)]))
+            out[i, 5] = capitals_in(t) / max(1, len(t))
         return out
 
 

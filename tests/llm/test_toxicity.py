@@ -60,6 +60,12 @@ def test_terms_rarer_than_many_others_are_learned(spark):
     assert learned(toxicity.learn(labelled), "zorgwump")
 
 
+def test_capitals_are_counted_over_the_whole_text():
+    texts = ["aB" * 2000, "Ba" * 2000, "a" * 600_000 + "ÄЖB\U0001d400 ß9", "", "Ab"]
+    found = toxicity.Reader().measure(texts)[:, toxicity.MEASURES.index("capitals")]
+    assert found.tolist() == [sum(map(str.isupper, t)) / max(1, len(t)) for t in texts]
+
+
 def test_edge_cases(spark):
     good, bad = "the quiet house by the sea", "you stupid moron, what trash"
     labelled = spark.createDataFrame([(good + f" {i}", 0) for i in range(30)] + [(bad + f" {i}", 1) for i in range(30)] + [(None, 0), (good, None), (good, 7)], "text string, toxic int")
