@@ -247,8 +247,8 @@ def _compare(percent: int):
                 a, b = find(int(component[k])), find(int(component[m]))
                 if a == b:
                     continue
-                likeness = near_by_least(least[k], least[m])
                 whole = size[k] <= LEAST and size[m] <= LEAST
+                likeness = near_by_least(least[k], least[m], whole)
                 if whole and likeness >= percent / 100:
                     root[a] = b
                 if likeness >= percent / 100 - (0.01 if whole else LEAST_SLACK):
@@ -263,13 +263,13 @@ def least_hashes(shingles: np.ndarray) -> np.ndarray:
     return (shingles[:LEAST] >> U64(32)).astype(np.uint32)
 
 
-def near_by_least(one: np.ndarray, other: np.ndarray) -> float:
-    """The Jaccard similarity of two sets by their smallest hashes: as far as 32 bits tell if both are whole."""
+def near_by_least(one: np.ndarray, other: np.ndarray, whole: bool = False) -> float:
+    """The Jaccard similarity of two sets by their smallest hashes: as far as 32 bits tell if both are known to be whole, or have fewer than LEAST."""
     both = np.concatenate([one, other])
     both.sort()
     twice = np.flatnonzero(both[1:] == both[:-1])
     union = len(both) - len(twice)
-    if union <= LEAST or (len(one) < LEAST and len(other) < LEAST):
+    if whole or union <= LEAST or (len(one) < LEAST and len(other) < LEAST):
         return len(twice) / max(union, 1)
     # The LEAST smallest of the union: what lies above can be unknown to the other side.
     top = both[np.delete(np.arange(len(both)), twice + 1)][LEAST - 1]

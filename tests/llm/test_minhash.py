@@ -107,3 +107,15 @@ def test_signature_estimates():
     assert abs(minhash.agreement(s[0].tobytes(), s[1].tobytes()) - want) < 0.15
     assert abs(minhash.near_by_least(minhash.least_hashes(a), minhash.least_hashes(b)) - want) < 0.1
     assert minhash.near_by_least(minhash.least_hashes(a[:100]), minhash.least_hashes(a[:150])) == pytest.approx(100 / 150)
+
+
+def test_sets_of_just_as_many_hashes_as_are_kept_are_compared_exactly():
+    """Two sets of 512 that share 439 (0.7504): the first half of their union shares fewer."""
+    pa = pytest.importorskip("pyarrow")
+    n, shared = minhash.LEAST, 439
+    low, high = np.arange(2 * (n - shared), dtype=np.uint32), np.arange(10_000, 10_000 + shared, dtype=np.uint32)
+    sets = [np.concatenate([low[i::2], high]) for i in (0, 1)]
+    assert minhash.near_by_least(*sets, True) == shared / (2 * n - shared)
+    same = {"node": [1, 2], "component": [1, 2], "own": [0, 0], "i": [0, 0], "j": [0, 0], "n_shingles": [n, n], "band": [7, 7]}
+    table = pa.table(same | {"signature": [b"s" * 192] * 2, "bands": [np.full(minhash.BANDS, 7, np.int64).tobytes()] * 2, "least": [s.tobytes() for s in sets]})
+    assert minhash._compare(75)(table).to_pylist() == [{"a": 1, "b": 2}]
