@@ -42,7 +42,6 @@ def components(edges: DataFrame) -> DataFrame:
         save.drop(now)
         now = save(_small_star(large))
         save.drop(large)
-        save.release()
         twice = now.groupBy("u").count().where("count > 1")
         inner = now.select("v").distinct().join(now.select(F.col("u").alias("v")), "v", "left_semi")
         if not twice.take(1) and not inner.take(1):

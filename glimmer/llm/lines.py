@@ -331,7 +331,6 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), F.col("doc_id").isNull().alias("unnamed"), text.alias("text"), F.struct(F.lit(0).alias("glimmer"), *carry).alias("carried"))
     n_rows = rows.count()
     rows = save.bucketed(rows, "doc", max(1, math.ceil(n_rows / rows_per_bucket)))
-    save.release()
 
     # One pass: every line's set, and how many lines each word is in.
     def scan(parts):
@@ -364,7 +363,6 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
 
     lines = found.where("key IS NOT NULL").select("key", "doc", "line")
     firsts = save(lines.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("f")).select("key", "f.doc", "f.line"))
-    save.release()
     totals = sum(int(np.frombuffer(p, "<u4").reshape(2, -1)[1].sum(dtype=np.int64)) for p in packed)
     ranges = max(1, math.ceil(totals * (1 - percent / 100) / RANGE))
     first_lines = firsts.groupBy("doc").agg(F.collect_list("line").alias("lines"))
@@ -440,7 +438,6 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
             sent = with_lines.mapInArrow(send, "cell long, crossing boolean, packed binary")
             pairs = sent.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(lambda data, some: run(data, some) if some.num_rows else pairs_schema.empty_table(), kinds)
         pairs = save(pairs.groupBy("doc", "line", "doc2", "line2").agg(F.max("more").alias("more")))
-        save.release()
         wanted = pairs.select("doc", "line").union(pairs.select("doc2", "line2")).distinct().groupBy("doc").agg(F.collect_list(F.col("line").cast("int")).alias("lines"))
         sets = save(texts.join(wanted, "doc").select("doc", "text", "lines").mapInArrow(give, "doc long, line int, words binary"))
         both = pairs.join(sets.withColumnRenamed("words", "x"), ["doc", "line"]).join(sets.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("words").alias("y")), ["doc2", "line2"])
@@ -448,7 +445,6 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
         passed = save(passed if near is None else passed.union(near).distinct())
         near = passed
         save.drop(sets)
-        save.release()
         open_sets = save(pairs.where("more").select("doc", F.col("line").cast("int").alias("line")).distinct().join(near, ["doc", "line"], "left_anti"))
         if not open_sets.take(1):
             break

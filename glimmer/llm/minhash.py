@@ -142,7 +142,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows_per_bucket: int = 4
     rows = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "cast(text as string) AS text")
     # Texts are read again by doc_id: dealt by it once, later joins need not move them.
     rows = save.bucketed(rows, "doc_id", max(1, math.ceil(rows.count() / rows_per_bucket)))
-    save.release()
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary()), ("least", pa.binary())])
 
     def measure(parts):
@@ -174,20 +173,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows_per_bucket: int = 4
     banded = nodes.select("node", "bands").mapInArrow(unpack, "band long, node long")
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     groups = save(banded.join(shared, "band").select("band", "n", "node"))
-    save.release()
     # A star's centre is the set that meets the most others over all its bands: likely the text that the others are edits of.
     met = groups.groupBy("node").agg(F.sum("n").alias("met"))
     groups = groups.join(met, "node").select("band", "node", "met")
     hubs = groups.groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("hub")).select("band", (-F.col("hub.least")).alias("hub"))
     groups = save(groups.join(hubs, "band").select("band", "hub", "node"))
-    save.release()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = save(pairs)
         sets = save(_sets_of(rows, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
         out = save(_passing(_joined(pairs, sets, "shingles"), lambda x, y: similar(np.frombuffer(x, U64), np.frombuffer(y, U64), percent)))
         save.drop(sets)
-        save.release()
         return out
 
     pairs = save(groups.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
@@ -249,7 +245,8 @@ def _compare(percent: int):
                     continue
                 whole = size[k] <= LEAST and size[m] <= LEAST
                 likeness = near_by_least(least[k], least[m], whole)
-                if whole and likeness >= percent / 100:
+                # Only pairs that stay links if two of their equal 32 bits belong to different shingles join components here.
+                if whole and near_by_least(least[k], least[m], whole, spare=2) >= percent / 100:
                     root[a] = b
                 if likeness >= percent / 100 - (0.01 if whole else LEAST_SLACK):
                     pairs.add((min(int(node[k]), int(node[m])), max(int(node[k]), int(node[m]))))
@@ -263,14 +260,16 @@ def least_hashes(shingles: np.ndarray) -> np.ndarray:
     return (shingles[:LEAST] >> U64(32)).astype(np.uint32)
 
 
-def near_by_least(one: np.ndarray, other: np.ndarray, whole: bool = False) -> float:
-    """The Jaccard similarity of two sets by their smallest hashes: as far as 32 bits tell if both are known to be whole, or have fewer than LEAST."""
+def near_by_least(one: np.ndarray, other: np.ndarray, whole: bool = False, spare: int = 0) -> float:
+    """The Jaccard similarity of two sets by their smallest hashes: as far as 32 bits tell if both are known to be whole, or have fewer than LEAST.
+
+    So many equal hashes as `spare` says are taken for different ones (of sets that are known to be whole)."""
     both = np.concatenate([one, other])
     both.sort()
     twice = np.flatnonzero(both[1:] == both[:-1])
     union = len(both) - len(twice)
     if whole or union <= LEAST or (len(one) < LEAST and len(other) < LEAST):
-        return len(twice) / max(union, 1)
+        return max(0, len(twice) - spare) / max(union + spare, 1)
     # The LEAST smallest of the union: what lies above can be unknown to the other side.
     top = both[np.delete(np.arange(len(both)), twice + 1)][LEAST - 1]
     return float((both[twice] <= top).sum()) / LEAST

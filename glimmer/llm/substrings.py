@@ -145,14 +145,12 @@ def remove_repeats(docs: DataFrame, length: int = 35, first: int = 18, as_digest
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     distinct = save(rows.groupBy("key").agg(F.first("text").alias("text"), (F.count("*") > 1).alias("copied")))
-    save.release()
     size = distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / part_bytes))
     bits = max(1, math.ceil(math.log2(max(2, size / 6 / range_words))))
     part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")
     texts = save.bucketed(distinct.select(part, "key", "text", "copied"), "part", max(1, math.ceil(parts / 3)))
     save.drop(distinct)
-    save.release()
 
     def opened(table):
         table = table.sort_by("key")
@@ -197,7 +195,6 @@ def remove_repeats(docs: DataFrame, length: int = 35, first: int = 18, as_digest
         else:
             sent = by_part.applyInArrow(sender(k), "range int, part int, packed binary")
         answers.append(save(sent.groupBy("range").applyInArrow(answerer(k), "part int, level int, range int, flags binary")))
-        save.release()
         if not answers[-1].take(1):
             break
 
@@ -238,5 +235,4 @@ def remove_repeats(docs: DataFrame, length: int = 35, first: int = 18, as_digest
         flags = flags.unionByName(more)
     found = save(texts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(finish, f"key binary, n_words long, n_removed long, spans array<struct<start: int, end: int>>, {name} string"))
     save.drop(texts)
-    save.release()
     return rows.select("doc_id", "key").join(found, "key").select("doc_id", "n_words", "n_removed", "spans", name)

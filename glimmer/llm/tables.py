@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,19 +15,34 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's limit of an Arrow batch, which every Python step of this package relies on."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the cluster names it; else (tests, one machine) a folder made here once."""
+    """spark.checkpoint.dir where the cluster names it; on one machine (a local master) else a folder made here once."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = _own.setdefault(spark.sparkContext.applicationId, "")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        named = _own.get(spark.sparkContext.applicationId)
         if not named:
             named = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return named.rstrip("/")
 
 
+@contextlib.contextmanager
+def own_shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of the writes in this block as each ends: what they made is in the table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Saved:
     """Tables written once and read again, which cuts lineage: a lost executor costs a re-read, no recomputation."""
 
@@ -36,7 +52,8 @@ class Saved:
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        with own_shuffles_deleted(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.saved_at = path
         return out
@@ -44,22 +61,19 @@ class Saved:
     def bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
         """A table whose groups by `column` need no further shuffle."""
         name, path = f"saved_{uuid.uuid4().hex}", f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
-        df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(name)
+        with own_shuffles_deleted(self.spark):
+            df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(name)
         out = self.spark.table(name)
         out.saved_at, out.saved_as = path, name
         return out
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of finished steps: it does so when the driver collects its garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no later step reads."""
-        if getattr(df, "saved_as", None):
-            self.spark.sql(f"DROP TABLE IF EXISTS {df.saved_as}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no later step reads."""
+        for df in tables:
+            if getattr(df, "saved_as", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {df.saved_as}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its labels.
 
-Voters look at hits of a lexicon and at patterns.  The lexicon has a fixed list
-of insults and word beginnings mined from labelled documents: those that are
-far commoner in toxic ones, counted over all of them.  The label model takes
-each voter's vote (toxic, clean or none) as drawn from a distribution of its
-own for either class, estimates these and the class of each document by
-expectation-maximisation, and counts voters that agree beyond what the class
-explains for less.  A logistic regression learns the posterior labels.
+Voters look at hits of a lexicon and at patterns.  The lexicon is mined from
+labelled documents: word beginnings that are far commoner in toxic ones,
+counted over all of them.  The label model is generative: the class draws the
+votes (toxic, clean or none), each voter's by a table of its own (its accuracy)
+or, where two voters agree beyond what the class explains, by a table given the
+class and the other's vote (their correlation).  Such pairs form a tree, the
+one that explains most; tables, tree and the class of each document are
+estimated together by expectation-maximisation, beginning with the majority of
+the votes.  A logistic regression learns the posterior labels.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from pyspark.sql import functions as F
 from glimmer.llm.tables import Saved
 from glimmer.llm.text import PIECE, U64, Hasher, batches, mix, pieces
 
-#: Common English insults.
-SEEDS = ("clown", "disgusting", "dumb", "fool", "garbage", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "worthless")
 #: Lengths in bytes of the word beginnings; 0 is the whole word.
 STEMS = (0, 3, 4, 5, 6, 7, 8)
 #: Documents that the label model and the classifier see, and banks of the lexicon, at most.
@@ -32,7 +32,11 @@ SAMPLE, BANKS = 20_000, 12
 LEAST_DOCUMENTS, LIFT, SURE = 4, 20.0, 10.83
 #: Bits of the table that tells which word beginnings to count in clean documents.
 TABLE_BITS = 22
-MEASURES = ("words", "hits", "kinds", "seeds", "marks", "capitals", "lines")
+MEASURES = ("words", "hits", "kinds", "marks", "capitals", "lines")
+#: A Bloom filter of the labelled documents' ids: bits for each id, and bits at most (2 MB).
+BLOOM_EACH, BLOOM_BITS = 16, 1 << 24
+#: Mutual information, in nats given the class, from which on two voters' correlation is a parameter.
+CORRELATED = 0.02
 
 
 def slot(hashes: np.ndarray) -> np.ndarray:
@@ -57,9 +61,7 @@ class Reader:
         self.hasher = Hasher()
         self.hasher.space = np.ones(256, bool)
         self.hasher.space[[*range(97, 123), *range(128, 256)]] = False
-        seeds = [s.encode() for s in SEEDS]
-        self.seeds = np.sort(np.concatenate([h for _, _, h in self.stems(seeds, (0,))]))
-        self.lexicon = np.union1d(self.seeds, lexicon if lexicon is not None else np.zeros(0, U64))
+        self.lexicon = np.unique(lexicon) if lexicon is not None else np.zeros(0, U64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.lexicon >> U64(44)).astype(np.int64)] = True
 
@@ -83,8 +85,9 @@ class Reader:
         found = []
         for owner, number, hashes in self.stems([t.lower().encode("utf-8", "replace") for t in texts]):
             at = np.flatnonzero(self.filter[(hashes >> U64(44)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(self.lexicon, hashes[at]), len(self.lexicon) - 1)
-            at = at[self.lexicon[place] == hashes[at]]
+            if len(at):
+                place = np.minimum(np.searchsorted(self.lexicon, hashes[at]), len(self.lexicon) - 1)
+                at = at[self.lexicon[place] == hashes[at]]
             found.append((owner[at], number[at], hashes[at]))
         owner, number, hashes = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64))
         # A word is hit once, by the longest of its beginnings: those come last.
@@ -96,58 +99,83 @@ class Reader:
         for i in np.unique(owner[at]).tolist():
             mine = hashes[at][owner[at] == i]
             out[i, 2] = len(np.unique(mine))
-        out[:, 3] = np.bincount(owner, np.isin(hashes, self.seeds), minlength=n)
         banks = len(MEASURES) + (mix(hashes[at]) % U64(BANKS)).astype(np.int64)
         np.add.at(out, (owner[at], banks), 1)
         for i, t in enumerate(texts):
-            out[i, 0], out[i, 4], out[i, 6] = len(t.split()), t.count("!"), t.count("\n") + 1
-            out[i, 5] = capitals_in(t) / max(1, len(t))
+            out[i, 0], out[i, 3], out[i, 5] = len(t.split()), t.count("!"), t.count("\n") + 1
+            out[i, 4] = capitals_in(t) / max(1, len(t))
         return out
 
 
 def votes(m: np.ndarray) -> np.ndarray:
     """1 for toxic, -1 for clean, 0 for none: one column a voter."""
-    words, hits, kinds, seeds, marks, capitals, lines = m[:, : len(MEASURES)].T
+    words, hits, kinds, marks, capitals, lines = m[:, : len(MEASURES)].T
     dense = hits / np.maximum(words, 1)
-    columns = [np.where(hits >= n, 1, -1) for n in (2, 3)]
-    columns += [np.where(kinds >= n, 1, np.where(kinds == 0, -1, 0)) for n in (2, 3)]
-    columns += [np.where(seeds >= 2, 1, np.where(seeds == 1, -1, 0)), np.where(hits - seeds >= 2, 1, 0), np.where((dense > 0.01) & (hits > 1), 1, np.where(dense == 0, -1, 0))]
+    columns = [np.where(hits >= 2, 1, -1), np.where(kinds >= 2, 1, np.where(kinds == 0, -1, 0))]
+    columns += [np.where((dense > 0.01) & (hits > 1), 1, np.where(dense == 0, -1, 0))]
     columns += [np.where(marks >= 5, 1, 0), np.where((marks == 0) & (hits == 0), -1, 0), np.where(capitals > 0.5, 1, 0), np.where((lines > 3) & (hits < 2), -1, 0)]
     columns += [np.where(bank > 1, 1, 0) for bank in m[:, len(MEASURES) :].T]
     return np.stack(columns, axis=1).astype(np.int8)
 
 
 def features(m: np.ndarray) -> np.ndarray:
-    words, hits, kinds, seeds, marks, capitals, lines = m[:, : len(MEASURES)].T
-    steps = [hits >= n for n in (1, 2, 3, 5)] + [kinds >= n for n in (1, 2, 3)] + [seeds >= n for n in (1, 2)]
+    words, hits, kinds, marks, capitals, lines = m[:, : len(MEASURES)].T
+    steps = [hits >= n for n in (1, 2, 3, 5)] + [kinds >= n for n in (1, 2, 3)]
     rest = [np.log1p(hits), hits / np.maximum(words, 1), np.log1p(words), np.log1p(marks), capitals, np.log1p(lines)]
     return np.stack([np.ones(len(m)), *map(np.asarray, steps), *rest, *np.minimum(m[:, len(MEASURES) :].T, 2)], axis=1).astype(float)
 
 
 class LabelModel:
-    """Vote distributions of all voters for both classes, and how much each voter counts."""
+    """p(class, votes) = p(class) x the product of p(vote | class), or of p(vote | class, the vote of the voter's parent).
 
-    def __init__(self, v: np.ndarray, prior: float, labels: np.ndarray, rounds: int = 12) -> None:
+    `tables[class, voter, vote + 1]` are the voters' own distributions;
+    `parents` is the tree of correlated voters (-1: none); and
+    `joint[voter, class, parent's vote + 1, vote + 1]` are the distributions
+    given the parent.
+    """
+
+    def __init__(self, v: np.ndarray, prior: float, rounds: int = 15) -> None:
         self.prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
-        p = np.clip(labels.astype(float), 0.05, 0.95)  # where the estimation begins
+        # Where the estimation begins: the majority of the votes, those of voters that vote alike counting together.
+        spread = np.sqrt(v.var(axis=0)) + 1e-9
+        alike = (v - v.mean(axis=0)).T @ (v - v.mean(axis=0)) / len(v) / np.outer(spread, spread)
+        weight = 1 / (1 + (alike**2).sum(axis=1) - np.diag(alike) ** 2)
+        p = np.clip(0.5 + v @ weight / (2 * np.maximum((v != 0) @ weight, 1e-9)), 0.02, 0.98)
+        one_hot = (v[:, :, None] == np.array([-1, 0, 1])).reshape(len(v), -1).astype(float)
+        n = v.shape[1]
         for _ in range(rounds):
-            self.tables = np.stack([np.stack([(((v == x) * q[:, None]).sum(axis=0) + 0.5) / (q.sum() + 1.5) for x in (-1, 0, 1)]) for q in (1 - p, p)])
-            self.counts = 1 / (1 + self._agreement(v, p))
+            counts = np.stack([(one_hot * q[:, None]).T @ one_hot for q in (1 - p, p)]).reshape(2, n, 3, n, 3)
+            own = np.stack([[counts[y, j, :, j, :].diagonal() for j in range(n)] for y in (0, 1)])
+            self.tables = (own + 0.5) / (own + 0.5).sum(axis=2, keepdims=True)
+            self.parents, self.information = self._tree(counts)
+            self.joint = np.empty((n, 2, 3, 3))
+            for j, parent in enumerate(self.parents):
+                # A pair of votes that isn't seen falls back on the voter's own distribution.
+                given = (counts[:, parent, :, j, :] if parent >= 0 else 0) + 0.5 * self.tables[:, j, None, :]
+                self.joint[j] = given / given.sum(axis=2, keepdims=True)
             p = self.posterior(v)
 
-    def _agreement(self, v: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """The sum of each voter's correlations with the others that the class doesn't explain."""
-        expected = sum(np.outer(q, (t * np.array([-1, 0, 1])[:, None]).sum(axis=0)) for q, t in zip((1 - p, p), self.tables, strict=True))
-        rest = v - expected
-        scale = np.sqrt((rest**2).mean(axis=0)) + 1e-6
-        self.correlations = (rest.T @ rest) / len(v) / np.outer(scale, scale)
-        strong = np.where(np.abs(self.correlations) > 0.2, np.abs(self.correlations), 0)
-        return strong.sum(axis=1) - np.diag(strong)
+    @staticmethod
+    def _tree(counts: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Each voter's parent in the tree with the most mutual information given the class, and that of all pairs."""
+        n = counts.shape[1]
+        share = (counts.transpose(0, 1, 3, 2, 4) + 1e-3) / (counts.sum() / n**2 + 18e-3)  # class, voter, voter, votes
+        alone, other, whole = share.sum(axis=4, keepdims=True), share.sum(axis=3, keepdims=True), share.sum(axis=(3, 4), keepdims=True)
+        information = (share * np.log(share * whole / (alone * other))).sum(axis=(0, 3, 4))
+        parents, done = [-1] * n, [0]
+        while len(done) < n:  # Prim's algorithm
+            rest = [j for j in range(n) if j not in done]
+            i, j = max(((i, j) for i in done for j in rest), key=lambda x: information[x])
+            parents[j] = i if information[i, j] > CORRELATED else -1
+            done.append(j)
+        return parents, information
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        odds = np.log(self.tables[1] / self.tables[0])
-        each = np.take_along_axis(odds, v.astype(np.int64) + 1, axis=0)
-        total = np.log(self.prior / (1 - self.prior)) + (each * self.counts).sum(axis=1)
+        at = v.astype(np.int64) + 1
+        total = np.full(len(v), np.log(self.prior / (1 - self.prior)))
+        for j, parent in enumerate(self.parents):
+            odds = np.log(self.joint[j, 1] / self.joint[j, 0])
+            total += odds[at[:, parent], at[:, j]] if parent >= 0 else np.log(self.tables[1, j] / self.tables[0, j])[at[:, j]]
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
@@ -174,8 +202,8 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from labelled(text, toxic): 1 and 0 in toxic; others and null don't count, null text is empty.
 
     The lexicon is mined over all rows; the label model and the classifier see
-    about `sample` of them.  With no toxic row the lexicon is the fixed list,
-    and with none of either class the prior is even.
+    about `sample` of them, equal texts once.  With no toxic or no clean row
+    the lexicon is empty.
     """
     import pyarrow as pa
 
@@ -237,12 +265,13 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x.tobytes() for x in m], pa.binary())], ["toxic", "measures"])
 
     share = int((1 << 40) * min(1.0, sample / max(1, toxic + clean)))
-    seen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share).mapInArrow(read, "toxic int, measures binary").collect()
+    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share).groupBy("text").agg(F.max("toxic").alias("toxic"))
+    seen = drawn.mapInArrow(read, "toxic int, measures binary").collect()
     save.drop(rows)
     if not seen:
         return Model(mined, np.array([-1.0]), None)
-    m, y = np.stack([np.frombuffer(r["measures"]) for r in seen]), np.array([r["toxic"] for r in seen])
-    model = LabelModel(votes(m), toxic / max(1, toxic + clean), y)
+    m = np.stack([np.frombuffer(r["measures"]) for r in seen])
+    model = LabelModel(votes(m), toxic / max(1, toxic + clean))
     return Model(mined, regress(features(m), model.posterior(votes(m))), model)
 
 
@@ -273,6 +302,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
+def labelled_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, ...) that a Bloom filter of ids(doc_id) lets pass: all whose doc_id is among them, and some others.
+
+    The filter is a table of words of 64 bits, at most BLOOM_BITS in all
+    whatever the number of ids, so it is broadcast; a join after it moves
+    hardly more than the rows it keeps.
+    """
+    n = ids.count()
+    bits = min(BLOOM_BITS, 1 << max(10, (BLOOM_EACH * n).bit_length()))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    word, bit = F.shiftright(place, 6).alias("bloom_word"), (place % 64).cast("int").alias("bloom_bit")
+    table = ids.select(word, bit).groupBy("bloom_word").agg(F.bit_or(F.expr("shiftleft(1L, bloom_bit)")).alias("bloom_bits"))
+    found = docs.select(F.struct(*docs.columns).alias("row"), word, bit).join(F.broadcast(table), "bloom_word")
+    return found.where(F.getbit("bloom_bits", "bloom_bit") == 1).select("row.*")
+
+
 def predict_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of docs(doc_id, text), learned from labels(doc_id, toxic) of rows whose crc32(doc_id) mod 5 is not 0.
 
@@ -281,5 +326,10 @@ def predict_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     known = labels.where(F.col("doc_id").isNotNull() & ~held).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL")
-    model = learn(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"))
+    save = Saved(docs.sparkSession)
+    known = save(known)
+    texts = labelled_only(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), known)
+    # By a shuffle at every size, as the labels grow with the documents.
+    model = learn(texts.join(known.hint("shuffle_merge"), "doc_id").select("text", "toxic"))
+    save.drop(known)
     return score(docs.select("doc_id", held.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")

@@ -23,11 +23,28 @@ def test_label_model_finds_accuracies_and_correlations():
     vote = lambda accuracy, shown: np.where(rng.random(4000) < shown, np.where(rng.random(4000) < accuracy, 2 * y - 1, 1 - 2 * y), 0)
     one = vote(0.7, 1.0)
     v = np.stack([vote(0.9, 0.8), vote(0.85, 0.7), vote(0.8, 0.9), one, one, one], axis=1).astype(np.int8)
-    model = toxicity.LabelModel(v, 0.3, (v[:, :3].sum(axis=1) > 0).astype(float))
-    right = model.tables[1][2] / (model.tables[1][2] + model.tables[1][0])
+    model = toxicity.LabelModel(v, 0.3)
+    right = model.tables[1, :, 2] / (model.tables[1, :, 2] + model.tables[1, :, 0])
     assert np.allclose(right[:4], [0.9, 0.85, 0.8, 0.7], atol=0.08)
-    assert model.counts[3] < 0.45 < model.counts[0]  # three copies of a voter count about once
+    # The copies of a voter hang together.
+    edges = {frozenset(x) for x in enumerate(model.parents) if x[1] >= 0}
+    assert len(edges & {frozenset(x) for x in ((3, 4), (3, 5), (4, 5))}) == 2
+    assert model.information[3, 4] > 0.3 > 0.03 > model.information[0, 1]
     assert ((model.posterior(v) > 0.5) == y).mean() > 0.9
+    # By enumeration: the posterior is the share of the class in the joint probability of the votes.
+    at = v[:50].astype(int) + 1
+    joint = [np.prod([model.joint[j, c, at[:, k], at[:, j]] if (k := model.parents[j]) >= 0 else model.tables[c, j][at[:, j]] for j in range(6)], axis=0) for c in (0, 1)]
+    assert np.allclose(model.posterior(v[:50]), 0.3 * joint[1] / (0.3 * joint[1] + 0.7 * joint[0]))
+
+
+def test_bloom_filter_keeps_all_labelled_documents(spark, monkeypatch):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'x' AS bloom_word")
+    ids = spark.range(0, 20_000, 10).selectExpr("id AS doc_id")
+    found = toxicity.labelled_only(docs, ids)
+    assert found.columns == docs.columns and found.join(ids, "doc_id").count() == 2000 and found.count() < 4000
+    monkeypatch.setattr(toxicity, "BLOOM_BITS", 1 << 10)
+    assert toxicity.labelled_only(docs, ids).join(ids, "doc_id").count() == 2000
+    assert toxicity.labelled_only(docs, ids.where("doc_id < 0")).count() == 0
 
 
 def test_regression_against_gradient():
