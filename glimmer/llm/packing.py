@@ -39,9 +39,11 @@ _BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 class Encoder:
     """Ids of whole texts by a tokenizers file.
 
-    A byte-level BPE whose merges are numbered in their order is the same as
-    its vocabulary as ranks, which tiktoken encodes several times faster;
-    other files are encoded by the tokenizers library itself.
+    The ids are those of the tokenizers library by its defaults, without special
+    tokens added: the string of one that a text holds is its id.  A byte-level
+    BPE whose merges are numbered in their order is the same as its vocabulary
+    as ranks, which tiktoken encodes several times faster, between the added
+    tokens; other files are encoded by the tokenizers library itself.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -52,18 +54,26 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.bytes = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-        special = {t["content"] for t in raw["added_tokens"]}
+        special = {t["content"]: t["id"] for t in raw["added_tokens"]}
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in raw["added_tokens"])
         tokens = {t: self._raw(t) for t in model["vocab"] if t not in special}
         merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
         in_order = all(a < b for a, b in zip(merged, merged[1:], strict=False))
-        if split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and in_order and None not in tokens.values() and not raw["normalizer"]:
+        if split == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and in_order and None not in tokens.values() and not raw["normalizer"] and plain:
             import tiktoken
 
             ranks = {b: model["vocab"][t] for t, b in tokens.items()}
-            self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            ordinary = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
+            def encode(text: str) -> list[int]:
+                if added is None or not added.search(text):
+                    return ordinary(text)
+                return [i for k, piece in enumerate(added.split(text)) for i in ([special[piece]] if k % 2 else ordinary(piece))]
+
+            self.encode = encode
         else:
             tokenizer = Tokenizer.from_str(vocabulary)
-            tokenizer.encode_special_tokens = True
             self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         size = 1 + max([*model["vocab"].values(), *(t["id"] for t in raw["added_tokens"])])
         self.ends, self.spaced = np.zeros(size, bool), np.zeros(size, bool)

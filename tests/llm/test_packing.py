@@ -15,11 +15,10 @@ def reference_ids(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
-TEXTS = ["", " ", "a", "Hello, world!  It's 12.5 \n\n über—naïve 日本語 <|endoftext|> x", "end. Next? Yes!\nNo.", None, "  lead", "trail  ", "é" * 50, "word " * 5000, "don't 've we'll\t\tx"]
+TEXTS = ["", " ", "a", "Hello, world!  It's 12.5 \n\n über—naïve 日本語 <|endoftext|> x", "<|endoftext|>", "a <|endoftext|><|endoftext|>  b <|endoftext| >\n", "end. Next? Yes!\nNo.", None, "  lead", "trail  ", "é" * 50, "word " * 5000, "don't 've we'll\t\tx"]
 
 
 def test_encoder_equals_the_tokenizers_library(monkeypatch):
