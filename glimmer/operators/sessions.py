@@ -90,14 +90,12 @@ def session_intervals(merged: DataFrame, content: DataFrame, cfg: EngineConfig,
     return enrich(rows, content).withColumn("version", F.unix_millis(now))
 
 
-def enrich(rows: DataFrame, content: DataFrame, most_broadcast_rows: int = 200_000) -> DataFrame:
+def enrich(rows: DataFrame, content: DataFrame) -> DataFrame:
     """Adds video_type, category, title ('' where the content isn't known).
 
-    The catalogue is broadcast while it has few rows (about 20 MB at the limit), else joined by a shuffle.
+    Whether the catalogue is small enough to be broadcast is Spark's to tell, by its size in bytes.
     """
     known = content.groupBy("content_id").agg(*[F.min(c).alias(c) for c in ("video_type", "category", "title")])
-    if known.limit(most_broadcast_rows + 1).count() <= most_broadcast_rows:
-        known = F.broadcast(known)
     joined = rows.join(known, "content_id", "left")
     for c in ("video_type", "category", "title"):
         joined = joined.withColumn(c, text_or_empty(F.col(c)))

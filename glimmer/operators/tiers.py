@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.config import CORE_DIMS, EngineConfig
 from glimmer.functions.scalar import bucket_floor, plus_seconds
+from glimmer.operators.cells import count_cells, expand
 
 CELL_KEY = (*CORE_DIMS, "minute")
 
@@ -22,29 +23,22 @@ def split_at(events: DataFrame, cfg: EngineConfig) -> DataFrame:
     return events.agg(plus_seconds(bucket_floor(F.max("event_timestamp"), cfg.bucket_seconds), -cfg.hot_window_seconds).alias("wm"))
 
 
-def cold(cells: DataFrame, boundary: DataFrame) -> DataFrame:
-    return cells.join(F.broadcast(boundary)).where("minute < wm").drop("wm")  # boundary is one row
+def cold(intervals: DataFrame, boundary: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Cells before the boundary (one row); intervals are clipped there before they are expanded."""
+    return count_cells(expand(intervals.join(F.broadcast(boundary)), cfg, until=F.col("wm")))
 
 
-def hot(cells: DataFrame, boundary: DataFrame) -> DataFrame:
-    return cells.join(F.broadcast(boundary)).where("minute >= wm").drop("wm")
+def hot(intervals: DataFrame, boundary: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Cells from the boundary (one row) on; intervals that end before it are not expanded."""
+    return count_cells(expand(intervals.join(F.broadcast(boundary)), cfg, since=F.col("wm")))
 
 
 def serve(cold_cells: DataFrame, hot_cells: DataFrame) -> DataFrame:
-    """Cold rows, and hot rows after the last cold minute (all, if cold is empty)."""
+    """Cold rows, and hot rows after the last cold minute (all, if cold is empty); for tiers that were written at different times."""
     last = cold_cells.agg(F.coalesce(F.max("minute"), F.timestamp_seconds(F.lit(0))).alias("last"))
     return cold_cells.unionByName(hot_cells.join(F.broadcast(last)).where("minute > last").drop("last"))
 
 
-def compact(cells: DataFrame, done_until, until) -> DataFrame:
-    """Cells that have left the hot window since the last compaction: done_until < minute <= until.
-
-    Cells come from the expansion of all intervals that reach into that range,
-    not just those that have ended, so a long interval loses no minute.
-    """
-    return cells.where((F.col("minute") > done_until) & (F.col("minute") <= until))
-
-
 def retained(rows: DataFrame, column: str, days: int, as_of) -> DataFrame:
     return rows.where(F.col(column) >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
 

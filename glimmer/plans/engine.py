@@ -65,15 +65,16 @@ class Engine:
 
     @cached_property
     def cold(self) -> DataFrame:
-        return tiers.cold(self.cells, self.boundary)
+        return tiers.cold(self.intervals, self.boundary, self.cfg)
 
     @cached_property
     def hot(self) -> DataFrame:
-        return tiers.hot(self.cells, self.boundary)
+        return tiers.hot(self.intervals, self.boundary, self.cfg)
 
     @cached_property
     def now(self) -> DataFrame:
-        return tiers.serve(self.cold, self.hot)
+        """What is served: both tiers.  Here they are derived from the same intervals and part at one minute, so they are all cells."""
+        return self.cells
 
     def sweep(self, foreground_resumes: bool, grace_seconds: int, gap_seconds: int) -> DataFrame:
         """Session cells under other knobs, with the sweep's own classifier and islands that only gaps split."""

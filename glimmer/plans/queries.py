@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glimmer.config import TESTDATA_CONFIG
+from glimmer.config import CORE_DIMS, EXTENDED_DIMS, TESTDATA_CONFIG, Rules
 from glimmer.operators import cells as C
 from glimmer.operators import sessions as S
 from glimmer.operators import tiers
@@ -75,8 +75,13 @@ def _expanded(source: str, start: str, end: str) -> str:
     return f"SELECT x.*, coalesce(cd.video_type, '') AS video_type, coalesce(cd.category, '') AS category, coalesce(cd.title, '') AS title, unnest(generate_series({_floor(start)}, {_floor(end + ' - INTERVAL 1 MILLISECOND')}, INTERVAL {B} SECOND)) AS minute FROM {source} x LEFT JOIN cd USING (content_id) WHERE {end} > {start}"
 
 
-ON = "event_type IN ('VideoSessionStart', 'VideoPlay', 'AppForegrounded') OR event IN ('resume', 'speed-resume', 'AdResume')"
-OFF = "event_type IN ('AppBackgrounded', 'VideoSessionEnd', 'VideoError', 'VideoPause', 'AdBreakStart') OR event IN ('pause', 'speed-pause', 'AdPause')"
+def _among(types: tuple[str, ...], markers: tuple[str, ...]) -> str:
+    listed = lambda values: ", ".join(f"'{v}'" for v in values)
+    return f"event_type IN ({listed(types)}) OR event IN ({listed(markers)})"
+
+
+RULES = Rules()
+ON, OFF = _among(RULES.activating_types, RULES.activating_markers), _among(RULES.deactivating_types, RULES.deactivating_markers)
 COUNTS = "count(DISTINCT video_session_id) AS concurrent, count(DISTINCT user_id) AS concurrent_users"
 BASE = f"""WITH {testdata.CTES},{_states(ON, OFF)},{_segments(H, G)},{_islands(True)},
 iv AS (
@@ -99,11 +104,37 @@ sp AS (SELECT unnest(generate_series(lo, hi, INTERVAL {B} SECOND)) AS minute FRO
 de AS (SELECT minute, coalesce(c, 0) AS concurrent, coalesce(u, 0) AS concurrent_users FROM sp LEFT JOIN cu USING (minute))
 """
 
+EXTENDED_KEYS = f"{KEYS}, subtitle_language, audio_language, player_version, app_version, title"
+#: Cells another way than BASE's: no windows and no islands.  A session's state at an event is its last turn so far, by a self-join,
+#: and it counts in a bucket that one of its active stretches overlaps, by a join with all buckets.
+MEMBERS = f"""WITH {testdata.CTES},
+tr AS (
+  SELECT video_session_id, event_timestamp AS ts, min(user_id) AS user_id, min(content_id) AS content_id, min(platform) AS platform, min(country) AS country,
+    CASE WHEN bool_or(NOT ({ON}) AND ({OFF})) THEN -1 WHEN bool_or({ON}) THEN 1 ELSE 0 END AS turn
+  FROM ev GROUP BY 1, 2),
+la AS (
+  SELECT a.video_session_id, a.ts, arg_max(b.turn, b.ts) FILTER (b.turn <> 0 AND b.ts <= a.ts) AS state, min(b.ts) FILTER (b.ts > a.ts) AS next_ts
+  FROM tr a JOIN tr b USING (video_session_id) GROUP BY 1, 2),
+ac AS (
+  SELECT tr.*, ts AS s, CASE WHEN date_diff('second', ts, next_ts) <= {G} THEN next_ts ELSE ts + INTERVAL {H} SECOND END AS e
+  FROM tr JOIN la USING (video_session_id, ts) WHERE state = 1),
+gr AS (SELECT unnest(generate_series({_floor("(SELECT min(s) FROM ac)")}, {_floor("(SELECT max(e) FROM ac)")}, INTERVAL {B} SECOND)) AS minute),
+mb AS (
+  SELECT ac.*, minute, coalesce(video_type, '') AS video_type, coalesce(category, '') AS category, coalesce(title, '') AS title
+  FROM ac JOIN gr ON s < minute + INTERVAL {B} SECOND AND e > minute LEFT JOIN cd USING (content_id)),
+ind AS (SELECT {KEYS}, {COUNTS} FROM mb GROUP BY ALL),
+lv AS (
+  SELECT video_session_id, {", ".join(f"max({c}) FILTER (event_timestamp = last_ts) AS {c}" for c in ("subtitle_language", "audio_language", "player_version", "app_version"))}
+  FROM (SELECT ev.*, m.last_ts FROM ev JOIN (SELECT video_session_id, max(event_timestamp) AS last_ts FROM ev GROUP BY 1) m USING (video_session_id)) GROUP BY 1),
+inx AS (SELECT {EXTENDED_KEYS}, {COUNTS} FROM mb JOIN lv USING (video_session_id) GROUP BY ALL),
+per AS (SELECT minute, sum(concurrent)::BIGINT AS c, sum(concurrent_users)::BIGINT AS u FROM ind GROUP BY 1)
+"""
+
 
-def query(name: str, sql: str):
+def query(name: str, sql: str, base: str = BASE):
     def add(make: Callable[[Engine], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: plain(make(engine(spark, sf_dir)))
-        ORACLE_SQL[name] = BASE + sql
+        ORACLE_SQL[name] = base + sql
         return make
 
     return add
@@ -164,8 +195,10 @@ query(
     f"""SELECT max(c)::BIGINT AS peak_concurrency, arg_min(minute, (-c, minute)) AS peak_minute, round(sum(c) / (SELECT date_diff('second', min(minute), max(minute)) / {B} + 1 FROM ex), 1) AS avg_concurrency, arg_max(c, minute)::BIGINT AS last_minute_concurrency
 FROM (SELECT minute, sum(concurrent) AS c FROM ex WHERE audio_language = 'hin' AND player_version = 'p1' GROUP BY 1)""",
 )(lambda e: serving.kpis(e.cells_extended, e.cfg, audio_language="hin", player_version="p1", app_version=""))
-query("dropdown_platform", "SELECT DISTINCT platform FROM now")(lambda e: serving.dropdown(e.now, "platform"))
-query("dropdown_audio", "SELECT DISTINCT audio_language FROM ex")(lambda e: serving.dropdown(e.cells_extended, "audio_language"))
+for column in ("platform", "country", "video_type", "category"):
+    query(f"dropdown_{column}", f"SELECT DISTINCT {column} FROM now")(lambda e, column=column: serving.dropdown(e.now, column))
+for name, column in (("audio", "audio_language"), ("subtitle", "subtitle_language"), ("player_version", "player_version"), ("app_version", "app_version")):
+    query(f"dropdown_{name}", f"SELECT DISTINCT {column} FROM ex")(lambda e, column=column: serving.dropdown(e.cells_extended, column))
 query("dropdown_title", "SELECT DISTINCT content_id, title FROM ex")(lambda e: serving.dropdown(e.cells_extended, "content_id", "title"))
 query("time_bounds", "SELECT min(minute) AS from_ts, max(minute) AS to_ts FROM now")(lambda e: serving.bounds(e.now, "minute"))
 for value in ("concurrent", "concurrent_users"):
@@ -176,8 +209,10 @@ MISMATCH = f"FROM (SELECT {KEYS}, concurrent AS a, concurrent_users AS ua FROM s
 query("compare_sa_si", f"SELECT {KEYS}, coalesce(a, 0) AS concurrent_a, coalesce(b, 0) AS concurrent_b, coalesce(ua, 0) AS concurrent_users_a, coalesce(ub, 0) AS concurrent_users_b {MISMATCH}")(lambda e: validation.differences(e.cells, e.cells_independent, (*C.CORE_DIMS, "minute")))
 query("scorecard", f"SELECT (SELECT count(*) FROM sa) AS cells_sa, (SELECT sum(concurrent)::BIGINT FROM sa) AS total_sa, (SELECT count(*) FROM si) AS cells_si, (SELECT sum(concurrent)::BIGINT FROM si) AS total_si, (SELECT count(*) {MISMATCH}) AS cell_mismatches")(lambda e: validation.scorecard(e.cells, e.cells_independent))
 query("ext_rollup", f"SELECT {KEYS}, coalesce(a, 0)::BIGINT AS concurrent_a, coalesce(b, 0) AS concurrent_b FROM (SELECT {KEYS}, sum(concurrent) AS a FROM ex GROUP BY ALL) FULL JOIN (SELECT {KEYS}, concurrent AS b FROM sa) USING ({KEYS}) WHERE coalesce(a, 0) <> coalesce(b, 0)")(lambda e: validation.rollup_differences(e.cells_extended, e.cells))
-query("array_segments", "SELECT video_session_id, user_id, platform, seg_start, seg_end FROM sg")(lambda e: validation.array_segments(e.events, e.cfg))
-query("array_anti_joins", "SELECT 0::BIGINT AS only_arrays, 0::BIGINT AS only_windows")(lambda e: validation.array_atoms_differences(e.events, e.atoms, e.cfg))
+query("array_segments", "SELECT video_session_id, user_id, platform, content_id, country, seg_start, seg_end FROM sg")(lambda e: validation.array_segments(e.events, e.cfg))
+query("array_anti_joins", "SELECT 0::BIGINT AS only_arrays, 0::BIGINT AS only_windows, count(*) AS by_arrays FROM (SELECT DISTINCT video_session_id, minute FROM mb)", MEMBERS)(
+    lambda e: validation.array_atoms_differences(e.events, e.atoms, e.cfg)
+)
 query("pause_exclusion", "SELECT count(*) AS deactivated_instants, count(DISTINCT video_session_id) AS sessions_with_paused_state, (SELECT count(*) FROM st JOIN iv USING (video_session_id) WHERE state = -1 AND active_start <= ts AND ts < active_end) AS inside_active_interval FROM st WHERE state = -1")(lambda e: validation.paused_inside(e.events, e.intervals))
 query(
     "start_seeding",
@@ -192,9 +227,71 @@ query(
 FROM (SELECT date_diff('second', min(event_timestamp) FILTER (event_type = 'VideoSessionStart'), min(event_timestamp) FILTER (event_type = 'VideoPlay' OR event IN ('resume', 'speed-resume', 'AdResume'))) AS g FROM ev GROUP BY video_session_id) WHERE g IS NOT NULL""",
 )(lambda e: validation.lead_in(e.events))
 query("interval_repeats", f"SELECT video_session_id, {_floor('active_start')} AS minute, count(*) AS intervals_in_minute FROM iv GROUP BY ALL HAVING count(*) > 1")(lambda e: validation.repeats_in_bucket(e.intervals, e.cfg))
-for resumes, grace, gap in ((1, H, G), (0, H, H), (1, H // 2, G)):
+for resumes, grace, gap in ((0, H, H), (1, H // 2, G), *((r, grace, gap) for r in (0, 1) for grace in (0, H) for gap in (G, G * 4 // 3))):
     name = f"knob_sweep_{resumes}_{grace}_{gap}"
     on = "event_type = 'VideoPlay' OR event IN ('resume', 'speed-resume', 'AdResume')" + (" OR event_type = 'AppForegrounded'" if resumes else "")
     off = "event_type IN ('AppBackgrounded', 'VideoSessionEnd', 'VideoError') OR event IN ('pause', 'speed-pause', 'AdPause')"
     QUERIES[name] = lambda spark, sf_dir, knobs=(bool(resumes), grace, gap): plain(engine(spark, sf_dir).sweep(*knobs))
     ORACLE_SQL[name] = f"WITH {testdata.CTES},{_states(on, off)},{_segments(grace, gap)},{_islands(False)} SELECT {KEYS}, count(DISTINCT video_session_id) AS concurrent FROM ({_expanded('isl', 'active_start', 'active_end')}) GROUP BY ALL"
+
+
+# Served figures held against the reference: cells from arrays of events, without windows and islands.
+def _reference(e: Engine) -> DataFrame:
+    return validation.array_cells(e.events, e.content, e.cfg)
+
+
+def _both(source: str, columns: str, values: str) -> str:
+    """SQL of a result in which both sides have the values of `source`."""
+    sides = ", ".join(f"{v} AS {v}_{side}" for v in values.split(", ") for side in ("served", "reference"))
+    return f"SELECT {columns}, {sides}, true AS agree FROM {source}"
+
+
+CELL = (*CORE_DIMS, "minute")
+query("reconcile_minutes", "SELECT minute, c AS session_aware, c AS session_independent, c AS served, true AS agree FROM per", MEMBERS)(
+    lambda e: validation.three_way(session_aware=e.cells, session_independent=e.cells_independent, served=tiers.serve(e.cold, e.hot))
+)
+query("reconcile_cells", _both("ind", KEYS, "concurrent, concurrent_users"), MEMBERS)(lambda e: validation.beside(e.now, _reference(e), CELL, validation.VALUES, ("served", "reference")))
+query("reconcile_served_exact", "SELECT minute, c AS served, exact FROM per JOIN (SELECT minute, count(DISTINCT video_session_id) AS exact FROM mb GROUP BY 1) USING (minute) WHERE c <> exact", MEMBERS)(
+    lambda e: validation.served_and_exact(e.now, e.atoms)
+)
+query("compare_peaks", _both(f"({_peak('ind', 'country, platform')})", "country, platform", "peak, peak_minute").replace("_served", "_sa").replace("_reference", "_si"), MEMBERS)(
+    lambda e: validation.beside(*(serving.peak_by(c, ("country", "platform")) for c in (e.cells, e.cells_independent)), ("country", "platform"), ("peak", "peak_minute"), ("sa", "si"))
+)
+for value, short in (("concurrent", "c"), ("concurrent_users", "u")):
+    query(
+        f"reconcile_peak_avg_{value}",
+        f"SELECT unnest(['served', 'reference']) AS side, max({short})::BIGINT AS peak, arg_min(minute, (-{short}, minute)) AS peak_minute, round(sum({short}) / (date_diff('second', min(minute), max(minute)) / {B} + 1), 6) AS avg FROM per",
+        MEMBERS,
+    )(lambda e, value=value: serving.peak_avg(e.now, e.cfg, value).withColumn("side", F.lit("served")).unionByName(serving.peak_avg(_reference(e), e.cfg, value).withColumn("side", F.lit("reference"))))
+for name, keys in (("platform", ("platform",)), ("platform_country", ("platform", "country")), ("content", ("content_id",))):
+    query(f"reconcile_peak_{name}", _both(f"({_peak('ind', ', '.join(keys))})", ", ".join(keys), "peak, peak_minute"), MEMBERS)(
+        lambda e, keys=keys: validation.beside(*(serving.peak_by(c, keys) for c in (e.now, _reference(e))), keys, ("peak", "peak_minute"), ("served", "reference"))
+    )
+for unit in ("hour", "day"):
+    query(f"reconcile_peak_{unit}", _both(f"(SELECT date_trunc('{unit}', minute)::TIMESTAMP AS {unit}, max(c)::BIGINT AS peak, arg_min(minute, (-c, minute)) AS peak_minute FROM per GROUP BY 1)", unit, "peak, peak_minute"), MEMBERS)(
+        lambda e, unit=unit: validation.beside(*(serving.peak_in(c, unit) for c in (e.now, _reference(e))), (unit,), ("peak", "peak_minute"), ("served", "reference"))
+    )
+query(
+    "reconcile_foreground",
+    f"SELECT sum(c)::BIGINT AS served, sum(c)::BIGINT AS reference, (SELECT sum(n)::BIGINT FROM (SELECT {_floor('event_timestamp')} AS minute, count(DISTINCT video_session_id) AS n FROM ev WHERE event_type = 'VideoHeartbeat' GROUP BY 1)) AS naive FROM per",
+    MEMBERS,
+)(lambda e: validation.totals(served=(e.now, "concurrent"), reference=(_reference(e), "concurrent"), naive=(C.naive(e.events, e.cfg), "naive")))
+query("reconcile_extended", _both("inx", EXTENDED_KEYS, "concurrent, concurrent_users"), MEMBERS)(
+    lambda e: validation.beside(e.cells_extended, validation.array_cells_extended(e.events, e.content, e.cfg), (*CELL, *EXTENDED_DIMS), validation.VALUES, ("served", "reference"))
+)
+query("reconcile_rollup", f"SELECT {KEYS}, concurrent AS concurrent_extended, concurrent AS concurrent_core, true AS agree FROM ind", MEMBERS)(
+    lambda e: validation.beside(e.cells_extended.groupBy(*CELL).agg(F.sum("concurrent").alias("concurrent")), e.now, CELL, ("concurrent",), ("extended", "core"))
+)
+query(
+    "start_seeding_samples",
+    """SELECT video_session_id, session_start_ts, active_start, active_end, interval_count
+FROM (SELECT video_session_id, min(event_timestamp) AS session_start_ts FROM ev GROUP BY 1 HAVING count(*) FILTER (event_type = 'VideoSessionStart') > 0 AND count(*) FILTER (event_type = 'VideoHeartbeat') > 0
+  AND count(*) FILTER (event_type IN ('VideoPlay', 'AppForegrounded') OR event IN ('resume', 'speed-resume', 'AdResume')) = 0)
+JOIN (SELECT video_session_id, min(active_start) AS active_start, max(active_end) AS active_end, count(*) AS interval_count FROM iv GROUP BY 1) USING (video_session_id)
+ORDER BY session_start_ts DESC, video_session_id LIMIT 10""",
+)(lambda e: validation.start_only_samples(e.events, e.intervals))
+query(
+    "pause_samples",
+    """SELECT video_session_id, paused_instants, active_intervals, first_active, last_active FROM (SELECT video_session_id, count(*) AS paused_instants FROM st WHERE state = -1 GROUP BY 1)
+JOIN (SELECT video_session_id, count(*) AS active_intervals, min(active_start) AS first_active, max(active_end) AS last_active FROM iv GROUP BY 1) USING (video_session_id) ORDER BY paused_instants DESC, video_session_id LIMIT 10""",
+)(lambda e: validation.paused_samples(e.events, e.intervals))

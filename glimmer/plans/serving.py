@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.config import EngineConfig
@@ -10,14 +10,25 @@ from glimmer.functions.scalar import bucket_floor, long_or_zero, parse_time, sec
 from glimmer.operators.sessions import SESSION, enrich
 
 
-def filtered(rows: DataFrame, **wanted) -> DataFrame:
-    """Rows that match every filter; '' and None stand for all, and so does 0 for content_id given as text."""
+def matches(**wanted):
+    """The condition that a row matches every filter; '' and None stand for all, and so does 0 for content_id given as text."""
+    out = F.lit(True)
     for name, value in wanted.items():
         if name == "content_id" and isinstance(value, str):
-            rows = rows.where((F.lit(value) == "") | (long_or_zero(F.lit(value)) == 0) | (F.col(name) == long_or_zero(F.lit(value))))
+            out = out & ((F.lit(value) == "") | (long_or_zero(F.lit(value)) == 0) | (F.col(name) == long_or_zero(F.lit(value))))
         elif value not in (None, ""):
-            rows = rows.where(F.col(name) == value)
-    return rows
+            out = out & (F.col(name) == value)
+    return out
+
+
+def filtered(rows: DataFrame, **wanted) -> DataFrame:
+    return rows.where(matches(**wanted))
+
+
+def per_minute(cells: DataFrame, start: str, end: str, values: dict[str, str], **wanted) -> DataFrame:
+    """Sums of the cells that match for each minute of the range that has any cell; null where none of them matches."""
+    rows = within(cells, "minute", start, end)
+    return rows.groupBy("minute").agg(*[F.sum(F.when(matches(**wanted), F.col(v))).alias(name) for name, v in values.items()])
 
 
 def bounds(rows: DataFrame, column: str, start: str = "", end: str = "") -> DataFrame:
@@ -35,26 +46,44 @@ def within(rows: DataFrame, column: str, start: str, end: str) -> DataFrame:
 
 
 def curve(cells: DataFrame, cfg: EngineConfig, start: str = "", end: str = "", **wanted) -> DataFrame:
-    """Sessions and users for each bucket of the range, zero where nobody watches; off-grid bounds are floored."""
-    span = bounds(cells, "minute", start, end)
-    grid = F.sequence(*(bucket_floor(F.col(c), cfg.bucket_seconds) for c in ("from_ts", "to_ts")), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(cfg.bucket_seconds)))
-    spine = span.where("from_ts <= to_ts").select(F.explode(grid).alias("minute"))
-    sums = filtered(within(cells, "minute", start, end), **wanted).groupBy("minute").agg(F.sum("concurrent").alias("c"), F.sum("concurrent_users").alias("u"))
-    return spine.join(sums, "minute", "left").select("minute", F.coalesce("c", F.lit(0)).cast("long").alias("concurrent"), F.coalesce("u", F.lit(0)).cast("long").alias("concurrent_users"))
+    """Sessions and users for each bucket of the range, zero where nobody watches; off-grid bounds are floored.
+
+    The cells are read once: each minute that is there is followed by the zeros
+    up to the next one.  The window holds a row a bucket of the range.
+    """
+    sums = per_minute(cells, start, end, {"c": "concurrent", "u": "concurrent_users"}, **wanted)
+    given = [F.lit(t) for t in (start, end) if t]
+    if given:
+        # Both ends of the range are there, with cells or without; a range of which one end is the data's has none if that is beyond the other.
+        ends = cells.sparkSession.range(1).select(F.explode(F.array(*map(parse_time, given))).alias("minute"))
+        none = F.lit(None).cast("long")
+        sums = sums.unionByName(ends.select(bucket_floor(F.col("minute"), cfg.bucket_seconds).alias("minute"), none.alias("c"), none.alias("u")))
+        sums = sums.groupBy("minute").agg(F.sum("c").alias("c"), F.sum("u").alias("u"))
+    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(cfg.bucket_seconds))
+    next_minute = F.lead("minute").over(Window.orderBy("minute"))
+    grid = F.sequence(F.col("minute"), F.coalesce(F.col("next") - step, F.col("minute")), step)
+    rows = sums.withColumn("next", next_minute).select("c", "u", F.posexplode(grid).alias("i", "minute"))
+    value = lambda c: F.when(F.col("i") == 0, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return rows.select("minute", value("c").alias("concurrent"), value("u").alias("concurrent_users"))
 
 
 def earliest_peak(value: str = "c"):
     """The first minute of the highest value."""
-    return F.min_by("minute", F.struct(-F.col(value), "minute"))
+    return F.min_by("minute", F.when(F.col(value).isNotNull(), F.struct(-F.col(value), "minute")))
 
 
 def kpis(cells: DataFrame, cfg: EngineConfig, start: str = "", end: str = "", **wanted) -> DataFrame:
-    """Peak, its first minute, the average over all buckets of the range, and the last bucket's value."""
-    sums = filtered(within(cells, "minute", start, end), **wanted).groupBy("minute").agg(F.sum("concurrent").alias("c"))
-    top = sums.agg(F.max("c").cast("long").alias("peak_concurrency"), earliest_peak().alias("peak_minute"), F.sum("c").alias("total"), F.max_by("c", "minute").cast("long").alias("last_minute_concurrency"))
-    buckets = seconds_between(F.col("from_ts"), F.col("to_ts")) / cfg.bucket_seconds + 1
-    both = top.join(F.broadcast(bounds(cells, "minute", start, end)))  # one row each
-    return both.select("peak_concurrency", "peak_minute", F.round(F.col("total") / buckets, 1).alias("avg_concurrency"), "last_minute_concurrency")
+    """Peak, its first minute, the average over all buckets of the range, and the last bucket's value; the cells are read once."""
+    sums = per_minute(cells, start, end, {"c": "concurrent"}, **wanted)
+    first = parse_time(F.lit(start)) if start else F.min("minute")
+    last = parse_time(F.lit(end)) if end else F.max("minute")
+    buckets = seconds_between(first, last) / cfg.bucket_seconds + 1
+    return sums.agg(
+        F.max("c").cast("long").alias("peak_concurrency"),
+        earliest_peak().alias("peak_minute"),
+        F.round(F.sum("c") / buckets, 1).alias("avg_concurrency"),
+        F.max_by("c", F.when(F.col("c").isNotNull(), F.col("minute"))).cast("long").alias("last_minute_concurrency"),
+    )
 
 
 def _starts_and_ends() -> list:
@@ -88,6 +117,12 @@ def peak_by(cells: DataFrame, keys: tuple[str, ...], value: str = "concurrent",
     return sums.groupBy(*keys).agg(F.max("c").cast("long").alias("peak"), earliest_peak().alias("peak_minute"))
 
 
+def peak_in(cells: DataFrame, unit: str) -> DataFrame:
+    """The peak of each hour or day, and its first minute."""
+    sums = cells.groupBy("minute").agg(F.sum("concurrent").alias("c"))
+    return sums.groupBy(F.date_trunc(unit, "minute").alias(unit)).agg(F.max("c").cast("long").alias("peak"), earliest_peak().alias("peak_minute"))
+
+
 def top_content(cells: DataFrame, content: DataFrame, k: int = 20, start: str = "", end: str = "", **wanted) -> DataFrame:
     """The k contents with the highest peaks, ties by id, with a name for unknown ones."""
     top = peak_by(cells, ("content_id",), start=start, end=end, **wanted).orderBy(F.desc("peak"), "content_id").limit(k)

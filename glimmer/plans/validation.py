@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.config import CORE_DIMS, EngineConfig, Rules
+from glimmer.config import CORE_DIMS, EXTENDED_DIMS, EngineConfig, Rules
 from glimmer.functions.scalar import bucket_floor, plus_seconds, seconds_between
 from glimmer.operators import cells as C
 from glimmer.operators import sessions as S
@@ -44,26 +44,94 @@ def array_segments(events: DataFrame, cfg: EngineConfig, rules: Rules = Rules())
 
     A structurally different way to the same rows, for checking: a session's history is one array.
     """
-    steps = S.collapse(S.classify(events, rules)).groupBy(SESSION).agg(F.array_sort(F.collect_list(F.struct("ts", "transition", "user_id", "platform"))).alias("steps"))
-    fill = F.aggregate(
-        "steps",
-        F.array().cast("array<int>"),
-        lambda out, x: F.concat(out, F.array(F.when(x["transition"] != 0, x["transition"]).when(F.size(out) > 0, F.element_at(out, -1)).otherwise(0))),
-    )
-    rows = steps.select(SESSION, "steps", fill.alias("states")).select(SESSION, "steps", "states", F.posexplode("steps").alias("i", "step"))
-    following = F.get(F.col("steps"), F.col("i") + 1)["ts"]
-    rows = rows.where(F.get(F.col("states"), F.col("i")) == 1).select(SESSION, F.col("step.user_id").alias("user_id"), F.col("step.platform").alias("platform"), F.col("step.ts").alias("seg_start"), following.alias("next_ts"))
+    steps = S.collapse(S.classify(events, rules)).groupBy(SESSION).agg(F.array_sort(F.collect_list(F.struct("ts", "transition", "user_id", "platform", "content_id", "country"))).alias("steps"))
+    places = F.sequence(F.lit(0), F.size("steps") - 1)
+    rows = steps.withColumn("turns", F.filter(places, lambda i: F.get("steps", i)["transition"] != 0))
+    # From each turn to the next, that one included: of those that activate, every step but the next turn is active.
+    part = F.transform("turns", lambda b, k: F.slice("steps", b + 1, F.coalesce(F.get("turns", k + 1), F.size("steps")) - b + 1))
+    rows = rows.select(SESSION, F.posexplode(part).alias("k", "part"), (F.size("turns") - 1).alias("last")).where(F.get("part", F.lit(0))["transition"] == 1)
+    pairs = F.zip_with("part", F.slice("part", 2, 1 << 30), lambda step, following: F.struct(step.alias("step"), following["ts"].alias("next_ts")))
+    active = F.slice(pairs, F.lit(1), F.size("part") - F.when(F.col("k") < F.col("last"), 1).otherwise(0))
+    rows = rows.select(SESSION, F.inline(active)).select(SESSION, "step.user_id", "step.platform", "step.content_id", "step.country", F.col("step.ts").alias("seg_start"), "next_ts")
     end = F.when(seconds_between(F.col("seg_start"), F.col("next_ts")) <= cfg.gap_seconds, F.col("next_ts")).otherwise(plus_seconds(F.col("seg_start"), cfg.heartbeat_seconds))
     return rows.withColumn("seg_end", end).drop("next_ts")
 
 
+def array_cells(events: DataFrame, content: DataFrame, cfg: EngineConfig, rules: Rules = Rules()) -> DataFrame:
+    """Cells from the segments of arrays, without islands: independent of what is served."""
+    return C.session_independent(array_segments(events, cfg, rules), content, cfg)
+
+
+def array_cells_extended(events: DataFrame, content: DataFrame, cfg: EngineConfig, rules: Rules = Rules()) -> DataFrame:
+    """Extended cells in the same way."""
+    parts = array_segments(events, cfg, rules).withColumnsRenamed({"seg_start": "active_start", "seg_end": "active_end"})
+    rows = S.enrich(parts, content).join(C.latest_attributes(events), SESSION)
+    return C.count_cells(C.expand(rows, cfg), (*CORE_DIMS, "minute", *EXTENDED_DIMS))
+
+
+def totals(**sides: tuple[DataFrame, str]) -> DataFrame:
+    """One row: the sum of each side's column."""
+    out = None
+    for name, (rows, column) in sides.items():
+        one = rows.agg(F.sum(column).cast("long").alias(name))
+        out = one if out is None else out.join(F.broadcast(one))  # a row each
+    return out
+
+
+def three_way(**sides: DataFrame) -> DataFrame:
+    """Session totals of each minute by every side, which should agree, and whether they do: full joins, a missing side counting as 0."""
+    out = None
+    for name, cells in sides.items():
+        one = cells.groupBy("minute").agg(F.sum("concurrent").alias(name))
+        out = one if out is None else out.join(one, "minute", "full")
+    counts = [F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in sides]
+    out = out.select("minute", *counts)
+    first = next(iter(sides))
+    agree = F.lit(True)
+    for name in sides:
+        agree = agree & (F.col(name) == F.col(first))
+    return out.withColumn("agree", agree)
+
+
+def beside(left: DataFrame, right: DataFrame, keys: tuple[str, ...], values: tuple[str, ...], names: tuple[str, str]) -> DataFrame:
+    """The values of two sides by key, null where a side has none, and whether all agree."""
+    one, other = (df.select(*keys, *[F.col(v).alias(f"{v}_{n}") for v in values]) for df, n in zip((left, right), names, strict=True))
+    agree = F.lit(True)
+    for v in values:
+        agree = agree & F.col(f"{v}_{names[0]}").eqNullSafe(F.col(f"{v}_{names[1]}"))
+    return one.join(other, list(keys), "full").withColumn("agree", agree)
+
+
+def served_and_exact(cells: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Minutes in which the sum of served sessions isn't the number of distinct ones: sessions that switch a dimension within the bucket."""
+    served = cells.groupBy("minute").agg(F.sum("concurrent").cast("long").alias("served"))
+    exact = atoms.groupBy("minute").agg(F.count_distinct(SESSION).alias("exact"))
+    both = served.join(exact, "minute", "full").select("minute", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("served", "exact")])
+    return both.where("served <> exact")
+
+
 def array_atoms_differences(events: DataFrame, atoms: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Counts of (session, bucket) pairs that just one of the two ways has; anti joins both ways."""
+    """Counts of (session, bucket) pairs of both ways, and of those that just one of them has; anti joins both ways."""
     parts = array_segments(events, cfg).withColumnsRenamed({"seg_start": "active_start", "seg_end": "active_end"})
     one = C.expand(parts, cfg).select(SESSION, "minute").distinct()
     other = atoms.select(SESSION, "minute").distinct()
     lone = lambda a, b, name: a.join(b, [SESSION, "minute"], "left_anti").agg(F.count("*").alias(name))
-    return lone(one, other, "only_arrays").join(F.broadcast(lone(other, one, "only_windows")))
+    return lone(one, other, "only_arrays").join(F.broadcast(lone(other, one, "only_windows"))).join(F.broadcast(one.agg(F.count("*").alias("by_arrays"))))  # a row each
+
+
+def start_only_samples(events: DataFrame, intervals: DataFrame, rules: Rules = Rules(), k: int = 10) -> DataFrame:
+    """The k latest sessions that only a start activated, with their intervals' span and number."""
+    spans = intervals.groupBy(SESSION).agg(F.min("active_start").alias("active_start"), F.max("active_end").alias("active_end"), F.count("*").alias("interval_count"))
+    firsts = events.groupBy(SESSION).agg(F.min("event_timestamp").alias("session_start_ts"))
+    rows = start_only_sessions(events, rules).join(firsts, SESSION).join(spans, SESSION)
+    return rows.orderBy(F.desc("session_start_ts"), SESSION).limit(k)
+
+
+def paused_samples(events: DataFrame, intervals: DataFrame, rules: Rules = Rules(), k: int = 10) -> DataFrame:
+    """The k sessions with the most deactivated instants, with their intervals' span and number."""
+    paused = S.running_state(S.collapse(S.classify(events, rules))).where("state = -1").groupBy(SESSION).agg(F.count("*").alias("paused_instants"))
+    spans = intervals.groupBy(SESSION).agg(F.count("*").alias("active_intervals"), F.min("active_start").alias("first_active"), F.max("active_end").alias("last_active"))
+    return paused.join(spans, SESSION).orderBy(F.desc("paused_instants"), SESSION).limit(k)
 
 
 def paused_inside(events: DataFrame, intervals: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -77,11 +145,16 @@ def paused_inside(events: DataFrame, intervals: DataFrame, rules: Rules = Rules(
     return counts.join(F.broadcast(inside.agg(F.count("*").alias("inside_active_interval"))))
 
 
-def start_only(events: DataFrame, intervals: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row: sessions with a start and a beat but no other activation, and how many of them have an interval."""
+def start_only_sessions(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Sessions with a start and a beat but no other activation."""
     play = F.col("event_type").isin("VideoPlay", "AppForegrounded") | F.col("event").isin(*rules.activating_markers)
     found = events.groupBy(SESSION).agg(F.count_if(F.col("event_type") == "VideoSessionStart").alias("starts"), F.count_if(F.col("event_type") == "VideoHeartbeat").alias("beats"), F.count_if(play).alias("plays"))
-    found = found.where("starts > 0 AND beats > 0 AND plays = 0").select(SESSION)
+    return found.where("starts > 0 AND beats > 0 AND plays = 0").select(SESSION)
+
+
+def start_only(events: DataFrame, intervals: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """One row: sessions with a start and a beat but no other activation, and how many of them have an interval."""
+    found = start_only_sessions(events, rules)
     have = intervals.select(SESSION).distinct().withColumn("has", F.lit(1))
     return found.join(have, SESSION, "left").agg(F.count("*").alias("start_only_sessions"), F.count("has").alias("with_active_interval"), F.count_if(F.col("has").isNull()).alias("missing"))
 

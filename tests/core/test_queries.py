@@ -18,3 +18,21 @@ def test_query_against_sql(spark, name):
     want = c.sql(f"SELECT {', '.join(names)} FROM ({ORACLE_SQL[name]})").fetchall()
     plain = lambda rows: sorted(repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
     assert plain(df.select(*names).collect()) == plain(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_serving_reads_the_events_once(spark):
+    """Curves and figures come from one derivation of the cells; a tier adds the one-row boundary."""
+    for name, most in (("curve_dense", 1), ("kpi_peak_avg", 1), ("hour_grain", 1), ("concurrency_now", 1), ("tier_cold", 2), ("tier_hot", 2)):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        scans = plan.split("== Initial Plan ==")[-1].count("FileScan parquet")
+        assert 0 < scans <= most, (name, scans)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_reconciliations_are_not_empty_and_agree(spark):
+    for name in [n for n in QUERIES if n.startswith(("reconcile_", "compare_peaks"))]:
+        df = QUERIES[name](spark, SF)
+        if "agree" in df.columns:
+            rows = df.select("agree").collect()
+            assert rows and all(r["agree"] for r in rows), name
