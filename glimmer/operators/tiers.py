@@ -43,6 +43,11 @@ def retained(rows: DataFrame, column: str, days: int, as_of) -> DataFrame:
     return rows.where(F.col(column) >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
 
 
+def retained_versions(rows: DataFrame, days: int, as_of) -> DataFrame:
+    """Rows whose version, a time in epoch milliseconds, is within so many days of as_of."""
+    return retained(rows.withColumn("_at", F.timestamp_millis("version")), "_at", days, as_of).drop("_at")
+
+
 def overlap(cold_cells: DataFrame, hot_cells: DataFrame) -> DataFrame:
     """Minutes that are in both tiers; there should be none."""
     return cold_cells.select("minute").intersect(hot_cells.select("minute"))

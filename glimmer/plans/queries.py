@@ -160,6 +160,9 @@ query("bucket_expand", "SELECT video_session_id, user_id, platform, active_start
 query("cells_session_aware", "SELECT * FROM sa")(lambda e: e.cells)
 query("cells_session_independent", "SELECT * FROM si")(lambda e: e.cells_independent)
 query("cells_extended", "SELECT * FROM ex")(lambda e: e.cells_extended)
+query("intervals_retained", f"SELECT video_session_id, version FROM (SELECT DISTINCT video_session_id, epoch_ms(TIMESTAMP '{AS_OF}') AS version FROM isl) WHERE version >= epoch_ms(TIMESTAMP '2024-02-01 12:00:00' - INTERVAL {CFG.intervals_ttl_days} DAY)")(
+    lambda e: tiers.retained_versions(e.sessions, e.cfg.intervals_ttl_days, "2024-02-01 12:00:00").select(S.SESSION, "version")
+)
 query("tier_cold", "SELECT * FROM cold")(lambda e: e.cold)
 query("tier_hot", "SELECT * FROM hot")(lambda e: e.hot)
 query("tier_overlap", "SELECT minute FROM cold INTERSECT SELECT minute FROM hot")(lambda e: tiers.overlap(e.cold, e.hot))

@@ -4,7 +4,10 @@ Window functions and exact distinct counts don't run on a stream, so each
 micro-batch is worked on as a DataFrame.  Every table is a folder with a part
 for each batch, and a batch that is tried again replaces just its own parts:
 a retry changes nothing, and no path is overwritten while it is read.
-State merges on reading: last_seen by max, intervals by the newest version.
+State merges on reading: sessions' first and last times by min and max,
+attributes' values as a set, intervals by the newest version.  Events are in a
+folder for each day, and a batch reads no day before the first event of the
+sessions that it touches.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from glimmer.operators import tiers
 class LiveEngine:
     """Keeps concurrency up to date under `root`, a folder that the whole cluster shares.
 
-    A batch re-derives the sessions it touches from their whole history.
+    A batch re-derives the sessions it touches from their whole history, and
+    closes those that have fallen silent.
     Minutes older than the hot window are moved to the cold tier once and stay
     as they were then: events that come later than that change only the
     intervals.
@@ -32,18 +36,33 @@ class LiveEngine:
     def __init__(self, spark: SparkSession, root: str, content: DataFrame, cfg: EngineConfig = EngineConfig(), rules: Rules = Rules()) -> None:
         self.spark, self.root, self.content, self.cfg, self.rules = spark, root.rstrip("/"), content, cfg, rules
 
-    def _write(self, table: str, batch: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch}")
+    def _write(self, table: str, batch: int, rows: DataFrame, by: tuple[str, ...] = ()) -> None:
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{table}/batch={batch}")
 
-    def _read(self, table: str, until: int | None = None) -> DataFrame | None:
+    def _path(self, table: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def has(self, table: str) -> bool:
+        path, fs = self._path(table)
+        return fs.exists(path)
+
+    def _read(self, table: str, until: int | None = None) -> DataFrame | None:
+        if not self.has(table):
             return None
         rows = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}/batch=*")
         return rows if until is None else rows.where(F.col("batch") <= until)
 
     def events(self) -> DataFrame:
-        return self._read("events").drop("batch")
+        return self._read("events").drop("batch", "day")
+
+    def last_seen(self, until: int | None = None) -> DataFrame:
+        """One row a session: the times of its first and last event over all batches."""
+        return self._read("last_seen", until).groupBy(S.SESSION).agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+    def dim_values(self) -> DataFrame:
+        """The distinct values of the attributes over all batches."""
+        return self._read("dim_values").select("dim", "value").distinct()
 
     def intervals(self) -> DataFrame:
         """The newest version of each session's intervals, one row an interval."""
@@ -61,19 +80,28 @@ class LiveEngine:
 
     def process(self, landing: DataFrame, batch: int) -> None:
         """One micro-batch; the steps follow each other as they depend on each other."""
-        self._write("events", batch, S.project_landing(landing))
-        fresh = self._read("events").where(F.col("batch") == batch).drop("batch")
-        self._write("last_seen", batch, C.last_seen(fresh))
-        self._write("dim_values", batch, C.dim_values(fresh))
-        n, latest = self._read("last_seen", batch).agg(F.count("*"), F.max("last_ts")).first()
-        if not n:
+        self._write("events", batch, S.project_landing(landing).withColumn("day", F.date_format("event_timestamp", "yyyy-MM-dd")), ("day",))
+        if not self.spark.read.schema("event_timestamp timestamp").option("recursiveFileLookup", True).parquet(f"{self.root}/events/batch={batch}").take(1):
             return
+        fresh = self._read("events").where(F.col("batch") == batch).drop("batch", "day")
+        self._write("last_seen", batch, fresh.groupBy(S.SESSION).agg(F.min("event_timestamp").alias("first_ts"), F.max("event_timestamp").alias("last_ts")))
+        self._write("dim_values", batch, C.dim_values(fresh))
+        latest = self._read("last_seen", batch).agg(F.max("last_ts")).first()[0]
         now = F.lit(latest)
-        touched = fresh.select(S.SESSION).distinct()
-        history = self._read("events", batch).drop("batch").join(touched, S.SESSION, "left_semi")
+        touched = self._read("last_seen").where(F.col("batch") == batch).select(S.SESSION)
+        # The days since the first event of a touched session are all that its history can be in.
+        since_day = self.last_seen(batch).join(touched, S.SESSION, "left_semi").agg(F.date_format(F.min("first_ts"), "yyyy-MM-dd")).first()[0]
+        history = self._read("events", batch).where(F.col("day") >= since_day).drop("batch", "day").join(touched, S.SESSION, "left_semi")
         merged = S.islands(S.active_segments(history, self.cfg, self.rules))
-        rows = S.session_intervals(merged, self.content, self.cfg, as_of=latest)
-        self._write("intervals", batch, rows.withColumn("version", F.lit(batch).cast("long")))
+        rows = S.session_intervals(merged, self.content, self.cfg, as_of=latest).withColumn("version", F.lit(batch).cast("long"))
+        before = self._read("intervals", batch - 1)
+        if before is not None:
+            # Sessions without an event in this batch that can't go on any more: only their state changes.
+            open_rows = tiers.latest(before.drop("batch"), (S.SESSION,)).where("is_provisional").join(touched, S.SESSION, "left_anti")
+            last_end = F.array_max(F.transform("intervals", lambda iv: iv["active_end"]))
+            silent = open_rows.where(last_end < plus_seconds(now, -self.cfg.gap_seconds))
+            rows = rows.unionByName(silent.withColumn("is_provisional", F.lit(False)).withColumn("version", F.lit(batch).cast("long")))
+        self._write("intervals", batch, rows)
         intervals = C.unpack(tiers.latest(self._read("intervals", batch).drop("batch"), (S.SESSION,)))
         # The tiers part a hot window before the last event; cold takes what lies between the last parting and this one.
         until = plus_seconds(bucket_floor(now, self.cfg.bucket_seconds), -self.cfg.hot_window_seconds)
@@ -91,5 +119,14 @@ class LiveEngine:
         return landing.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
     def retain(self, as_of) -> DataFrame:
-        """Events within their retention; older months' folders can be dropped."""
+        """Events within their retention."""
         return tiers.retained(self.events(), "event_timestamp", self.cfg.events_ttl_days, as_of)
+
+    def drop_expired(self, as_of: str) -> int:
+        """Deletes the folders of days that are wholly beyond the events' retention at as_of; returns how many."""
+        cut = self.spark.range(1).select(F.date_format(F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(self.cfg.events_ttl_days)), "yyyy-MM-dd")).first()[0]
+        path, fs = self._path("events/batch=*/day=*")
+        old = [f.getPath() for f in fs.globStatus(path) or [] if f.getPath().getName().removeprefix("day=") < cut]
+        for folder in old:
+            fs.delete(folder, True)
+        return len(old)

@@ -73,3 +73,14 @@ def test_stream_equals_batch(spark, tmp_path):
     live.process(sources.read_json(spark, f"{tmp_path}/in/3.json"), 3)  # a retry changes nothing
     assert keys(live.now()) == keys(batch.cells)
     assert tiers.overlap(live._read("cold"), live._read("hot").where("batch = 3")).count() == 0
+    # State over all batches: readers merge it, and only sessions that can still go on are provisional.
+    seen = {r["video_session_id"]: (r["first_ts"], r["last_ts"]) for r in live.last_seen().collect()}
+    spans = batch.events.groupBy("video_session_id").agg(F.min("event_timestamp").alias("a"), F.max("event_timestamp").alias("b")).collect()
+    assert seen == {r["video_session_id"]: (r["a"], r["b"]) for r in spans}
+    assert sorted(map(tuple, live.dim_values().collect())) == sorted(map(tuple, cells.dim_values(batch.events).collect()))
+    last = batch.events.agg(F.max("event_timestamp")).first()[0]
+    again = Engine(sources.read_json(spark, f"{tmp_path}/in"), content, cfg, as_of=last)
+    ids = lambda df: {r[0] for r in df.where("is_provisional").select("video_session_id").distinct().collect()}
+    assert ids(live.intervals()) == ids(again.intervals)
+    day = str(last)[:10]
+    assert live.drop_expired("2020-01-01") == 0 and live.drop_expired("2030-01-01") > 0 and not [p for p in (tmp_path / "live" / "events").rglob("day=*") if day in p.name]
