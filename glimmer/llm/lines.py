@@ -1,35 +1,42 @@
 """Line dedup by an exact set-similarity join of lines.
 
 A line is the set of its words.  A line goes if an earlier line (by doc_id and
-line number) is the same set or has a Jaccard similarity of the threshold or
-more with it.  Equal sets are joined first: one set stands for all its lines.
+line number) has the same words or has a Jaccard similarity of the threshold or
+more with it.  Equal lines are found first: one of them stands for all.
 
-The join of different sets orders each set's words by rarity, rarest first, and
+The join of different lines orders each one's words by rarity, rarest first, and
 indexes the first few: two sets that are similar enough share one of those
 (prefix filter).  Candidates under one word pass if their sizes are near enough
 (length filter), if what follows the shared word's places can still make up
-the overlap (positional filter), and if their parity sketches (128 or 256 bits)
-differ in no more bits than the allowed words.  Words are ranked by document
-frequencies counted in a hash table of fixed size over all lines; any order of
-words makes the filters exact, the rare-first one makes them cheap.  A word that the
-table shows to be in one line only isn't indexed.
-
-Each set needs one earlier similar set, no matter which.  It is tried with its
-closest few candidates, verified on full sets; only sets that failed and have
-more candidates go on, with ever more of them, until none is left.
+the overlap (positional filter), and if their parity sketches, whose width
+follows the size of the set, differ in no more bits than the allowed words.
+Words are ranked by document frequencies counted in a hash table of fixed size
+over all lines; any order of words makes the filters exact, the rare-first one
+makes them cheap.  A word that the table shows to be in one line only isn't
+indexed.
+
+Each set needs one earlier similar set, no matter which.  Of a set's
+candidates a cell of the index keeps the closest two if those are surely near,
+else many; all cells' closest one is verified on full sets first, and only of sets for which
+that fails the other candidates are.  Sets that still have none but more
+candidates than were kept go to the index again for those that come next.
+
+The work is laid out as packed arrays: a part (some megabytes of texts) sends
+one array for each cell, and rows are made of what is found only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.llm.tables import Saved
-from glimmer.llm.text import U64, Hasher, batches, encoded, mix
+from glimmer.llm.text import U64, Hasher, batches, encoded, mix, pieces
 
 #: Bits of the table of word frequencies (a byte for each entry), and slices in which it is added up.
 TABLE_BITS, SLICES = 22, 64
@@ -37,47 +44,82 @@ TABLE_BITS, SLICES = 22, 64
 WORD_BITS, AT_ONCE = 44, 1 << 12
 #: Index entries in a range of words, those of one word beyond which it is compared in blocks, and pairs that are tested at once.
 RANGE, HOT, WIDE = 1 << 18, 1 << 19, 1 << 19
-#: Sets of more words have sketches of 256 bits instead of 128; their halves' sums are what 128 bits would hold.
-LONG = 96
-#: A candidate whose sketch differs in up to so many thousandths of the allowed words is surely near, but for a few.
-SURE = 800
-#: Candidates under a range of words that a set is tried with at first.
-FIRST = 16
-ENTRY = np.dtype([("word", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u4"), ("place", "<u4"), ("a", "<u8"), ("b", "<u8"), ("c", "<u8"), ("d", "<u8"), ("side", "u1")])
-PAIR = np.dtype([("doc", "<i8"), ("line", "<i8"), ("doc2", "<i8"), ("line2", "<i8"), ("more", "?")])
+#: Sets of up to so many words have sketches of 1, 2 and 4 times 64 bits, larger ones of 16 times.
+SIZES, WIDTHS = (40, 88, 400), (1, 2, 4, 16)
+#: Thousandths of the allowed different words, as the closest candidate's sketch lets expect them, up to which a set is surely near, and probably.
+SURE = (300, 750)
+#: Candidates that a set keeps of a cell at first: surely near, probably, or neither.
+FIRST = (2, 16, 256)
+_ID = [("doc", "<i8"), ("row", "<i8"), ("line", "<i4")]
+ENTRY = np.dtype([("word", "<u4"), *_ID, ("size", "<u4"), ("place", "<u4"), ("code", "u1"), ("side", "u1"), ("open", "u1")])
+KEY = np.dtype([("a", "<u8"), ("b", "<u8"), *_ID])
+PAIR = np.dtype([("row", "<i8"), ("line", "<i4"), ("row2", "<i8"), ("line2", "<i4"), ("far", "<i4"), ("more", "?")])
+#: The place in the order of a document without doc_id: after all others.
+LAST = (1 << 63) - 1
 
 
 class Lines:
-    """The lines of some texts: all of them, or of each text those of the given numbers."""
-
-    def __init__(self, texts: list[bytes], hasher: Hasher, numbers: list[list[int]] | None = None) -> None:
-        split = [t.split(b"\n") for t in texts]
-        if numbers is None:
-            numbers = [range(len(x)) for x in split]
-        else:
-            numbers = [[n for n in ns if n < len(x)] for ns, x in zip(numbers, split, strict=True)]
-        self.texts = [x[n] for ns, x in zip(numbers, split, strict=True) for n in ns]
-        self.doc = np.repeat(np.arange(len(texts)), [len(ns) for ns in numbers])
-        self.number = np.array([n for ns in numbers for n in ns], np.int64)
-        self.words, counts = hasher.words(self.texts)
-        self.line = np.repeat(np.arange(len(self.texts)), counts)
-        self.lengths = counts
-
-    def keys(self) -> list[bytes | None]:
-        """128 bits that tell lines apart, none for lines without words."""
-        return [hashlib.blake2b(t, digest_size=16).digest() if n else None for t, n in zip(self.texts, self.lengths.tolist(), strict=True)]
-
-    def sets(self) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted distinct words of all lines, and where each line's end."""
-        order = np.argsort(self.words)
-        new = np.ones(len(order), bool)
-        new[1:] = self.words[order][1:] != self.words[order][:-1]
-        known, ids = self.words[order][new], np.empty(len(order), np.int64)
-        ids[order] = np.cumsum(new) - 1
-        both = np.sort(self.line * max(len(known), 1) + ids)
-        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
-        line, ids = np.divmod(both, max(len(known), 1))
-        return known[ids], np.cumsum(np.bincount(line, minlength=len(self.texts)))
+    """Lines of some texts: `doc` and `number` tell each line's text and place in it; `words` are the hashes of all words, `line` the lines they are in."""
+
+    def __init__(self, doc: np.ndarray, number: np.ndarray, words: np.ndarray, line: np.ndarray) -> None:
+        self.doc, self.number, self.words, self.line = doc, number, words, line
+
+    @classmethod
+    def whole(cls, texts: list[bytes], hasher: Hasher, rows: np.ndarray | None = None, numbers: np.ndarray | None = None) -> Lines:
+        """All lines of the texts; those at (rows, numbers) count as empty."""
+        counts = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
+        starts = np.cumsum(counts) - counts
+        doc = np.repeat(np.arange(len(texts)), counts)
+        hashes, at, before, known = [np.zeros(0, U64)], [np.zeros(0, np.int64)], -1, 0
+        for first, buf, edges in pieces(texts):
+            # A piece of a long text goes on where the one before it ended; what joins texts is a line's end.
+            base = known if first == before else int(starts[first])
+            begin, end = hasher.bounds(buf)
+            breaks = np.flatnonzero(buf == 10)
+            hashes.append(hasher.span(hasher.prefix(buf), begin, end))
+            at.append(base + np.searchsorted(breaks, begin))
+            before, known = first, base + len(breaks) - 1
+        words, line = np.concatenate(hashes), np.concatenate(at)
+        if rows is not None and len(rows):
+            stay = np.ones(len(doc), bool)
+            stay[starts[rows] + numbers] = False
+            words, line = words[stay[line]], line[stay[line]]
+        return cls(doc, np.arange(len(doc)) - np.repeat(starts, counts), words, line)
+
+    @classmethod
+    def some(cls, texts: list[bytes], hasher: Hasher, rows: np.ndarray, numbers: np.ndarray) -> Lines:
+        """The lines at (rows, numbers), which come in order."""
+        found, split, last = [], [], -1
+        for i, n in zip(rows.tolist(), numbers.tolist(), strict=True):
+            if i != last:
+                split, last = texts[i].split(b"\n"), i
+            found.append(split[n])
+        words, counts = hasher.words(found)
+        return cls(rows, numbers, words, np.repeat(np.arange(len(found)), counts))
+
+    def with_any(self, asked: np.ndarray) -> Lines:
+        """Only the words of lines that have a word whose slot is asked for."""
+        stay = np.zeros(len(self.doc), bool)
+        stay[self.line[asked[slot(self.words)]]] = True
+        at = stay[self.line]
+        return Lines(self.doc, self.number, self.words[at], self.line[at])
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The lines that have words, and 128 bits of each: the same for lines of the same words, each as often."""
+        lengths = np.bincount(self.line, minlength=len(self.doc))
+        at, starts = np.flatnonzero(lengths), np.cumsum(lengths) - lengths
+        if not len(at):
+            return at, np.zeros((0, 2), U64)
+        return at, np.stack([np.add.reduceat(w, starts[at]) for w in (self.words, mix(self.words ^ U64(0x5851F42D4C957F2D)))], axis=1)
+
+    def sets(self) -> Iterator[bytes]:
+        """The sorted distinct words of each line."""
+        order = np.lexsort((self.words, self.line))
+        words, line = self.words[order], self.line[order]
+        new = np.ones(len(words), bool)
+        new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
+        raw, ends = words[new].tobytes(), np.cumsum(np.bincount(line[new], minlength=len(self.doc))) * 8
+        return (raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False))
 
 
 def slot(words: np.ndarray) -> np.ndarray:
@@ -89,40 +131,43 @@ def code(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.ceil(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
-def pack(entries: np.ndarray) -> bytes:
-    """Columns one after the other, each in the smallest width that holds its differences from its smallest value."""
-    out = [len(entries).to_bytes(4, "little")]
-    for name in ENTRY.names:
-        column = entries[name]
-        base = column.min()
-        rest = (column - base).astype(np.uint64)
-        width = next(w for w in (0, 1, 2, 4, 8) if int(rest.max()) < 1 << (8 * w))
-        out += [str(width).encode(), int(base).to_bytes(9, "little", signed=True), rest.astype(f"<u{width}").tobytes() if width else b""]
-    return b"".join(out)
+def pack(columns: dict[str, np.ndarray], sketch: np.ndarray | None = None) -> bytes:
+    """Columns one after the other, each in the smallest width that holds its differences from its smallest value; then the sketches."""
+    out = [len(next(iter(columns.values()))).to_bytes(4, "little"), bytes([0 if sketch is None else sketch.shape[1]])]
+    for column in columns.values():
+        base, most = int(column.min()), int(column.max())
+        width = next(w for w in (0, 1, 2, 4, 8) if most - base < 1 << (8 * w))
+        out += [b"%d" % width, base.to_bytes(9, "little", signed=True)]
+        if width:
+            out.append((column - column.dtype.type(base)).astype(f"<u{width}").tobytes())
+    return b"".join([*out, b"" if sketch is None else sketch.tobytes()])
 
 
-def unpack(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    out, at = np.empty(n, ENTRY), 4
-    for name in ENTRY.names:
+def unpack(raw: bytes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    n, wide = int.from_bytes(raw[:4], "little"), raw[4]
+    out, at = np.empty(n, kind), 5
+    for name in kind.names:
         width, base = int(raw[at : at + 1]), int.from_bytes(raw[at + 1 : at + 10], "little", signed=True)
         rest = np.frombuffer(raw, f"<u{width}", n, at + 10) if width else np.zeros(n, np.uint8)
-        out[name] = rest.astype(ENTRY[name]) + ENTRY[name].type(base)
+        out[name] = rest.astype(kind[name]) + kind[name].type(base)
         at += 10 + n * width
-    return out
+    return out, np.frombuffer(raw, "<u8", n * wide, at).reshape(n, wide)
 
 
-def index_entries(lines: Lines, docs: np.ndarray, table: np.ndarray, percent: int, asked: np.ndarray | None = None) -> np.ndarray:
-    """The prefix entries of lines; asked limits them to words whose slots it marks.
+def index_entries(lines: Lines, docs: np.ndarray, rows: np.ndarray, table: np.ndarray, percent: int, asked: np.ndarray | None = None, opened: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(entries, sketches) of the lines' prefixes for each width of sketch; docs and rows tell the texts' places.
 
-    A line's entries depend on its own words only, not on the lines that are read with it.
+    asked limits them to words whose slots it marks; opened marks lines that
+    look for candidates.  A line's entries depend on its own words only, not on
+    the lines that are read with it.
     """
-    ends = [*range(AT_ONCE, len(lines.texts), AT_ONCE), len(lines.texts)]
+    ends = [*range(AT_ONCE, len(lines.doc), AT_ONCE), len(lines.doc)]
     cuts = np.searchsorted(lines.line, [0, *ends]).tolist()
-    return np.concatenate([_some_entries(lines, begin, end, docs, table, percent, asked) for begin, end in zip(cuts, cuts[1:], strict=False)])
+    some = [_some_entries(lines, begin, end, docs, rows, table, percent, asked, opened) for begin, end in zip(cuts, cuts[1:], strict=False)]
+    return [(np.concatenate([s[i][0] for s in some]), np.concatenate([s[i][1] for s in some])) for i in range(len(WIDTHS))]
 
 
-def _some_entries(lines: Lines, begin: int, end: int, docs: np.ndarray, table: np.ndarray, percent: int, asked: np.ndarray | None) -> np.ndarray:
+def _some_entries(lines, begin, end, docs, rows, table, percent, asked, opened) -> list[tuple[np.ndarray, np.ndarray]]:
     """The entries of the words begin to end-1, which are those of at most AT_ONCE lines.
 
     Words are sorted as numbers of line, frequency code and the first WORD_BITS of the hash.
@@ -143,50 +188,63 @@ def _some_entries(lines: Lines, begin: int, end: int, docs: np.ndarray, table: n
     lengths = np.diff(np.append(starts, len(line)))
     sizes = np.repeat(lengths, lengths)
     place = np.arange(len(line)) - np.repeat(starts, lengths)
-    ones, quarter = U64(1) << (words & U64(63)), (words >> U64(6)) & U64(3)
-    sketch = [np.bitwise_xor.reduceat(np.where(quarter == q, ones, U64(0)), starts) if len(starts) else ones for q in map(U64, range(4))]
-    short = lengths <= LONG
-    sketch = [sketch[0] ^ np.where(short, sketch[2], U64(0)), sketch[1] ^ np.where(short, sketch[3], U64(0))] + [np.where(short, U64(0), x) for x in sketch[2:]]
+    kind = np.searchsorted(SIZES, lengths)
+    owner = np.repeat(np.arange(len(starts)), lengths)
     take = (place < prefix_length(sizes, percent)) & (codes > 0)
     if asked is not None:
         take &= asked[(words >> U64(bits - TABLE_BITS)).astype(np.int64)]
-    out = np.zeros(int(take.sum()), ENTRY)
-    number, owner = line[take], np.repeat(np.arange(len(starts)), lengths)[take]
-    for name, values in (("word", (words >> U64(bits - 32)).astype(np.uint32)[take]), ("doc", docs[lines.doc[number]]), ("line", lines.number[number]), ("size", sizes[take]), ("place", place[take]), *((c, x[owner]) for c, x in zip("abcd", sketch, strict=True)), ("side", codes[take])):
-        out[name] = values
+    ones = U64(1) << (words & U64(63))
+    out = []
+    for k, width in enumerate(WIDTHS):
+        mine = np.flatnonzero(kind == k)
+        sketch = np.zeros((len(mine), width), U64)
+        if len(mine):
+            of = np.flatnonzero(kind[owner] == k)
+            lane, at = (words[of] >> U64(6)) & U64(width - 1), np.cumsum(lengths[mine]) - lengths[mine]
+            for i in range(width):
+                sketch[:, i] = np.bitwise_xor.reduceat(np.where(lane == U64(i), ones[of], U64(0)) if width > 1 else ones[of], at)
+            at = of[take[of]]
+        else:
+            at = mine
+        entries, number = np.zeros(len(at), ENTRY), line[at]
+        doc = lines.doc[number]
+        values = {"word": (words[at] >> U64(bits - 32)).astype(np.uint32), "doc": docs[doc], "row": rows[doc], "line": lines.number[number], "size": sizes[at], "place": place[at], "code": codes[at]}
+        for name, value in values.items():
+            entries[name] = value
+        entries["open"] = 1 if opened is None else opened[number]
+        out.append((entries, sketch[np.searchsorted(mine, owner[at])]))
     return out
 
 
-def cells(entries: np.ndarray, ranges: int):
-    """(cell, whether only pairs of different sides count, entries) for the cells that entries go to.
+def cells(entries: np.ndarray, sketch: np.ndarray, ranges: int) -> Iterator[tuple[int, bool, bytes]]:
+    """(cell, whether only pairs of different sides count, packed entries) for the cells that entries go to.
 
-    side comes in as the frequency code.  A word in more than HOT lines, as far as the
-    code tells, is compared in blocks: its sets are dealt to blocks, each pair of blocks
-    is a cell.
+    A word in more than HOT lines, as far as the code tells, is compared in
+    blocks: its sets are dealt to blocks, each pair of blocks is a cell.
     """
-    blocks = np.ceil(np.exp2(entries["side"] / 8) / HOT).astype(np.int64)
-    plain = entries[blocks <= 1]
-    plain["side"] = 0
-    where = mix(plain["word"].astype(U64)) % U64(ranges)
-    order = np.argsort(where, kind="stable")
-    ends = np.cumsum(np.bincount(where.astype(np.int64), minlength=ranges))
-    for r, (begin, end) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
-        long = plain["size"][order[begin:end]] > LONG
-        for mine in (~long, long):  # apart, as long sets take more room
-            if mine.any():
-                yield r, False, plain[order[begin:end][mine]]
-    hot, blocks = entries[blocks > 1], blocks[blocks > 1]
-    own = (mix(hot["doc"].astype(U64) * U64(31) + hot["line"].astype(U64)) % blocks.astype(U64)).astype(np.int64)
-    for word in np.unique(hot["word"]).tolist():
-        mine = hot["word"] == word
-        n = int(blocks[mine].max())
-        for i in range(n):
-            for j in range(i, n):
-                one, other = mine & (own == i), mine & (own == j)
-                some = hot[one | other].copy()
-                if len(some):
-                    some["side"] = own[one | other] == j
-                    yield (1 << 40) + int(mix(np.array([(word << 20) ^ (i << 10) ^ j], U64))[0] >> U64(2)), i != j, some
+    blocks = np.ceil(np.exp2(entries["code"] / 8) / HOT).astype(np.int64)
+    plain = np.flatnonzero(blocks <= 1)
+    where = mix(entries["word"][plain].astype(U64)) % U64(ranges)
+    yield from _dealt(entries, sketch, plain, where.astype(np.uint16 if ranges < 1 << 16 else np.int64), np.zeros(len(plain), bool), np.zeros(len(plain), np.uint8))
+    hot = np.flatnonzero(blocks > 1)
+    if len(hot):
+        n = blocks[hot]
+        own = (mix(entries["row"][hot].astype(U64) * U64(31) + entries["line"][hot].astype(U64)) % n.astype(U64)).astype(np.int64)
+        at, own, other = np.repeat(hot, n), np.repeat(own, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        i, j = np.minimum(own, other), np.maximum(own, other)
+        cell = (1 << 62) + (mix((entries["word"][at].astype(U64) << U64(32)) ^ (i << 16 ^ j).astype(U64)) >> U64(2)).astype(np.int64)
+        yield from _dealt(entries, sketch, at, cell, i != j, (own == j).astype(np.uint8))
+
+
+def _dealt(entries, sketch, at, cell, crossing, side) -> Iterator[tuple[int, bool, bytes]]:
+    order = np.argsort(cell, kind="stable")
+    at, cell, crossing = at[order], cell[order], crossing[order]
+    columns = {name: entries[name][at] for name in ENTRY.names if name not in ("side", "code")}
+    columns |= {"side": side[order], "code": np.zeros(len(at), np.uint8)}
+    columns, sketch = {name: columns[name] for name in ENTRY.names}, sketch[at]
+    edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(cell[a]), bool(crossing[a]), pack({name: c[a:b] for name, c in columns.items()}, sketch[a:b])
 
 
 def prefix_length(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -209,73 +267,109 @@ def _chunks(counts: np.ndarray):
         at = end
 
 
-def candidates(entries: np.ndarray, percent: int, low: int, high: int, cross: bool = False, asked: np.ndarray | None = None) -> np.ndarray:
-    """Rows (set, earlier set, more) of index entries under equal words.
+def _largest_partner(size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """The size of the largest set that can still be similar to a set whose first shared word is at this place."""
+    return (size - place) * (100 + percent) // percent - size
+
 
-    Of each set the candidates number low to high-1 (closest sketches first),
-    with `more` where others follow; where not even the closest is surely
-    near, sixteen times as many.  asked limits the sets whose candidates are
-    wanted, cross the pairs to those of different sides.
+def _pairs(left, left_sketch, right, right_sketch, percent: int, cross: bool):
+    """(left, right, expected different words in thousandths of the allowed) of entries under equal words that pass all filters.
+
+    The right set has the larger size.  Of two equal ones each can be either,
+    unless both are in the part of the prefix that left sets are looked for in.
     """
-    order = np.lexsort((entries["size"], entries["word"]))
-    e, asked = entries[order], None if asked is None else asked[order]
-    n = len(e)
-    # Partners have the same word and at least percent of the size, from `first` to the entry itself.
-    size, place, doc, line, a_, b_, c_, d_, side = (np.ascontiguousarray(e[c]) for c in ("size", "place", "doc", "line", "a", "b", "c", "d", "side"))
-    one, other = a_ ^ c_, b_ ^ d_  # 128 bits of all
-    size, place = size.astype(np.int32), place.astype(np.int32)
-    word = e["word"].astype(U64) << U64(32)
-    first = np.searchsorted(word + size.astype(U64), word + (-(-size.astype(np.int64) * percent // 100)).astype(U64), side="left")
-    counts = np.arange(n) - first
-    found = []
-    for a, b in _chunks(counts):
-        k = counts[a:b]
-        if not k.sum():
+    width = min(left_sketch.shape[1], right_sketch.shape[1])
+    while right_sketch.shape[1] > width:  # a sketch of half the width is the sum of both halves
+        half = right_sketch.shape[1] // 2
+        right_sketch = right_sketch[:, :half] ^ right_sketch[:, half:]
+    size, place = left["size"].astype(np.int64), left["place"].astype(np.int64)
+    indexed = np.flatnonzero(_largest_partner(size, place, percent) >= size)
+    indexed = indexed[np.lexsort((size[indexed], left["word"][indexed]))]
+    key = (left["word"][indexed].astype(U64) << U64(32)) | size[indexed].astype(U64)
+    y, y_place, word = right["size"].astype(np.int64), right["place"].astype(np.int64), right["word"].astype(U64) << U64(32)
+    y_most = _largest_partner(y, y_place, percent)
+    first = np.searchsorted(key, word | (-(-y * percent // 100)).astype(U64), side="left")
+    last = np.searchsorted(key, word | np.clip(y_most, 0, y).astype(U64), side="right")
+    counts = np.maximum(last - first, 0)
+    lanes = [np.ascontiguousarray(left_sketch[indexed, i]) for i in range(width)], [np.ascontiguousarray(right_sketch[:, i]) for i in range(width)]
+    x, x_most = size[indexed].astype(np.int32), _largest_partner(size, place, percent)[indexed].astype(np.int32)
+    y, twice = y.astype(np.int32), y_most >= y
+    for begin, end in _chunks(counts):
+        k = counts[begin:end]
+        if not k.any():
             continue
-        right = np.repeat(np.arange(a, b), k)
-        left = np.arange(len(right)) + np.repeat(first[a:b] - (np.cumsum(k) - k), k)
-        x, y = size[left], size[right]
-        allowed = x + y - 2 * needed(x, y, percent)
-        differ = np.bitwise_count(one[left] ^ one[right])
-        ok = np.flatnonzero(differ <= allowed)
-        left, right, allowed = left[ok], right[ok], allowed[ok]
-        differ = differ[ok].astype(np.int32) + np.bitwise_count(other[left] ^ other[right])
-        ok = differ <= allowed
-        both = np.flatnonzero(ok & (size[left] > LONG) & (size[right] > LONG))
-        differ[both] = sum(np.bitwise_count(x[left[both]] ^ x[right[both]]).astype(np.int32) for x in (a_, b_, c_, d_))
-        ok &= differ <= allowed
-        x, y = size[left], size[right]
-        ok &= 1 + np.minimum(x - place[left] - 1, y - place[right] - 1) >= needed(x, y, percent)
-        ok &= (doc[left] != doc[right]) | (line[left] != line[right])
+        b = np.repeat(np.arange(begin, end), k)
+        a = np.arange(len(b)) + np.repeat(first[begin:end] - (np.cumsum(k) - k), k)
+        ok = np.flatnonzero(x_most[a] >= y[b])
+        a, b = a[ok], b[ok]
+        allowed = x[a] + y[b]
+        allowed -= 2 * needed(x[a], y[b], percent)
+        differ = np.zeros(len(a), np.int32)
+        for one, other in zip(*lanes, strict=True):
+            differ += np.bitwise_count(one[a] ^ other[b])
+            ok = np.flatnonzero(differ <= allowed)
+            a, b, differ, allowed = a[ok], b[ok], differ[ok], allowed[ok]
+        ok = (x[a] < y[b]) | ~twice[b] | (indexed[a] < b)
+        a, b, differ, allowed = indexed[a[ok]], b[ok], differ[ok], allowed[ok]
         if cross:
-            ok &= side[left] != side[right]
-        left, right, allowed, differ = left[ok], right[ok], allowed[ok], differ[ok]
-        later = (doc[left] > doc[right]) | ((doc[left] == doc[right]) & (line[left] > line[right]))
-        found.append(np.stack([np.where(later, left, right), np.where(later, right, left), differ * 1000 // np.maximum(allowed, 1)]))
-    out = np.zeros(0, PAIR)
+            ok = left["side"][a] != right["side"][b]
+            a, b, differ, allowed = a[ok], b[ok], differ[ok], allowed[ok]
+        free = np.maximum(1 - 2 * differ / (64 * width), 1e-9)
+        yield a, b, np.minimum(-32 * width * np.log(free) * 1000 / np.maximum(allowed, 1), 1 << 20).astype(np.int64)
+
+
+def candidates(packed: list[bytes], percent: int, low: int, high: int, cross: bool = False) -> np.ndarray:
+    """PAIR rows (set, earlier set, distance, more) of a cell's packed entries, for sets that are open.
+
+    Of each set come the candidates number low to high-1 (closest sketches
+    first), with `more` where others follow; both count in FIRST, by how near
+    the closest is.
+    """
+    kinds: dict[int, list] = {}
+    for raw in packed:
+        entries, sketch = unpack(raw, ENTRY)
+        kinds.setdefault(sketch.shape[1], []).append((entries, sketch))
+    kinds = {w: [np.concatenate([x[i] for x in some]) for i in (0, 1)] for w, some in kinds.items()}
+    # The sets of the cell are numbered in their order.
+    doc, row, line, opened = (np.concatenate([e[c] for e, _ in kinds.values()]) for c in ("doc", "row", "line", "open"))
+    order = np.lexsort((line, row, doc))
+    doc, row, line, opened = doc[order], row[order], line[order], opened[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (line[1:] != line[:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    row, line, opened = row[new], line[new], opened[new] > 0
+    numbers = dict(zip(kinds, np.split(number, np.cumsum([len(e) for e, _ in kinds.values()])[:-1]), strict=True))
+    # A pair is one number: the later set, how far, the earlier set.
+    bits = max(1, int(len(row)).bit_length())
+    coarse = max(0, 2 * bits + 21 - 63)
+    found = []
+    for width, right in kinds.items():
+        for other, left in kinds.items():
+            if other > width or 100 * left[0]["size"].max() < percent * right[0]["size"].min():
+                continue
+            for a, b, far in _pairs(*left, *right, percent, cross):
+                x, y = numbers[other][a], numbers[width][b]
+                earlier, later = np.minimum(x, y), np.maximum(x, y)
+                ok = (earlier < later) & opened[later]
+                found.append((later[ok] << (63 - bits)) | (far[ok] >> coarse << bits) | earlier[ok])
     if not found:
-        return out
-    later, earlier, far = np.concatenate(found, axis=1)
-    if asked is not None:
-        later, earlier, far = later[asked[later]], earlier[asked[later]], far[asked[later]]
-    if not len(later):
-        return out
-    by = np.lexsort((line[earlier], doc[earlier], far, line[later], doc[later]))
-    values = np.stack([doc[later], line[later], doc[earlier], line[earlier], far])[:, by]
-    new = np.ones(values.shape[1], bool)
-    new[1:] = (values[:, 1:] != values[:, :-1]).any(axis=0)
-    values = values[:, new]
-    head = np.ones(values.shape[1], bool)
-    head[1:] = (values[:2, 1:] != values[:2, :-1]).any(axis=0)
+        return np.zeros(0, PAIR)
+    found = np.sort(np.concatenate(found))
+    found = found[np.append(True, found[1:] != found[:-1])] if len(found) else found
+    later, earlier = found >> (63 - bits), found & ((1 << bits) - 1)
+    far = (found >> bits & ((1 << (63 - 2 * bits)) - 1)) << coarse
+    head = np.ones(len(found), bool)
+    head[1:] = later[1:] != later[:-1]
     starts = np.flatnonzero(head)
     lengths = np.diff(np.append(starts, len(head)))
     rank = np.arange(len(head)) - np.repeat(starts, lengths)
-    most = np.repeat(np.where(values[4][starts] > SURE, 16 * high, high), lengths)
-    take = (rank >= low) & (rank < most)
+    times = np.repeat(np.array(FIRST)[np.searchsorted(SURE, far[starts])], lengths)
+    take = (rank >= low * times) & (rank < high * times)
     out = np.zeros(int(take.sum()), PAIR)
-    for name, v in zip(("doc", "line", "doc2", "line2"), values, strict=False):
-        out[name] = v[take]
-    out["more"] = (np.repeat(lengths, lengths) > most)[take]
+    more = np.repeat(lengths, lengths) > high * times
+    for name, v in {"row": row[later[take]], "line": line[later[take]], "row2": row[earlier[take]], "line2": line[earlier[take]], "far": far[take], "more": more[take]}.items():
+        out[name] = v
     return out
 
 
@@ -292,22 +386,34 @@ def near_enough(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
 
 
 def _word_slices(counts: np.ndarray) -> list[tuple[int, bytes]]:
-    """The non-zero counts of each slice of the table: numbers and counts, 4 bytes each."""
+    """The non-zero counts of each slice of the table: numbers within it (2 bytes), then counts (4)."""
+    return [(i, _packed_counts(c)) for i, c in enumerate(counts.reshape(SLICES, -1)) if c.any()]
+
+
+def _packed_counts(counts: np.ndarray) -> bytes:
     at = np.flatnonzero(counts)
-    parts = np.split(at, np.searchsorted(at, np.arange(1, SLICES) * (len(counts) // SLICES)))
-    return [(i, np.stack([p, np.minimum(counts[p], 0xFFFFFFFF)]).astype("<u4").tobytes()) for i, p in enumerate(parts) if len(p)]
+    return at.astype("<u2").tobytes() + np.minimum(counts[at], 0xFFFFFFFF).astype("<u4").tobytes()
+
+
+def _summed(packed: list[bytes]) -> np.ndarray:
+    """The sums of a slice's packed counts."""
+    n = [len(p) // 6 for p in packed]
+    number = np.concatenate([np.frombuffer(p, "<u2", k) for p, k in zip(packed, n, strict=True)])
+    count = np.concatenate([np.frombuffer(p, "<u4", k, 2 * k) for p, k in zip(packed, n, strict=True)])
+    return np.bincount(number, count, minlength=(1 << TABLE_BITS) // SLICES).astype(np.int64)
 
 
-def _summed(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers and sums of packed counts."""
-    number, count = np.concatenate([np.frombuffer(p, "<u4").reshape(2, -1) for p in packed], axis=1).astype(np.int64)
-    first = int(number.min())
-    total = np.bincount(number - first, count)
-    at = np.flatnonzero(total)
-    return at + first, total[at]
+def _by_part(rows: np.ndarray, lines: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, rows within it, lines) of the lines of one part after the other."""
+    order = np.argsort(rows, kind="stable")
+    rows, lines = rows[order], lines[order]
+    part = rows >> 32
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(rows) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(part[a]), rows[a:b] & 0xFFFFFFFF, lines[a:b]
 
 
-def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, carry: tuple[str, ...] = (), rows_per_bucket: int = 4000) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, carry: tuple[str, ...] = (), part_bytes: int = 8 << 20, range_entries: int = RANGE) -> DataFrame:
     """docs(doc_id, text, ...) without the lines that repeat an earlier one, nearly or exactly.
 
     Returns for each row doc_id, n_lines, n_removed (long), removed (array<int>,
@@ -317,158 +423,213 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
     percent/100 or more with it, whether that one stays or not.
 
     Lines without words stay.  Null text has no lines and stays null (the hash
-    of an empty text); an empty text is one line without words.  Documents with a null doc_id come
-    last, in an order of their own.  Rows with equal doc_id are one document:
-    equal lines at equal numbers of it don't repeat each other.  An empty table
-    gives no rows; further columns aren't read.
+    of an empty text); an empty text is one line without words.  Documents with
+    a null doc_id come last.  Rows with equal doc_id are documents of their own,
+    one after the other in a fixed order, so of equal rows one keeps its lines.
+    An empty table gives no rows; columns not named in carry aren't read.
+
+    Rows are dealt to parts of about part_bytes of text by a hash of doc_id and
+    text, once.  What meets in one group is bounded: a cell of the index by
+    range_entries and HOT, equal lines by one entry a part.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     spark = docs.sparkSession
     save = Saved(spark)
     text = F.col("text").cast("string")
-    late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), F.col("doc_id").isNull().alias("unnamed"), text.alias("text"), F.struct(F.lit(0).alias("glimmer"), *carry).alias("carried"))
-    n_rows = rows.count()
-    rows = save.bucketed(rows, "doc", max(1, math.ceil(n_rows / rows_per_bucket)))
-
-    # One pass: every line's set, and how many lines each word is in.
-    def scan(parts):
-        hasher, counts = Hasher(), np.zeros(1 << TABLE_BITS, np.int64)
-        nothing = {"slice": None, "packed": None, "key": None, "doc": None, "line": None}
-        for batch in batches(parts):
-            lines = Lines(encoded(batch.column("text")), hasher)
-            counts += np.bincount(slot(lines.words), minlength=len(counts))
-            names = batch.column("doc").to_numpy()[lines.doc]
-            none = pa.nulls(len(names))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), pa.array(lines.keys(), pa.binary()), pa.array(names), pa.array(lines.number.astype(np.int32))], schema=scanned)
-        if counts.any():
-            yield pa.RecordBatch.from_pylist([nothing | {"slice": i, "packed": p} for i, p in _word_slices(counts)], scanned)
-
-    scanned = pa.schema([("slice", pa.int32()), ("packed", pa.binary()), ("key", pa.binary()), ("doc", pa.int64()), ("line", pa.int32())])
-    found = save(rows.select("doc", "text").mapInArrow(scan, "slice int, packed binary, key binary, doc long, line int"))
+    size, count = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
+    parts = max(1, math.ceil((size or 0) / part_bytes), math.ceil(count * 64 / part_bytes))
+    part = F.pmod(F.xxhash64("doc_id", text), F.lit(parts)).cast("int")
+    rows = docs.select(part.alias("part"), F.col("doc_id").cast("long").alias("doc"), text.alias("text"), F.struct(F.lit(0).alias("glimmer"), *carry).alias("carried"))
+    rows = save.bucketed(rows, "part", max(1, math.ceil(parts / 3)))
+    texts = rows.select("part", "doc", "text")
+
+    def opened(table):
+        """The rows in their order, their places in the order of documents, and their numbers in all parts."""
+        table = table.sort_by([("doc", "ascending"), ("text", "ascending")])  # nulls last
+        docs = table["doc"].fill_null(LAST).to_numpy()
+        return table, docs, (np.int64(table["part"][0].as_py()) << 32) + np.arange(table.num_rows)
+
+    def marked(table):
+        """(rows within the part, lines) of the lines that a table names, without repeats."""
+        names = [(np.concatenate([[], *(x.values.to_numpy() for x in table[c])]) if table.num_rows else np.zeros(0)).astype(np.int64) for c in ("rows", "lines")]
+        both = np.unique(names[0] << 32 | names[1])
+        return both >> 32, both & 0xFFFFFFFF
+
+    # One pass: every line's key, and how many lines each word is in.
+    key_ranges = max(1, math.ceil((size or 0) / 64 / RANGE))
+
+    def scan(table):
+        table, docs, names = opened(table)
+        lines = Lines.whole(encoded(table["text"]), Hasher())
+        at, digests = lines.keys()
+        order = np.lexsort((at, digests[:, 1], digests[:, 0]))
+        first = np.ones(len(order), bool)
+        first[1:] = (digests[order[1:]] != digests[order[:-1]]).any(axis=1)
+        again = at[np.sort(order[~first])]  # equal to an earlier line of the part
+        at, digests = at[order[first]], digests[order[first]]
+        dealt = (digests[:, 0] % U64(key_ranges)).astype(np.int64)
+        order = np.argsort(dealt, kind="stable")
+        at, digests = at[order], digests[order]
+        keys = dict(zip(KEY.names, (*digests.T, docs[lines.doc[at]], names[lines.doc[at]], lines.number[at]), strict=True))
+        edges = np.searchsorted(dealt[order], np.arange(key_ranges + 1)).tolist()
+        out = [{"range": i, "packed": pack({n: c[a:b] for n, c in keys.items()})} for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+        out += [{"slice": i, "packed": p} for i, p in _word_slices(np.bincount(slot(lines.words), minlength=1 << TABLE_BITS))]
+        if len(again):
+            out.append({"part": table["part"][0].as_py(), "rows": lines.doc[again], "lines": lines.number[again]})
+        return pa.Table.from_pylist(out, scanned)
+
+    some_lines = "part int, rows array<int>, lines array<int>"
+    lists = [("part", pa.int32()), ("rows", pa.list_(pa.int32())), ("lines", pa.list_(pa.int32()))]
+    scanned = pa.schema([("range", pa.int32()), ("slice", pa.int32()), ("packed", pa.binary()), *lists])
+    found = save(texts.groupBy("part").applyInArrow(scan, "range int, slice int, packed binary, " + some_lines))
 
     def add(table):
-        number, total = _summed(table["packed"].to_pylist())
-        return pa.table({"slice": table["slice"].slice(0, 1), "packed": pa.array([np.stack([number, np.minimum(total, 0xFFFFFFFF)]).astype("<u4").tobytes()], pa.binary())})
-
-    slices = found.where("slice IS NOT NULL").select("slice", "packed", F.pmod(F.xxhash64("packed"), F.lit(64)).alias("some"))
-    slices = slices.groupBy("slice", "some").applyInArrow(add, "slice int, packed binary").groupBy("slice").applyInArrow(add, "slice int, packed binary")
-    packed = [bytes(r["packed"]) for r in slices.select("packed").collect()]
-    codes = np.zeros(1 << TABLE_BITS, np.uint8)
-    if packed:
-        number, total = _summed(packed)
-        codes[number] = code(total)
+        return pa.table({"slice": table["slice"].slice(0, 1), "packed": pa.array([_packed_counts(_summed(table["packed"].to_pylist()))], pa.binary())})
+
+    def coded(table):
+        total = _summed(table["packed"].to_pylist())
+        return pa.table({"slice": table["slice"].slice(0, 1), "codes": pa.array([code(total).tobytes()], pa.binary()), "words": pa.array([int(total.sum())])})
+
+    slices = found.where("slice IS NOT NULL").select("slice", "packed", F.pmod(F.xxhash64("packed"), F.lit(16)).alias("some"))
+    slices = slices.groupBy("slice", "some").applyInArrow(add, "slice int, packed binary").groupBy("slice").applyInArrow(coded, "slice int, codes binary, words long")
+    codes, totals, wide = np.zeros(1 << TABLE_BITS, np.uint8), 0, (1 << TABLE_BITS) // SLICES
+    for r in slices.collect():  # the table: SLICES rows, 4 MB
+        codes[r["slice"] * wide : (r["slice"] + 1) * wide] = np.frombuffer(r["codes"], np.uint8)
+        totals += r["words"]
     table = spark.sparkContext.broadcast(codes)
 
-    lines = found.where("key IS NOT NULL").select("key", "doc", "line")
-    firsts = save(lines.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("f")).select("key", "f.doc", "f.line"))
-    totals = sum(int(np.frombuffer(p, "<u4").reshape(2, -1)[1].sum(dtype=np.int64)) for p in packed)
-    ranges = max(1, math.ceil(totals * (1 - percent / 100) / RANGE))
-    first_lines = firsts.groupBy("doc").agg(F.collect_list("line").alias("lines"))
+    def repeats(data):
+        """Lines that equal an earlier one of another part."""
+        keys = np.concatenate([unpack(p, KEY)[0] for p in data["packed"].to_pylist()])
+        keys = keys[np.lexsort([keys[c] for c in reversed(KEY.names)])]
+        again = np.flatnonzero((keys["a"][1:] == keys["a"][:-1]) & (keys["b"][1:] == keys["b"][:-1])) + 1
+        out = list(_by_part(keys["row"][again], keys["line"][again]))
+        return pa.table([pa.array(x, f.type) for x, f in zip(([p for p, _, _ in out], [r for _, r, _ in out], [n for _, _, n in out]), some_schema, strict=True)], schema=some_schema)
+
+    some_schema = pa.schema(lists)
+    equal = found.where("range IS NOT NULL").select("range", "packed").groupBy("range").applyInArrow(repeats, some_lines)
+    gone = save(equal.union(found.where("part IS NOT NULL").select("part", "rows", "lines")))
+    save.drop(found)
+    ranges = max(1, math.ceil(totals * (1 - percent / 100) / range_entries))
+
+    def listed(lines: DataFrame) -> DataFrame:
+        """(part, rows, lines) of lines(row, line): one row a part, whose lines are bounded by its texts.
+
+        It is written, as texts would otherwise be dealt again as this table is.
+        """
+        return save(lines.groupBy(F.shiftright("row", 32).cast("int").alias("part")).agg(F.collect_list(F.expr("cast(row & 4294967295L AS int)")).alias("rows"), F.collect_list("line").alias("lines")))
 
     def sender(asked=None):
-        def send(parts):
-            hasher = Hasher()
-            for batch in batches(parts, 4000, 6 << 20):
-                lines = Lines(encoded(batch.column("text")), hasher, batch.column("lines").to_pylist())
-                out = list(cells(index_entries(lines, batch.column("doc").to_numpy(), table.value, percent, asked and asked.value), ranges))
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in out], pa.int64()), pa.array([x for _, x, _ in out], pa.bool_()), pa.array([pack(e) for _, _, e in out], pa.binary())], ["cell", "crossing", "packed"])
+        def send(data, skip):
+            if not data.num_rows:
+                return sent_schema.empty_table()
+            data, docs, names = opened(data)
+            searching = pc.equal(skip["searching"], True)
+            lines = Lines.whole(encoded(data["text"]), Hasher(), *marked(skip.filter(pc.invert(searching))))
+            mine = None
+            if asked is not None:
+                lines = lines.with_any(asked.value)
+                rows, numbers = marked(skip.filter(searching))
+                mine = np.isin(lines.doc << 32 | lines.number, rows << 32 | numbers)
+            made = [x for e, s in index_entries(lines, docs, names, table.value, percent, asked and asked.value, mine) for x in cells(e, s, ranges)]
+            return pa.table([pa.array([c for c, _, _ in made], pa.int64()), pa.array([x for _, x, _ in made], pa.bool_()), pa.array([p for _, _, p in made], pa.binary())], schema=sent_schema)
 
         return send
 
     def partners(low: int, high: int):
-        def run(data, asked=None):
-            if not data.num_rows:
-                return pairs_schema.empty_table()
-            entries = np.concatenate([unpack(p) for p in data["packed"].to_pylist()])
-            chosen = None
-            if asked is not None:
-                names = np.unique(np.array(list(zip(asked["doc"].to_pylist(), asked["line"].to_pylist(), strict=True)), np.int64).view("i8,i8"))
-                own = np.stack([entries["doc"], entries["line"].astype(np.int64)], axis=1).copy().view("i8,i8")[:, 0]
-                chosen = np.isin(own, names)
-            pairs = candidates(entries, percent, low, high, data["crossing"][0].as_py(), chosen)
+        def run(data):
+            pairs = candidates(data["packed"].to_pylist(), percent, low, high, data["crossing"][0].as_py())
             return pa.table([pa.array(pairs[n]) for n in PAIR.names], schema=pairs_schema)
 
         return run
 
-    def names(parts):
-        for batch in parts:
-            for cell, packed in zip(batch.column("cell").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                e = np.unique(unpack(packed)[["doc", "line"]])
-                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(e), pa.int64()), pa.array(e["doc"]), pa.array(e["line"])], ["cell", "doc", "line"])
+    def mark(data, wanted):
+        """The slots of the words that the wanted lines are indexed under, as bits of each slice."""
+        if not data.num_rows or not wanted.num_rows:
+            return slots.empty_table()
+        data, docs, names = opened(data)
+        lines = Lines.some(encoded(data["text"]), Hasher(), *marked(wanted))
+        found = np.concatenate([e["word"] for e, _ in index_entries(lines, docs, names, table.value, percent)])
+        bits = np.bincount(found >> (32 - TABLE_BITS), minlength=1 << TABLE_BITS).reshape(SLICES, -1) > 0
+        return pa.table([pa.array(range(SLICES), pa.int32()), pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())], schema=slots)
+
+    def either(data):
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in data["bits"].to_pylist()])
+        return pa.table([data["slice"].slice(0, 1), pa.array([bits.tobytes()], pa.binary())], schema=slots)
+
+    def give(data, wanted):
+        if not data.num_rows or not wanted.num_rows:
+            return sets_schema.empty_table()
+        data, _, names = opened(data)
+        lines = Lines.some(encoded(data["text"]), Hasher(), *marked(wanted))
+        return pa.table([pa.array(names[lines.doc]), pa.array(lines.number.astype(np.int32)), pa.array(list(lines.sets()), pa.binary())], schema=sets_schema)
 
     def test(parts):
         for batch in batches(parts):
-            yield batch.select(["doc", "line"]).filter(pa.array(near_enough(batch.column("x").to_pylist(), batch.column("y").to_pylist(), percent)))
-
-    def give(parts):
-        hasher = Hasher()
-        for batch in batches(parts):
-            lines = Lines(encoded(batch.column("text")), hasher, batch.column("lines").to_pylist())
-            words, ends = lines.sets()
-            raw, ends = words.tobytes(), [0, *(8 * ends).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc").to_numpy()[lines.doc]), pa.array(lines.number.astype(np.int32)), pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], ["doc", "line", "words"])
-
-    def mark(parts):
-        hasher, marked = Hasher(), np.zeros(1 << TABLE_BITS, bool)
-        for batch in batches(parts):
-            lines = Lines(encoded(batch.column("text")), hasher, batch.column("lines").to_pylist())
-            marked[slot(lines.words)] = True
-        at = np.flatnonzero(marked)
-        yield pa.RecordBatch.from_arrays([pa.array(at)], ["slot"])
-
-    pairs_schema = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("doc2", pa.int64()), ("line2", pa.int64()), ("more", pa.bool_())])
-    kinds = "doc long, line long, doc2 long, line2 long, more boolean"
-    near, low, high, open_sets = None, 0, FIRST, None
-    texts = rows.select("doc", "text")
+            yield batch.select(["row", "line"]).filter(pa.array(near_enough(batch.column("x").to_pylist(), batch.column("y").to_pylist(), percent)))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The later lines (row, line) of the pairs that are similar on full sets."""
+        pairs = save(pairs.select("row", "line", "row2", "line2"))
+        wanted = listed(pairs.select("row", "line").union(pairs.select("row2", "line2")).distinct())
+        sets = save(texts.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(give, "row long, line int, words binary"))
+        both = pairs.join(sets.withColumnRenamed("words", "x").hint("shuffle_merge"), ["row", "line"])
+        both = both.join(sets.select(F.col("row").alias("row2"), F.col("line").alias("line2"), F.col("words").alias("y")).hint("shuffle_merge"), ["row2", "line2"])
+        passed = save(both.select("row", "line", "x", "y").mapInArrow(test, "row long, line int").distinct())
+        save.drop(sets, pairs)
+        return passed
+
+    sent_schema = pa.schema([("cell", pa.int64()), ("crossing", pa.bool_()), ("packed", pa.binary())])
+    pairs_schema = pa.schema([("row", pa.int64()), ("line", pa.int32()), ("row2", pa.int64()), ("line2", pa.int32()), ("far", pa.int32()), ("more", pa.bool_())])
+    sets_schema = pa.schema([("row", pa.int64()), ("line", pa.int32()), ("words", pa.binary())])
+    slots = pa.schema([("slice", pa.int32()), ("bits", pa.binary())])
+    kinds = "row long, line int, row2 long, line2 int, far int, more boolean"
+    skip = gone.withColumn("searching", F.lit(False))
+    near, low, high, asked = None, 0, 1, None
     while True:
-        with_lines = texts.join(first_lines, "doc").select("doc", "text", "lines")
-        run = partners(low, high)
-        if open_sets is None:
-            sent = with_lines.mapInArrow(sender(), "cell long, crossing boolean, packed binary")
-            pairs = sent.groupBy("cell").applyInArrow(lambda data: run(data), kinds)
-        else:
-            # Sets that are still open go to the cells of their words again, and so do the other sets' entries under these words.
-            asked = texts.join(open_sets.groupBy("doc").agg(F.collect_list("line").alias("lines")), "doc").select("doc", "text", "lines")
-            marked = np.zeros(1 << TABLE_BITS, bool)
-            marked[asked.mapInArrow(mark, "slot long").distinct().toArrow()["slot"].to_numpy()] = True  # the table's slots at most
-            send = sender(spark.sparkContext.broadcast(marked))
-            asked = asked.mapInArrow(sender(), "cell long, crossing boolean, packed binary").mapInArrow(names, "cell long, doc long, line int")
-            sent = with_lines.mapInArrow(send, "cell long, crossing boolean, packed binary")
-            pairs = sent.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(lambda data, some: run(data, some) if some.num_rows else pairs_schema.empty_table(), kinds)
-        pairs = save(pairs.groupBy("doc", "line", "doc2", "line2").agg(F.max("more").alias("more")))
-        wanted = pairs.select("doc", "line").union(pairs.select("doc2", "line2")).distinct().groupBy("doc").agg(F.collect_list(F.col("line").cast("int")).alias("lines"))
-        sets = save(texts.join(wanted, "doc").select("doc", "text", "lines").mapInArrow(give, "doc long, line int, words binary"))
-        both = pairs.join(sets.withColumnRenamed("words", "x"), ["doc", "line"]).join(sets.select(F.col("doc").alias("doc2"), F.col("line").alias("line2"), F.col("words").alias("y")), ["doc2", "line2"])
-        passed = both.select("doc", F.col("line").cast("int").alias("line"), "x", "y").mapInArrow(test, "doc long, line int").distinct()
-        passed = save(passed if near is None else passed.union(near).distinct())
-        near = passed
-        save.drop(sets)
-        open_sets = save(pairs.where("more").select("doc", F.col("line").cast("int").alias("line")).distinct().join(near, ["doc", "line"], "left_anti"))
-        if not open_sets.take(1):
+        sent = texts.groupBy("part").cogroup(skip.groupBy("part")).applyInArrow(sender(asked), "cell long, crossing boolean, packed binary")
+        pairs = save(sent.groupBy("cell").applyInArrow(partners(low, high), kinds))
+        closest = save(pairs.groupBy("row", "line").agg(F.min(F.struct("far", "row2", "line2")).alias("c"), F.count("*").alias("n"), F.max("more").alias("more")).select("row", "line", "c.row2", "c.line2", "n", "more"))
+        passed = verified(closest)
+        others = pairs.join(closest.where("n > 1").select("row", "line"), ["row", "line"], "left_semi").join(passed, ["row", "line"], "left_anti")
+        others = save(others.select("row", "line", "row2", "line2").distinct().join(closest, ["row", "line", "row2", "line2"], "left_anti"))
+        if others.take(1):
+            passed = passed.union(verified(others))
+        near = save(passed if near is None else near.union(passed).distinct())
+        left = save(closest.where("more").select("row", "line").join(near, ["row", "line"], "left_anti"))
+        save.drop(pairs, closest, others)
+        if not left.take(1):
             break
+        # Sets that are still open ask for the entries of all sets under their words again.
+        bits = texts.groupBy("part").cogroup(listed(left).groupBy("part")).applyInArrow(mark, "slice int, bits binary")
+        bits = bits.groupBy("slice", F.pmod(F.xxhash64("bits"), F.lit(64))).applyInArrow(either, "slice int, bits binary").groupBy("slice").applyInArrow(either, "slice int, bits binary")
+        flags = {r["slice"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool) for r in bits.collect()}  # SLICES rows, 0.5 MB
+        asked = spark.sparkContext.broadcast(np.concatenate([flags[i] for i in range(SLICES)]))
+        skip = gone.withColumn("searching", F.lit(False)).union(listed(left).withColumn("searching", F.lit(True)))
         low, high = high, high * 16
 
-    # Lines that go: all of a set with an earlier similar one, else all but the set's first.
-    judged = firsts.join(near.withColumn("near", F.lit(True)), ["doc", "line"], "left").select("key", F.col("doc").alias("d"), F.col("line").alias("l"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.join(judged, "key").where("near OR doc <> d OR line <> l").groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    # Lines that go: those that equal an earlier line, and those with an earlier similar one.
     name = "kept_sha256" if as_digest else "kept"
-
-    def finish(parts):
-        for batch in batches(parts):
-            n_lines, removed, kept = [], [], []
-            for raw, numbers in zip(batch.column("text").cast("binary").to_pylist(), batch.column("removed").to_pylist(), strict=True):
-                split = [] if raw is None else raw.split(b"\n")
-                numbers = [x for x in numbers or () if x < len(split)]
-                n_lines.append(len(split))
-                removed.append(numbers)
-                drop = set(numbers)
-                left = b"\n".join(x for i, x in enumerate(split) if i not in drop)
-                kept.append(hashlib.sha256(left).hexdigest() if as_digest else None if raw is None else left.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string()), batch.column("carried")], ["doc_id", "n_lines", "n_removed", "removed", name, "carried"])
-
-    named = F.when(~F.col("unnamed"), F.col("doc")).alias("doc_id")
-    out = rows.join(gone, "doc", "left").select(named, "text", "removed", "carried")
-    out = out.mapInArrow(finish, f"doc_id long, n_lines long, n_removed long, removed array<int>, {name} string, carried {rows.schema['carried'].dataType.simpleString()}")
+    carried = rows.schema["carried"].dataType.simpleString()
+
+    def finish(data, drop):
+        data, _, _ = opened(data)  # every part that has lines to drop has rows
+        drop_rows, drop_lines = marked(drop)
+        cuts = np.searchsorted(drop_rows, np.arange(data.num_rows + 1)).tolist()
+        n_lines, removed, kept = [], [], []
+        for i, raw in enumerate(data["text"].cast("binary").to_pylist()):
+            split, numbers = [] if raw is None else raw.split(b"\n"), drop_lines[cuts[i] : cuts[i + 1]].tolist()
+            n_lines.append(len(split))
+            removed.append(numbers)
+            if numbers:
+                out = set(numbers)
+                raw = b"\n".join([x for k, x in enumerate(split) if k not in out])
+            kept.append(hashlib.sha256(raw or b"").hexdigest() if as_digest else None if raw is None else raw.decode("utf-8", "replace"))
+        return pa.table([data["doc"], pa.array(n_lines, pa.int64()), pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string()), data["carried"]], names=["doc_id", "n_lines", "n_removed", "removed", name, "carried"])
+
+    kind = f"doc_id long, n_lines long, n_removed long, removed array<int>, {name} string, carried {carried}"
+    drop = gone.union(listed(near))
+    out = rows.groupBy("part").cogroup(drop.groupBy("part")).applyInArrow(finish, kind)
     return out.select("doc_id", "n_lines", "n_removed", "removed", name, *(F.col("carried")[c].alias(c) for c in carry))

@@ -46,24 +46,62 @@ def test_documents_against_brute_force(spark):
     assert result(lines.dedup_lines(docs, as_digest=True)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("percent, first", [(60, 16), (75, 1), (90, 16)])
-def test_random_lines_against_brute_force(spark, percent, first, monkeypatch):
-    monkeypatch.setattr(lines, "LONG", 5)
-    monkeypatch.setattr(lines, "FIRST", first)  # with one, sets come to later rounds
-    monkeypatch.setattr(lines, "HOT", 40)  # words of over 40 lines are compared in blocks
-    rng = random.Random(percent)
-    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 14))] for _ in range(25)]
+def edits(seed, documents, vocabulary, length):
+    """Lines that are edits of 25 others."""
+    rng = random.Random(seed)
+    base = [[f"w{rng.randrange(vocabulary)}" for _ in range(rng.randrange(1, length))] for _ in range(25)]
     rows = []
-    for doc_id in range(60):
+    for doc_id in range(documents):
         text = []
         for _ in range(rng.randrange(0, 6)):
             words = list(rng.choice(base))
-            for _ in range(rng.randrange(0, 3)):
-                words[rng.randrange(len(words))] = f"w{rng.randrange(60)}"
+            for _ in range(rng.randrange(0, 3 + len(words) // 8)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(vocabulary)}"
             text.append(" ".join(words))
         rows.append((doc_id, "\n".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("percent, first, part_bytes, vocabulary, length", [(60, (2, 4, 4), 900, 60, 14), (75, (1, 1, 1), 300, 60, 14), (75, (2, 16, 256), 1 << 23, 400, 60), (90, (1, 2, 3), 2000, 200, 40)])
+def test_random_lines_against_brute_force(spark, percent, first, part_bytes, vocabulary, length, monkeypatch):
+    """One part or many, with sketches of all widths, words compared in blocks, and sets that come to later rounds."""
+    monkeypatch.setattr(lines, "SIZES", (3, 5, 9))
+    monkeypatch.setattr(lines, "FIRST", first)
+    monkeypatch.setattr(lines, "HOT", 40)
+    rows = edits(percent, 60, vocabulary, length)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert result(lines.dedup_lines(docs, percent, as_digest=True)) == brute(rows, percent)
+    assert result(lines.dedup_lines(docs, percent, as_digest=True, part_bytes=part_bytes, range_entries=100)) == brute(rows, percent)
+
+
+def test_a_cell_against_all_pairs():
+    """The candidates of one cell have all similar pairs whose first shared word is there, and keep to low and high."""
+    rows = edits(5, 80, 30, 30)
+    parsed = lines.Lines.whole([t.encode() for _, t in rows], Hasher())
+    places = np.arange(len(rows))
+    table = np.full(1 << lines.TABLE_BITS, 9, np.uint8)
+    cells = [p for e, s in lines.index_entries(parsed, places, places, table, 75) for _, _, p in lines.cells(e, s, 1)]
+    found = lines.candidates(cells, 75, 0, 1 << 20)
+    sets = {(d, n): frozenset(x.split()) for d, t in rows for n, x in enumerate(t.split("\n")) if x.split()}
+    names = sorted(sets)
+    near = {(y, x) for i, y in enumerate(names) for x in names[:i] if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])}
+    pairs = {((r, n), (r2, n2)) for r, n, r2, n2, _, _ in found.tolist()}
+    assert near and near <= pairs and not found["more"].any() and len(pairs) == len(found)
+    some = lines.candidates(cells, 75, 0, 1)
+    assert {tuple(x)[:2] for x in some[["row", "line"]].tolist()} == {y for y, _ in pairs} and some["more"].any()
+
+
+def test_lines_of_texts_longer_than_a_piece():
+    """Word hashes and line numbers are those of each line by itself."""
+    rng = random.Random(6)
+    texts = [b"\n".join(b" ".join(b"v%d" % rng.randrange(10**6) for _ in range(rng.randrange(0, 30))) for _ in range(n)) for n in (3, 9000, 1, 40)]
+    texts[2:2] = [b"", b"\n", b" x\n\ny ", b"z" * (3 << 19) + b" q\n" + b"r \n" * 70000]
+    whole, hasher = lines.Lines.whole(texts, Hasher()), Hasher()
+    split = [(i, n, x) for i, t in enumerate(texts) for n, x in enumerate(t.split(b"\n"))]
+    assert whole.doc.tolist() == [i for i, _, _ in split] and whole.number.tolist() == [n for _, n, _ in split]
+    words, counts = hasher.words([x for _, _, x in split])
+    assert (whole.words == words).all() and (whole.line == np.repeat(np.arange(len(split)), counts)).all()
+    some = lines.Lines.some(texts, hasher, np.array([0, 1, 1]), np.array([2, 5, 8000]))
+    assert some.words.tolist() == hasher.words([split[2][2], split[8][2], split[8003][2]])[0].tolist()
 
 
 def test_edge_cases(spark):
@@ -72,7 +110,7 @@ def test_edge_cases(spark):
     found = lines.dedup_lines(docs)
     assert found.columns == ["doc_id", "n_lines", "n_removed", "removed", "kept"]
     got = sorted(found.collect(), key=str)
-    want = [(1, 1, 0, [], "a b c d"), (2, 0, 0, [], None), (3, 1, 0, [], ""), (4, 4, 1, [0], "\n \nq"), (4, 4, 1, [0], "\n \nq"), (None, 0, 0, [], None), (None, 2, 1, [0], "z")]
+    want = [(1, 1, 0, [], "a b c d"), (2, 0, 0, [], None), (3, 1, 0, [], ""), (4, 4, 1, [0], "\n \nq"), (4, 4, 2, [0, 3], "\n "), (None, 0, 0, [], None), (None, 2, 1, [0], "z")]
     assert got == sorted([type(got[0])(*w) for w in want], key=str)
     assert lines.dedup_lines(docs.where("doc_id > 9")).collect() == []
 
@@ -85,16 +123,18 @@ def test_entries_do_not_depend_on_the_batch():
     found = []
     for before, after in ((0, 0), (0, 7), (9000, 9000), (70000, 3)):
         text = b"\n".join([b"x y"] * before + [line] + [b"", b"z"] * after)
-        entries = lines.index_entries(lines.Lines([text], hasher), np.array([5]), table, 75)
-        mine = entries[entries["line"] == before]
-        mine["line"] = 0
-        found.append(mine.tolist())
-    assert len(found[0]) > 20 and all(f == found[0] for f in found)
+        entries, sketch = lines.index_entries(lines.Lines.whole([text], hasher), np.array([5]), np.array([7]), table, 75)[2]
+        mine = entries["line"] == before
+        entries["line"] = 0
+        found.append((entries[mine].tolist(), sketch[mine].tolist()))
+        packed = lines.unpack(lines.pack({c: entries[c] for c in entries.dtype.names}, sketch), lines.ENTRY)
+        assert (packed[0] == entries).all() and (packed[1] == sketch).all()
+    assert len(found[0][0]) > 20 and all(f == found[0] for f in found)
 
 
 def test_batches_of_very_different_line_counts(spark, monkeypatch):
-    """Each text fills a batch of its own, of 32 to 9,030 lines; sets come to later rounds."""
-    monkeypatch.setattr(lines, "FIRST", 1)
+    """Each text fills a part of its own, of 32 to 9,030 lines; sets come to later rounds."""
+    monkeypatch.setattr(lines, "FIRST", (1, 1, 1))
     rng = random.Random(4)
     base = [[f"w{rng.randrange(300)}" for _ in range(12)] for _ in range(12)]
 
