@@ -95,6 +95,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
 FROM e
 """
 
+OP6_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM d),
+s AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY doc_id, n) AS id, doc_id, n, list_sort(list_distinct(regexp_extract_all(ls[n], '[^\x20\x09-\x0D]+'))) AS w FROM l),
+u AS MATERIALIZED (SELECT w, min(id) AS id, len(w) AS k FROM s WHERE len(w) > 0 GROUP BY w),
+t AS (SELECT id, k, unnest(w) AS x FROM u),
+f AS (SELECT x, count(*) AS f FROM t GROUP BY x),
+p AS MATERIALIZED (
+  SELECT id, k, x FROM (SELECT id, k, x, row_number() OVER (PARTITION BY id ORDER BY f, x) AS place FROM t JOIN f USING (x)) WHERE place <= k - (75 * k + 99) // 100 + 1),
+c AS MATERIALIZED (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.x = b.x AND a.id < b.id WHERE 100 * least(a.k, b.k) >= 75 * greatest(a.k, b.k)),
+o AS (SELECT c.b AS b, x.k + y.k AS k, len(list_intersect(x.w, y.w)) AS o FROM c JOIN u x ON x.id = c.a JOIN u y ON y.id = c.b),
+r AS (SELECT DISTINCT b AS id FROM o WHERE 100 * o >= 75 * (k - o)),
+g AS (
+  SELECT s.doc_id, list(s.n) AS gone FROM s JOIN u USING (w) LEFT JOIN r ON r.id = u.id WHERE s.id <> u.id OR r.id IS NOT NULL GROUP BY s.doc_id)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ls ELSE list_filter(ls, lambda x, i: NOT list_contains(gone, i)) END, chr(10)), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
@@ -123,4 +144,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op9_minhash_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL}
