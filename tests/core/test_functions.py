@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+import made_up
 from glimmer.config import EngineConfig
 from glimmer.functions import scalar
 from glimmer.operators import cells, sessions, tiers
@@ -26,7 +27,7 @@ def test_lenient_parsing(spark):
 
 
 def test_one_shuffle_from_events_to_islands(spark):
-    made = sources.generate(spark, 20)
+    made = made_up.generate(spark, 20)
     merged = sessions.islands(sessions.active_segments(sessions.project_landing(made), EngineConfig()))
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
@@ -41,7 +42,7 @@ def test_clipped_expansion(spark):
 
 
 def test_files_round_trip(spark, tmp_path):
-    made = sources.generate(spark, 5).orderBy("video_session_id", "event_timestamp")
+    made = made_up.generate(spark, 5).orderBy("video_session_id", "event_timestamp")
     made.write.option("header", True).csv(f"{tmp_path}/csv")
     made.write.json(f"{tmp_path}/json")
     want = sorted(made.collect())
@@ -56,7 +57,7 @@ def test_stream_equals_batch(spark, tmp_path):
     from glimmer.plans.engine import Engine
 
     cfg = EngineConfig(hot_window_seconds=3600)
-    made = [r.asDict() for r in sources.generate(spark, 40, seed=3).orderBy("event_timestamp").collect()]
+    made = [r.asDict() for r in made_up.generate(spark, 40, seed=3).orderBy("event_timestamp").collect()]
     (tmp_path / "in").mkdir()
     for i in range(4):
         part = made[i * len(made) // 4 : (i + 1) * len(made) // 4]
@@ -84,3 +85,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert ids(live.intervals()) == ids(again.intervals)
     day = str(last)[:10]
     assert live.drop_expired("2020-01-01") == 0 and live.drop_expired("2030-01-01") > 0 and not [p for p in (tmp_path / "live" / "events").rglob("day=*") if day in p.name]
+
+
+def test_writers_round_trip_and_kafka_messages(spark, tmp_path):
+    """Cells by day, and the parsing that a topic's messages go through."""
+    rows = spark.sql("SELECT timestamp'2024-01-02 03:00:00' AS minute, 'IN' AS country, 'web' AS platform, 'vod' AS video_type, 'film' AS category, 1L AS content_id, 2L AS concurrent UNION ALL SELECT timestamp'2024-01-03 03:00:00', 'US', 'tv', 'vod', 'film', 2L, 3L")
+    sources.write_cells(rows, f"{tmp_path}/cells")
+    assert sorted(p.name for p in (tmp_path / "cells").glob("day=*")) == ["day=2024-01-02", "day=2024-01-03"]
+    assert sorted(spark.read.parquet(f"{tmp_path}/cells").select(*rows.columns).collect()) == sorted(rows.collect())
+    message = spark.sql("""SELECT CAST('{"content_id": 7, "video_session_id": "s", "event_timestamp": 12}' AS BINARY) AS value UNION ALL SELECT CAST('{' AS BINARY)""")
+    got = [(r["content_id"], r["video_session_id"], r["event_timestamp"], r["platform"]) for r in sources.parse_messages(message).collect()]
+    assert sorted(got, key=str) == [(7, "s", 12, None), (None, None, None, None)]

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+import made_up
 from glimmer.config import EngineConfig, Rules
 from glimmer.operators import cells, sessions, tiers
 from glimmer.plans import serving, validation
@@ -130,7 +131,7 @@ def loop(events):
 
 
 def test_generated_sessions_against_the_loop_and_each_other(spark):
-    made = sources.generate(spark, 60, seed=5)
+    made = made_up.generate(spark, 60, seed=5)
     assert made.orderBy("video_session_id", "event_timestamp").collect() == made.repartition(7).orderBy("video_session_id", "event_timestamp").collect()
     content = spark.createDataFrame([(i, f"T{i}", "vod", "film") for i in range(1001, 1006)], sources.CONTENT_SCHEMA)
     e = Engine(made, content, CFG, as_of="2024-01-03 00:00:00")
