@@ -103,7 +103,7 @@ def compare_edited(docs: DataFrame, k: int = K, rows_per_bucket: int = 1000, mos
     first as many of the next text (all, if it has fewer); after the last row
     comes the first.  Rows are sorted in buckets of doc_id, each bucket by
     itself; the first row of a bucket is also sent to the bucket before it.
-    Null doc_ids come last and equal ones in the order of their text hash;
+    Null doc_ids come last, equal ones in the order of their text hash;
     null text is empty; a single row is its own next; an empty table gives no
     rows.
     """
@@ -120,14 +120,19 @@ def compare_edited(docs: DataFrame, k: int = K, rows_per_bucket: int = 1000, mos
     below = F.aggregate(
         F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when((low + step <= len(bounds)) & (F.get(table, low + step - 1) < F.col("doc_id")), low + step).otherwise(low)
     )
-    bucket = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(len(bounds) - below)
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    firsts = sorted((r["bucket"], r["doc_id"]) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect())
-    sent = docs.sparkSession.createDataFrame([(d, firsts[i - 1][0]) for i, (_, d) in enumerate(firsts)], "first_id long, to int")
-    rows = rows.join(F.broadcast(sent), F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
+    # Those without doc_id come last in the order of their text hash, in buckets by its first bits.
+    none = 0 if n - ids <= rows_per_bucket else min(14, math.ceil(math.log2((n - ids) / rows_per_bucket)))
+    by_hash = F.shiftright("h", 64 - none) + F.lit(1 << (none - 1)) if none else F.lit(0)
+    bucket = F.when(F.col("doc_id").isNull(), len(bounds) + 1 + by_hash).otherwise(len(bounds) - below)
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket.cast("int"))
+    order = F.struct(F.bitwise_not("doc_id").alias("down"), "h")
+    firsts = sorted((r["bucket"], r["f"]["down"], r["f"]["h"]) for r in rows.groupBy("bucket").agg(F.min(order).alias("f")).collect())  # two a bucket at most
+    sent = [(None if d is None else ~d, h, firsts[i - 1][0]) for i, (_, d, h) in enumerate(firsts)]
+    sent = docs.sparkSession.createDataFrame(sent, "first_id long, first_h long, to int")
+    rows = rows.join(F.broadcast(sent), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")), "left")
     here, there = F.struct("bucket", F.lit(False).alias("next")), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("next"))
-    rows = rows.select("doc_id", "text", F.explode(F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("b")).select("doc_id", "text", "b.*")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "next", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    rows = rows.select("doc_id", "text", "h", F.explode(F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("b")).select("doc_id", "text", "h", "b.*")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "next", F.col("doc_id").desc_nulls_last(), "h")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(parts):
