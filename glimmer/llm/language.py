@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glimmer.llm.tables import Shared
 from glimmer.llm.text import U64, Hasher, batches, pieces
 
 #: Entries of the lexicon and of the weights for each n-gram length; documents of a language and words of a window in the training sample.
@@ -293,11 +294,11 @@ def identify(docs: DataFrame, field: Field | None, spans: bool = False) -> DataF
 
     names = ["lang_pred", "score"] + ["lang_spans"] * spans
     rows = docs.drop(*names)
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = Shared(docs.sparkSession, field)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(parts):
-        features, field = Features(), shared.value
+        features, field = Features(), shared.get()
         for batch in batches(parts):
             texts = [t or "" for t in batch.column("text").cast("string").to_pylist()]
             known = [field is not None and bool(_LETTER.search(t)) for t in texts]

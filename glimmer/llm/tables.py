@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -76,6 +78,17 @@ class Saved:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Shared:
+    """A broadcast value whose classes the executors need not have installed: they travel with it."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        """The value; a task takes it once."""
+        return pickle.loads(self.packed.value)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
