@@ -103,60 +103,79 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return tree.select((F.col("node") - (1 << levels)).cast("int").alias("leaf"), "quotas")
 
 
-def plan_mix(docs: DataFrame, levels: int = 4, seed: int = 1, most_repeats: int = 3, rows_per_bucket: int = 20_000) -> DataFrame:
+def block_shards(planned: DataFrame, levels: int, seed: int) -> DataFrame:
+    """(rank, shards) of planned(rank, blocks): the shard of each of a source's blocks, in the order of the blocks.
+
+    The tree's leaves say how many of a source's blocks each shard gets; the
+    blocks are put into a pseudo-random order, and every shard draws the next
+    so many of them.  All blocks are MOST_BLOCKS and one more for each source
+    at most, so this is a small table whatever the size of the documents.
+    """
+    one = planned.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "blocks"))), lambda x: x["blocks"]).alias("quotas"))
+    shares = split_quotas(one, levels, seed).select("leaf", F.posexplode("quotas").alias("i", "share"))
+    ends = shares.withColumn("end", F.sum("share").over(Window.partitionBy("i").orderBy("leaf")))
+    ends = ends.groupBy((F.col("i") + 1).alias("rank")).agg(F.transform(F.sort_array(F.collect_list(F.struct("leaf", "end"))), lambda x: x["end"]).alias("ends"))
+    blocks = planned.where("blocks > 0").select("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    drawn = F.row_number().over(Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed), "rank", "block"), "block")) - 1
+    blocks = blocks.withColumn("drawn", drawn).join(ends, "rank")
+    blocks = blocks.select("rank", "block", F.size(F.filter("ends", lambda e: e <= F.col("drawn"))).alias("shard"))
+    return blocks.groupBy("rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "shard"))), lambda x: x["shard"]).alias("shards"))
+
+
+def plan_mix(docs: DataFrame, levels: int = 4, seed: int = 1, most_repeats: int = 3, rows_per_bucket: int = 20_000, carry: bool = False) -> DataFrame:
     """What the mix takes of each row of docs(doc_id, text, source, ...).
 
-    Returns row_key, doc_id, source, size (words), source_size, target, taken
-    (words) and draws: array of (copy, words, shard), a whole copy each but for
+    Returns doc_id, source, size (words), source_size, target, taken (words)
+    and draws: array of (copy, words, block, shard), a whole copy each but for
     the one document in which a source's target ends, of which the first
-    words are taken.  There are 2**levels shards.
+    words are taken; with carry also docs, the row itself as a struct.  There
+    are 2**levels shards.  A copy belongs to the block of its source's stream in
+    which it begins, and goes to the shard that drew this block.
 
     Null text has no words; a null source is a source; null and repeated
     doc_ids count as rows of their own (equal rows are in turn, whichever is
     first); an empty table gives no rows.  The sums per source equal
     round(target), so a document is never taken beyond most_repeats.
     Prefix sums within a source go over hash buckets of about rows_per_bucket
-    rows, so a source with a third of all rows isn't one task's work.
+    rows, so a source with a third of all rows isn't one task's work; other
+    windows hold a row a source or block.
     """
-    spark = docs.sparkSession
-    save = Saved(spark)
+    save = Saved(docs.sparkSession)
     key = order_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)))
-    rows = save(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("h"), F.xxhash64("doc_id", "text", "source").alias("row_key")))
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    most = rows.groupBy("source").count().agg(F.max("count"), F.count("*")).first()
-    bits = max(4, math.ceil(math.log2(max(1, (most[0] or 0) / rows_per_bucket))))
-
-    # Block quotas, and the shards' bounds in each source's stream of blocks.
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("h"), F.xxhash64("text").alias("tie"), *([F.struct(*docs.columns).alias("docs")] if carry else []))
+    slim = save(rows.drop("docs"))  # texts are not written again but read once more
+    rows = rows if carry else slim
+    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    most = sources.agg(F.max("rows")).first()[0] or 1
+    bits = max(9, math.ceil(math.log2(most / rows_per_bucket)))
+
+    # Block quotas, and which shard draws each block.
     planned = targets(sources, most_repeats).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
     width = F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sum("quota").over(Window.partitionBy()) / MOST_BLOCKS)).cast("long")
     planned = save(planned.withColumn("width", width).withColumn("blocks", F.ceil(F.col("quota") / F.col("width")).cast("long")))
-    one = planned.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "blocks"))), lambda x: x["blocks"]).alias("quotas"))
-    shares = split_quotas(one, levels, seed).select("leaf", F.posexplode("quotas").alias("i", "share"))
-    bounds = shares.withColumn("end", F.sum("share").over(Window.partitionBy("i").orderBy("leaf")))
-    bounds = bounds.groupBy((F.col("i") + 1).alias("rank")).agg(F.transform(F.sort_array(F.collect_list(F.struct("leaf", "end"))), lambda x: x["end"]).alias("ends"))
-    planned = planned.join(bounds, "rank")
+    shards = save(block_shards(planned, levels, seed))
+    planned = planned.join(shards, "rank", "left").withColumnRenamed("source", "planned")
 
     # Each document's start in its source's stream: starts of buckets, then sums within a bucket.
-    bucket = F.shiftright("h", 60 - bits)
-    rows = rows.withColumn("bucket", bucket).withColumn("known", F.coalesce(F.col("source"), F.lit("")))
-    rows = rows.withColumn("none", F.col("source").isNull())
     keys = ["known", "none", "bucket"]
-    starts = rows.groupBy(*keys, "source").agg(F.sum("size").alias("n"))
-    starts = starts.withColumn("start", F.sum("n").over(Window.partitionBy("known", "none").orderBy("bucket")) - F.col("n"))
-    starts = starts.join(planned, starts["source"].eqNullSafe(planned["source"])).select(*keys, "start", "source_size", "target", "quota", "width", "ends")
-    within = Window.partitionBy(*keys).orderBy("h", "doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("at", F.sum("size").over(within) - F.col("size")).join(starts, keys)
+    placed = [F.coalesce(F.col("source"), F.lit("")).alias("known"), F.col("source").isNull().alias("none"), F.shiftright("h", 60 - bits).alias("bucket")]
+    starts = slim.select("size", *placed).groupBy(*keys).agg(F.sum("size").alias("n"))
+    starts = starts.withColumn("start", F.sum("n").over(Window.partitionBy("known", "none").orderBy("bucket")) - F.col("n")).drop("n")
+    within = Window.partitionBy(*keys).orderBy("h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *placed).withColumn("at", F.sum("size").over(within) - F.col("size")).join(starts, keys)
+    # A row a source, with its blocks' shards: bounded as said at block_shards.
+    rows = rows.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("planned")))
     at, size, all_words = F.col("start") + F.col("at"), F.col("size"), F.col("source_size")
 
     def draw(copy):
         begin = copy * all_words + at
-        block = F.floor(begin / F.col("width"))
-        return F.struct(copy.cast("int").alias("copy"), F.least(size, F.col("quota") - begin).alias("words"), F.size(F.filter("ends", lambda e: e <= block)).alias("shard"))
+        block = F.floor(begin / F.col("width")).cast("int")
+        return F.struct(copy.cast("int").alias("copy"), F.least(size, F.col("quota") - begin).alias("words"), block.alias("block"), F.get("shards", block).alias("shard"))
 
-    draws = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(most_repeats - 1).cast("long")), draw), lambda d: d["words"] > 0)
-    out = placed.withColumn("draws", draws)
+    draws = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(most_repeats - 1).cast("long")), draw), lambda d: (d["words"] > 0) & d["shard"].isNotNull())
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return out.select("row_key", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
+    return rows.withColumn("draws", draws).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws", *(["docs"] if carry else []))
 
 
 def mix(docs: DataFrame, levels: int = 4, seed: int = 1, **more) -> DataFrame:
@@ -164,16 +183,19 @@ def mix(docs: DataFrame, levels: int = 4, seed: int = 1, **more) -> DataFrame:
 
     A copy that is taken in part has its first words, joined by single spaces.
     A document without words takes no room in a mix of words and is kept once.
+    Repeated rows are each taken as plan_mix says.  A column of docs named
+    mix_shard is replaced.
     """
-    plan = plan_mix(docs, levels, seed, **more).select(F.col("row_key").alias("mix_key"), F.col("size").alias("mix_size"), "draws")
-    plan = plan.withColumn("draws", F.when(F.col("mix_size") == 0, F.array(F.struct(F.lit(0).alias("copy"), F.lit(0).cast("long").alias("words"), F.pmod("mix_key", F.lit(1 << levels)).cast("int").alias("shard")))).otherwise(F.col("draws")))
-    plan = plan.where(F.size("draws") > 0).groupBy("mix_key").agg(F.first("mix_size").alias("mix_size"), F.first("draws").alias("draws"))
-    rows = docs.withColumn("mix_key", F.xxhash64("doc_id", "text", "source")).join(plan, "mix_key")
-    rows = rows.withColumn("mix_draw", F.explode("draws"))
-    part = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("mix_draw.words").cast("int")))
-    rows = rows.withColumn("text", F.when(F.col("mix_draw.words") < F.col("mix_size"), part).otherwise(F.col("text"))).withColumn("mix_shard", F.col("mix_draw.shard"))
-    rows = rows.withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_key", "mix_draw.copy"))
+    docs = docs.drop("mix_shard")
+    plan = plan_mix(docs, levels, seed, carry=True, **more)
+    key = F.xxhash64("docs.doc_id", "docs.text", "docs.source")
+    once = F.array(F.struct(F.lit(0).alias("copy"), F.lit(0).cast("long").alias("words"), F.lit(0).alias("block"), F.pmod(key, F.lit(1 << levels)).cast("int").alias("shard")))
+    rows = plan.select("docs", "size", F.explode(F.when(F.col("size") == 0, once).otherwise(F.col("draws"))).alias("draw"))
+    part = F.concat_ws(" ", F.slice(F.regexp_extract_all("docs.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("draw.words").cast("int")))
+    text = F.when(F.col("draw.words") < F.col("size"), part).otherwise(F.col("docs.text"))
+    rows = rows.select("docs", text.alias("text"), F.col("draw.shard").alias("shard"), F.xxhash64(F.lit(seed), key, "draw.copy").alias("order"))
     # A shard's documents are dealt by the first bits of their order to as many tasks as a shuffle has.
     tasks = max(1 << levels, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = F.shiftrightunsigned("mix_order", 64 - max(1, (tasks >> levels).bit_length()))
-    return rows.withColumn("mix_part", part).repartition(tasks, "mix_shard", "mix_part").sortWithinPartitions("mix_shard", "mix_part", "mix_order").select(*docs.columns, "mix_shard")
+    rows = rows.withColumn("part", F.shiftrightunsigned("order", 64 - max(1, (tasks >> levels).bit_length())))
+    rows = rows.repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", "order")
+    return rows.select(*(F.col("text") if c == "text" else F.col("docs")[c].alias(c) for c in docs.columns), F.col("shard").alias("mix_shard"))

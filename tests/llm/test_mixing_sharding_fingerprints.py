@@ -51,6 +51,48 @@ def test_mix_against_plain_targets(spark):
     assert plain(mixing.plan_mix(docs.repartition(5)).collect()) == plain(got)
 
 
+def test_blocks_are_drawn_by_exact_quotas(spark):
+    """Each shard has exactly the blocks of each source that the tree's leaf says, no block is in two, and they are permuted."""
+    sizes = {"a": 400, "b": 37, "c": 0, None: 90}
+    planned = spark.createDataFrame([(i + 1, n) for i, n in enumerate(sizes.values())], "rank int, blocks long")
+    quotas = spark.createDataFrame([(list(sizes.values()),)], "quotas array<long>")
+    leaves = {r["leaf"]: r["quotas"] for r in mixing.split_quotas(quotas, 3, 1).collect()}
+    drawn = {r["rank"]: r["shards"] for r in mixing.block_shards(planned, 3, 1).collect()}
+    assert set(drawn) == {1, 2, 4}
+    for rank, n in ((1, 400), (2, 37), (4, 90)):
+        assert Counter(drawn[rank]) == Counter({leaf: q[rank - 1] for leaf, q in leaves.items() if q[rank - 1]}) and len(drawn[rank]) == n
+    changes = sum(a != b for a, b in zip(drawn[1], drawn[1][1:], strict=False))
+    assert changes > 250  # contiguous ranges would have 7
+
+
+def test_documents_go_where_their_blocks_go(spark):
+    """Copies that begin in one block are in one shard, and shards' words are near their blocks'."""
+    _, docs = documents(spark, 3000, 4)
+    docs = docs.where("doc_id < 3000")
+    draws = mixing.plan_mix(docs).select("source", F.explode("draws").alias("d")).select("source", "d.*").collect()
+    of = {}
+    for d in draws:
+        assert of.setdefault((d["source"], d["block"]), d["shard"]) == d["shard"]
+    words = Counter()
+    for d in draws:
+        words[d["shard"]] += d["words"]
+    assert len(words) == 16 and max(words.values()) < 1.6 * min(words.values())
+    assert {d["shard"] for d in draws if d["source"] == "b"} == set(range(16))
+
+
+def test_repeated_rows_take_what_the_plan_says(spark):
+    """Equal rows, of which one is cut: each has its own draws."""
+    docs = spark.createDataFrame([(1, "u v w x y", "a")] * 7 + [(2, "r s t", "b"), (3, "k l m n", "b")], "doc_id long, text string, source string")
+    plan = mixing.plan_mix(docs).collect()
+    got = Counter()
+    for r in mixing.mix(docs.withColumn("mix_shard", F.lit("z"))).collect():
+        got[r["doc_id"]] += len(r["text"].split())
+    want = Counter()
+    for r in plan:
+        want[r["doc_id"]] += r["taken"]
+    assert got == want and len({r["taken"] for r in plan if r["doc_id"] == 1}) > 1
+
+
 def test_mixed_documents(spark):
     rows, docs = documents(spark, 80, 2)
     mixed = mixing.mix(docs.select("doc_id", "text", "source")).collect()
@@ -133,6 +175,22 @@ def test_edits_against_plain_strings(spark):
     assert fingerprints.compare_edited(docs.where("doc_id = 10")).first()["edited_sha256"] == hashlib.sha256(b"x").hexdigest()
 
 
+def test_edits_of_rows_without_doc_id(spark):
+    """They follow the others by their text hash, in one bucket or in many; repeated rows follow each other; long texts are whole."""
+    rng = random.Random(8)
+    rows = [(i, f"t{i} " * rng.randrange(0, 400)) for i in range(20)] + [(None, " ".join(f"n{rng.randrange(50)}" for _ in range(rng.randrange(1, 40)))) for _ in range(150)] + [(None, None)] * 3 + [(5, "z " * 400_000)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit("x"))
+    hashes = {r["text"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1] or ""]))
+    want = Counter()
+    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
+        text, after = text or "", after or ""
+        want[(i, len(text), hashlib.sha256((text[: len(text) - len(text) // 2] + after[: len(text) // 2]).encode()).hexdigest())] += 1
+    for per_bucket in (1000, 6):
+        got = fingerprints.compare_edited(docs, rows_per_bucket=per_bucket).select("doc_id", "n_chars", "edited_sha256").collect()
+        assert Counter(map(tuple, got)) == want
+
+
 def shingles(text):
     w = text.split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
