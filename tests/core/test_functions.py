@@ -87,6 +87,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert live.drop_expired("2020-01-01") == 0 and live.drop_expired("2030-01-01") > 0 and not [p for p in (tmp_path / "live" / "events").rglob("day=*") if day in p.name]
 
 
+def test_an_empty_batch_changes_nothing(spark, tmp_path):
+    landing = made_up.generate(spark, 3)
+    content = spark.createDataFrame([], sources.CONTENT_SCHEMA)
+    live = LiveEngine(spark, f"{tmp_path}/live", content)
+    assert not live.has("marks")
+    live.process(landing.limit(0), 0)
+    live.process(landing, 1)
+    before = sorted(live.now().collect())
+    live.process(landing.limit(0), 2)
+    assert sorted(live.now().collect()) == before and live.metrics().count() == 1
+
+
 def test_writers_round_trip_and_kafka_messages(spark, tmp_path):
     """Cells by day, and the parsing that a topic's messages go through."""
     rows = spark.sql("SELECT timestamp'2024-01-02 03:00:00' AS minute, 'IN' AS country, 'web' AS platform, 'vod' AS video_type, 'film' AS category, 1L AS content_id, 2L AS concurrent UNION ALL SELECT timestamp'2024-01-03 03:00:00', 'US', 'tv', 'vod', 'film', 2L, 3L")
