@@ -139,9 +139,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows_per_bucket: int = 4
 
     save = Saved(docs.sparkSession)
     least = percent / 100 - SLACK
-    rows = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "cast(text as string) AS text")
-    # Texts are read again by doc_id: dealt by it once, later joins need not move them.
-    rows = save.bucketed(rows, "doc_id", max(1, math.ceil(rows.count() / rows_per_bucket)))
+    given = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "cast(text as string) AS text")
+    # Texts are read again by doc_id: dealt by it once, later joins need not move them.  Those without one stay where they are.
+    rows = save.bucketed(given.where("doc_id IS NOT NULL"), "doc_id", max(1, math.ceil(given.count() / rows_per_bucket)))
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.binary()), ("signature", pa.binary()), ("least", pa.binary())])
 
     def measure(parts):
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows_per_bucket: int = 4
             more = [known.get(k, (None,) * 3) for k in keys]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(([len(s) for s in sets], keys, *([m[i] for m in more] for i in range(3))), list(schema)[1:], strict=True))], schema=schema)
 
-    measured = save(rows.mapInArrow(measure, "doc_id long, n_shingles long, set_key binary, bands binary, signature binary, least binary"))
+    measured = save(rows.union(given.where("doc_id IS NULL")).mapInArrow(measure, "doc_id long, n_shingles long, set_key binary, bands binary, signature binary, least binary"))
     # Equal sets are one node, named by their smallest doc_id, whose text is read again where its set is needed.
     full = measured.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     nodes = save(full.groupBy("set_key").agg(F.min("doc_id").alias("node"), *[F.first(c, ignorenulls=True).alias(c) for c in ("n_shingles", "bands", "signature", "least")]))
@@ -172,23 +172,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows_per_bucket: int = 4
 
     banded = nodes.select("node", "bands").mapInArrow(unpack, "band long, node long")
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    groups = save(banded.join(shared, "band").select("band", "n", "node"))
+    groups = banded_groups = save(banded.join(shared, "band").select("band", "n", "node"))
     # A star's centre is the set that meets the most others over all its bands: likely the text that the others are edits of.
     met = groups.groupBy("node").agg(F.sum("n").alias("met"))
     groups = groups.join(met, "node").select("band", "node", "met")
     hubs = groups.groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("hub")).select("band", (-F.col("hub.least")).alias("hub"))
     groups = save(groups.join(hubs, "band").select("band", "hub", "node"))
+    save.drop(banded_groups)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = save(pairs)
         sets = save(_sets_of(rows, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
         out = save(_passing(_joined(pairs, sets, "shingles"), lambda x, y: similar(np.frombuffer(x, U64), np.frombuffer(y, U64), percent)))
-        save.drop(sets)
+        save.drop(sets, pairs)
         return out
 
     pairs = save(groups.where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
     links = confirmed(_passing(_joined(pairs, signed, "signature"), lambda x, y: agreement(x, y) >= least))
     labels = save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    save.drop(links)
 
     # Band values whose nodes are not yet in one component: pairs of different components there.
     placed = groups.join(labels.withColumnRenamed("u", "node"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
@@ -206,10 +208,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rows_per_bucket: int = 4
         spread = mixed.withColumn("own", own).select("band", "node", "component", "own", F.explode(cells).alias("cell"))
         spread = spread.join(nodes.select("node", "signature", "bands", "least", "n_shingles"), "node").select("band", "cell.i", "cell.j", "own", "node", "component", "signature", "bands", "least", "n_shingles")
         more = save(spread.groupBy("band", "i", "j").applyInArrow(_compare(percent), "a long, b long").distinct())
-        more = more.join(pairs, ["a", "b"], "left_anti")
-        links = confirmed(more)
+        links = confirmed(more.join(pairs, ["a", "b"], "left_anti"))
         labels = save(components(labels.select("u", F.col("component").alias("v")).union(links.select("a", "b"))))
-    whole = nodes.select("set_key", "node").join(labels.withColumnRenamed("u", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+        save.drop(more, links)
+    whole = save(nodes.select("set_key", "node").join(labels.withColumnRenamed("u", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component")))
+    # What the result is read from are two tables of a small row for each document and set; the others go.
+    save.drop(rows, nodes, pairs, mixed, labels)
     found = slim.join(whole, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
