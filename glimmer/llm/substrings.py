@@ -8,7 +8,7 @@ at `length`, or when no candidate survives.
 
 The work is laid out for large inputs.  Texts are reduced to distinct ones, so
 copies never meet in one group.  A part (some megabytes of texts) sends each
-level's hashes as one packed array for each hash range and gets one bit for
+level's distinct hashes as one packed array for each hash range and gets one bit for
 each hash back: 4 bytes out for every candidate of the lower levels, whose
 false matches only make further candidates, and 12 bytes at the last, whose
 hashes count as equal windows (about 100 bits with the range's).
@@ -70,45 +70,67 @@ class Windows:
         return mix((sums[at + length] - sums[at]) * inverse[at])
 
 
-def _ranged(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by hash range, stable, and where each range ends in it."""
-    ranges = (hashes >> U64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
-    return np.argsort(ranges, kind="stable"), np.cumsum(np.bincount(ranges, minlength=1 << bits))
+class Distinct:
+    """The distinct ones of a part's hashes, sorted by hash range: of each its range, what is sent of it, and whether the part has it twice."""
+
+    def __init__(self, hashes: np.ndarray, second: np.ndarray | None, bits: int) -> None:
+        key = (hashes >> U64(64 - bits) << U64(32)) | (hashes & U64(0xFFFFFFFF))
+        order = np.argsort(key, kind="stable") if second is None else np.lexsort((second, key))
+        new = np.ones(len(order), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        if second is not None:
+            new[1:] |= second[order[1:]] != second[order[:-1]]
+        first = order[new]
+        #: For each hash, which of the distinct ones it is.
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.range = (key[first] >> U64(32)).astype(np.int64)
+        self.twice = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
+        self.packed = (key[first] & U64(0xFFFFFFFF)).astype("<u4")
+        if second is not None:
+            low, self.packed = self.packed, np.empty(len(first), FLAT)
+            self.packed["a"], self.packed["b"] = second[first], low
+
+    def ranges(self) -> Iterator[tuple[int, int, int]]:
+        """(range, begin, end) of the distinct hashes."""
+        edges = np.flatnonzero(np.concatenate([[True], self.range[1:] != self.range[:-1], [True]])) if len(self.range) else np.zeros(1, np.int64)
+        return ((int(self.range[a]), a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
+def _level(w: Windows, lengths: list[int], k: int, alive: np.ndarray | None, bits: int) -> tuple[np.ndarray, Distinct]:
+    """Where windows of level k can be repeated, and their distinct hashes."""
+    at = w.starts(lengths[k], alive, lengths[k - 1] if k else 0)
+    second = w.hashes(at, lengths[k], 1) if k + 1 == len(lengths) else None
+    return at, Distinct(w.hashes(at, lengths[k], 0), second, bits)
 
 
 def _survivors(w: Windows, lengths: list[int], answers: list[dict[int, bytes]], bits: int) -> np.ndarray | None:
     """For each word, whether a window that starts there survived the levels that have answers."""
-    alive, before = None, 0
-    for length, answer in zip(lengths, answers, strict=False):
-        at = w.starts(length, alive, before)
-        order, ends = _ranged(w.hashes(at, length, 0), bits)
-        flags, begin = np.zeros(len(at), bool), 0
-        for r, end in enumerate(ends.tolist()):
-            if end > begin and r in answer:
-                flags[order[begin:end]] = np.unpackbits(np.frombuffer(answer[r], np.uint8), count=end - begin).astype(bool)
-            begin = end
-        alive, before = np.zeros(len(w.words), bool), length
-        alive[at] = flags
+    alive = None
+    for k, answer in enumerate(answers):
+        at, distinct = _level(w, lengths, k, alive, bits)
+        flags = np.zeros(len(distinct.range), bool)
+        for r, begin, end in distinct.ranges():
+            if r in answer:
+                flags[begin:end] = np.unpackbits(np.frombuffer(answer[r], np.uint8), count=end - begin).astype(bool)
+        alive = np.zeros(len(w.words), bool)
+        alive[at] = flags[distinct.which]
     return alive
 
 
 def _sent(w: Windows, lengths: list[int], answers: list[dict[int, bytes]], bits: int) -> Iterator[tuple[int, bytes]]:
-    """(range, packed hashes) of the level after those that have answers."""
-    alive = _survivors(w, lengths, answers, bits)
-    k = len(answers)
-    at = w.starts(lengths[k], alive, lengths[k - 1] if k else 0)
-    hashes = w.hashes(at, lengths[k], 0)
-    order, ends = _ranged(hashes, bits)
-    if k + 1 < len(lengths):
-        packed = hashes.astype("<u4")[order]
-    else:
-        packed = np.empty(len(at), FLAT)
-        packed["a"], packed["b"] = w.hashes(at, lengths[k], 1)[order], hashes.astype("<u4")[order]
-    begin = 0
-    for r, end in enumerate(ends.tolist()):
-        if end > begin:
-            yield r, packed[begin:end].tobytes()
-        begin = end
+    """(range, number of hashes, whether each is there twice as bits, hashes) of the level after those that have answers: each distinct hash once."""
+    _, distinct = _level(w, lengths, len(answers), _survivors(w, lengths, answers, bits), bits)
+    for r, begin, end in distinct.ranges():
+        yield r, (end - begin).to_bytes(4, "little") + np.packbits(distinct.twice[begin:end]).tobytes() + distinct.packed[begin:end].tobytes()
+
+
+def _answers(packed: list[bytes], kind: np.dtype) -> list[np.ndarray]:
+    """For each part's packed hashes of a range, which of them are repeated, in the part or elsewhere."""
+    counts = [int.from_bytes(p[:4], "little") for p in packed]
+    twice = [np.unpackbits(np.frombuffer(p, np.uint8, -(-n // 8), 4), count=n).astype(bool) for p, n in zip(packed, counts, strict=True)]
+    hashes = [np.frombuffer(p, kind, n, 4 + -(-n // 8)) for p, n in zip(packed, counts, strict=True)]
+    return np.split(_repeated(np.concatenate(hashes)) | np.concatenate(twice), np.cumsum(counts)[:-1])
 
 
 def _repeated(packed: np.ndarray) -> np.ndarray:
@@ -125,7 +147,7 @@ def _repeated(packed: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 35, first: int = 18, as_digest: bool = False, part_bytes: int = 8 << 20, range_words: int = 1 << 21) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 35, first: int = 9, as_digest: bool = False, part_bytes: int = 8 << 20, range_words: int = 1 << 21) -> DataFrame:
     """What is left of each text of docs(doc_id, text, ...) without the words under windows of `length` words that also start elsewhere.
 
     Returns for each row doc_id, n_words, n_removed (long), spans
@@ -134,6 +156,10 @@ def remove_repeats(docs: DataFrame, length: int = 35, first: int = 18, as_digest
     kept_sha256, the hash of that.  All occurrences of a window go, the first
     too, and windows are judged on the input.
 
+    A group of one hash range gets each distinct hash once from a part, however
+    often the part has it, so a window that is everywhere is as many entries as
+    there are parts.
+
     Null text has no words; an empty text, and one shorter than `length`, loses
     nothing; of equal rows each has a row; a null doc_id is kept; an empty
     table gives no rows; further columns aren't read.
@@ -177,9 +203,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, first: int = 18, as_digest
         kind = FLAT if k + 1 == len(lengths) else np.dtype("<u4")
 
         def answer(table):
-            packed = [np.frombuffer(p.as_buffer(), kind) for p in table["packed"]]
-            flags = _repeated(np.concatenate(packed))
-            each = np.split(flags, np.cumsum([len(p) for p in packed])[:-1])
+            each = _answers(table["packed"].to_pylist(), kind)
             kept = np.array([i for i, f in enumerate(each) if f.any()], np.int64)
             return pa.table({"part": table["part"].take(kept), "level": pa.array([k] * len(kept), pa.int32()), "range": table["range"].take(kept), "flags": pa.array([np.packbits(each[i]).tobytes() for i in kept], pa.binary())})
 

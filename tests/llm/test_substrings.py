@@ -30,7 +30,7 @@ def test_levels():
     assert all(b <= 2 * a for a, b in zip(substrings.levels(1000, 3), substrings.levels(1000, 3)[1:]))
 
 
-@pytest.mark.parametrize("length, first", [(35, 18), (6, 2), (1, 1)])
+@pytest.mark.parametrize("length, first", [(35, 9), (35, 18), (6, 2), (1, 1)])
 def test_against_brute_force(spark, length, first):
     rng = random.Random(length)
     passages = [" ".join(f"p{rng.randrange(9)}" for _ in range(rng.randrange(3, 60))) for _ in range(6)]
@@ -54,3 +54,17 @@ def test_repeated():
     values = np.array([3, 1, 3, 2, 1, 9], "<u4")
     assert substrings._repeated(values).tolist() == [True, True, True, False, True, False]
     assert substrings._repeated(values[:0]).tolist() == []
+
+
+def test_a_range_gets_each_hash_once_from_a_part():
+    """A part that is one passage over and over sends each of its windows once, as repeated."""
+    from glimmer.llm.text import Hasher
+
+    text = b" ".join(b"p%d" % (i % 50) for i in range(5000))
+    w = substrings.Windows([text], Hasher(), 35)
+    sent = list(substrings._sent(w, [18, 35], [], 1))
+    assert sum(int.from_bytes(p[:4], "little") for _, p in sent) == 50
+    assert all(f.all() for _, p in sent for f in substrings._answers([p], np.dtype("<u4")))
+    alone = substrings.Windows([b" ".join(b"q%d" % i for i in range(100))], Hasher(), 35)
+    found = [substrings._answers([p], np.dtype("<u4"))[0] for _, p in substrings._sent(alone, [18, 35], [], 1)]
+    assert not np.concatenate(found).any() and sum(map(len, found)) == 83
