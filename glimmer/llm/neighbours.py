@@ -1,12 +1,13 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, searched best bin first.
 
 The tree is fitted on a bounded sample; every row then goes down to a leaf.  A
-query takes leaves from a priority queue, the nodes whose centres have the
-largest inner product with it first.  How many leaves a query visits is
+query takes leaves from a priority queue, the nodes that promise the largest
+inner product first: the product with the node's centre and a share of what its
+spread can add.  That share, and how many leaves a query visits, are
 calibrated: the true neighbours of a bounded set of queries are found by brute
 force over all rows, and the visits widen until enough of those lie in visited
-leaves.  Leaves are searched as blocks of rows against the queries that visit
-them, and each query's best of all blocks are merged.
+leaves.  Leaves are searched as blocks of rows against blocks of the queries that
+visit them, and each query's best of all blocks are merged.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.tables import Saved
+from glimmer.llm.tables import Saved, Shared
 
-#: Rows of the sample that the tree is fitted on, and queries that the visits are calibrated on, at most about.
-SAMPLE, CALIBRATION = 32_768, 256
-#: Children of a node, rows of a leaf as fitted, leaves of the tree at most, and rows of a block within a leaf.
-BRANCHES, LEAF_ROWS, MOST_LEAVES, BLOCK = 8, 1024, 4096, 8192
+#: Bytes of the sample that the tree is fitted on (double precision), and queries that the visits are calibrated on, at most about.
+SAMPLE_BYTES, CALIBRATION = 64 << 20, 256
+#: Children of a node, rows of a leaf as fitted, rows of the sample for each leaf at least, rows of a block within a leaf, and queries of a block.
+BRANCHES, LEAF_ROWS, SAMPLE_ROWS, BLOCK, QUERIES = 8, 1024, 8, 8192, 16384
+#: Shares of a node's spread that are tried in its promise.
+SPREADS = (0.0, 0.25, 0.5, 1.0)
 
 
 class Tree:
@@ -31,6 +34,7 @@ class Tree:
 
     def __init__(self, rows: np.ndarray, leaves: int, seed: int = 1) -> None:
         self.centres: list[np.ndarray] = [rows.mean(axis=0) if len(rows) else np.zeros(rows.shape[1])]
+        self.spread: list[float] = [0.0]  # root mean square of the distances from the centre
         self.children: list[list[int]] = [[]]
         self.leaf_of: list[int] = [-1]
         self.leaves = 0
@@ -46,6 +50,7 @@ class Tree:
         for group in groups:
             self.children[node].append(len(self.centres))
             self.centres.append(group.mean(axis=0))
+            self.spread.append(float(np.sqrt(((group - self.centres[-1]) ** 2).sum(axis=1).mean())))
             self.children.append([])
             self.leaf_of.append(-1)
         for child, group in zip(self.children[node], groups, strict=True):
@@ -67,15 +72,18 @@ class Tree:
             todo += [(c, at[nearest == i]) for i, c in enumerate(self.children[node])]
         return out
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
+    def visit(self, query: np.ndarray, most: int, share: float = 0.0) -> list[int]:
         """The first leaves that a best-bin-first traversal reaches."""
+        if not hasattr(self, "matrix"):
+            self.matrix, self.spreads = np.stack(self.centres), np.array(self.spread)
+        promise = (self.matrix @ query + share * np.sqrt(query @ query) * self.spreads).tolist()
         queue, out = [(0.0, 0)], []
         while queue and len(out) < most:
             _, node = heapq.heappop(queue)
             if not self.children[node]:
                 out.append(self.leaf_of[node])
             for child in self.children[node]:
-                heapq.heappush(queue, (-float(self.centres[child] @ query), child))
+                heapq.heappush(queue, (-promise[child], child))
         return out
 
 
@@ -152,14 +160,20 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.
         return spark.createDataFrame([], schema)
     dim, n = found["dim"], found["count"]
     rows = rows.where(F.size("embedding") == dim)
-    by_hash = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+    by_hash = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 40))
     share = lambda most, of: F.lit(int((1 << 40) * min(1.0, most / max(of, 1))))
-    sample = np.array([r["embedding"] for r in rows.where(by_hash < share(SAMPLE, n)).orderBy("vec_id").select("embedding").toLocalIterator()], np.float64).reshape(-1, dim)
-    tree = spark.sparkContext.broadcast(Tree(sample, max(1, min(MOST_LEAVES, n // LEAF_ROWS))))
+    most = max(1024, SAMPLE_BYTES // (8 * dim))
+    # Repeated rows are drawn together and count once.
+    drawn = rows.where(by_hash < share(most, n)).distinct().orderBy("vec_id").select("embedding")
+    sample = np.array([r["embedding"] for r in drawn.toLocalIterator()], np.float64).reshape(-1, dim)
+    # A small table has as many leaves as a node has children, if that leaves them 64 rows.
+    tree = Tree(sample, max(1, min(len(sample) // SAMPLE_ROWS, max(n // LEAF_ROWS, min(BRANCHES, n // 64)))))
+    shared = Shared(spark, tree)
 
     def place(parts):
+        tree = shared.get()
         for batch in parts:
-            leaf = tree.value.assign(_matrix(batch.column("embedding"), dim))
+            leaf = tree.assign(_matrix(batch.column("embedding"), dim))
             yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("vec_id"), batch.column("embedding")], ["leaf", "vec_id", "embedding"])
 
     kind = rows.schema["embedding"].dataType.simpleString()
@@ -192,20 +206,34 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.
 
     truth = indexed.mapInArrow(scan, "query int, vec_id long, score double, leaf int")
     truth = truth.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query", "leaf").collect()
-    visits = calibrated(tree.value, some_rows, [(r["query"], r["leaf"]) for r in truth], recall)
+    visits, spread = calibrated(tree, some_rows, [(r["query"], r["leaf"]) for r in truth], recall)
+
+    def visited(parts):
+        tree = shared.get()
+        counts = np.zeros(tree.leaves, np.int64)
+        for batch in parts:
+            for q in _matrix(batch.column("embedding"), dim):
+                counts[tree.visit(q, visits, spread)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts)], ["leaf", "n"])
 
     def route(parts):
+        tree = shared.get()
         for batch in parts:
             queries = _matrix(batch.column("embedding"), dim)
-            leaves = [tree.value.visit(q, visits) for q in queries]
+            leaves = [tree.visit(q, visits, spread) for q in queries]
             at = np.repeat(np.arange(len(queries)), [len(x) for x in leaves])
             yield pa.RecordBatch.from_arrays([pa.array([x for y in leaves for x in y], pa.int32()), batch.column("vec_id").take(pa.array(at)), batch.column("embedding").take(pa.array(at))], ["leaf", "vec_id", "embedding"])
 
+    # Cells of a leaf: its blocks of rows by the blocks of its queries; the table is a row a leaf, so the sample bounds it.
     blocks = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = {r["leaf"]: r["blocks"] for r in blocks.where("blocks > 1").collect()}  # at most MOST_LEAVES rows
-    many = F.coalesce(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("leaf")] if blocks else F.lit(1), F.lit(1))
-    stored = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), many).cast("int"))
-    routed = asked.select("vec_id", "embedding").mapInArrow(route, f"leaf int, vec_id long, embedding {kind}").withColumn("block", F.explode(F.sequence(F.lit(0), many - 1)))
+    queries = asked.select("embedding").mapInArrow(visited, "leaf int, n long").groupBy("leaf").agg(F.ceil(F.sum("n") / QUERIES).cast("int").alias("asks"))
+    sizes = F.broadcast(save(blocks.join(queries, "leaf").select("leaf", "blocks", F.greatest("asks", F.lit(1)).alias("asks"))))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.col(n)).cast("int")
+    cell = ("leaf", "vec_id", "embedding", "block", "ask")
+    stored = indexed.join(sizes, "leaf").withColumn("block", mine("blocks")).withColumn("ask", each("asks")).select(*cell)
+    routed = asked.select("vec_id", "embedding").mapInArrow(route, f"leaf int, vec_id long, embedding {kind}")
+    routed = routed.join(sizes, "leaf").withColumn("block", each("blocks")).withColumn("ask", mine("asks")).select(*cell)
 
     def search(own, queries):
         if not own.num_rows or not queries.num_rows:
@@ -233,16 +261,19 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.
         return pa.table({"query_id": query[keep], "rank": rank[keep].astype(np.int32), "vec_id": ids[keep], "score": scores[keep]})
 
     hits = pa.schema([("query_id", pa.int64()), ("vec_ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
-    hit = stored.groupBy("leaf", "block").cogroup(routed.groupBy("leaf", "block")).applyInArrow(search, "query_id long, vec_ids array<long>, scores array<double>")
+    hit = stored.groupBy("leaf", "block", "ask").cogroup(routed.groupBy("leaf", "block", "ask")).applyInArrow(search, "query_id long, vec_ids array<long>, scores array<double>")
     buckets = max(1, math.ceil(n_asked * visits * k / 1_000_000))
     return hit.withColumn("bucket", F.pmod(F.xxhash64("query_id"), F.lit(buckets))).groupBy("bucket").applyInArrow(merge, schema)
 
 
-def calibrated(tree: Tree, queries: np.ndarray, truth: list[tuple[int, int]], recall: float) -> int:
-    """The fewest leaves, widening by an eighth or one, whose visit finds that share of the true (query, leaf) pairs."""
-    places = [{leaf: i for i, leaf in enumerate(tree.visit(q, tree.leaves))} for q in queries]
-    needed = np.sort([places[q][leaf] + 1 for q, leaf in truth])
-    visits = 1
-    while visits < tree.leaves and np.searchsorted(needed, visits, side="right") < recall * len(needed):
-        visits = min(tree.leaves, max(visits + 1, visits * 9 // 8))
-    return visits
+def calibrated(tree: Tree, queries: np.ndarray, truth: list[tuple[int, int]], recall: float) -> tuple[int, float]:
+    """(visits, share of the spread): the fewest leaves, widening by an eighth or one, whose visit finds that share of the true (query, leaf) pairs."""
+    best = (tree.leaves + 1, 0.0)
+    for share in SPREADS if tree.leaves > 1 else SPREADS[:1]:
+        places = [{leaf: i for i, leaf in enumerate(tree.visit(q, tree.leaves, share))} for q in queries]
+        needed = np.sort([places[q][leaf] + 1 for q, leaf in truth])
+        visits = 1
+        while visits < tree.leaves and np.searchsorted(needed, visits, side="right") < recall * len(needed):
+            visits = min(tree.leaves, max(visits + 1, visits * 9 // 8))
+        best = min(best, (visits, share))
+    return best
