@@ -66,5 +66,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     save, docs = Saved(spark), documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir))
-        save.release()
     return STAGES[-1][1](spark, docs, sf_dir)
