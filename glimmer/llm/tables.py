@@ -7,11 +7,14 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Where the tables are noted that a block of own_tables_dropped() is to drop.
+_noted: ContextVar[list | None] = ContextVar("noted", default=None)
 #: Bytes of an Arrow batch that a task sends to Python: rows of very long texts or sets come a few at a time.
 BATCH_BYTES = 8 << 20
 
@@ -49,16 +52,21 @@ class Saved:
     """Tables written once and read again, which cuts lineage: a lost executor costs a re-read, no recomputation."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+        self.spark, self.noted = spark, _noted.get()
         bounded_batches(spark)
 
+    def _note(self, df: DataFrame) -> DataFrame:
+        if self.noted is not None:
+            self.noted.append(df)
+        return df
+
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
         with own_shuffles_deleted(self.spark):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.saved_at = path
-        return out
+        return self._note(out)
 
     def bucketed(self, df: DataFrame, column: str, buckets: int) -> DataFrame:
         """A table whose groups by `column` need no further shuffle."""
@@ -67,7 +75,7 @@ class Saved:
             df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(name)
         out = self.spark.table(name)
         out.saved_at, out.saved_as = path, name
-        return out
+        return self._note(out)
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later step reads."""
@@ -78,6 +86,22 @@ class Saved:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def own_tables_dropped(spark: SparkSession) -> Iterator[None]:
+    """At the end of this block, the tables are dropped that Saved objects made in it have written.
+
+    What a stage returns reads them, so its result has to be written in the
+    block, through a Saved that was made before it.
+    """
+    noted: list[DataFrame] = []
+    token = _noted.set(noted)
+    try:
+        yield
+    finally:
+        _noted.reset(token)
+        Saved(spark).drop(*noted)
+
+
 class Shared:
     """A broadcast value whose classes the executors need not have installed: they travel with it."""
 
