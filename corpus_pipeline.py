@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glimmer.llm import language, lines, minhash, mixing, packing
 from glimmer.llm.registry import tokenizer_path
-from glimmer.llm.tables import Saved, documents
+from glimmer.llm.tables import Saved, documents, own_tables_dropped
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document stays whose language has at least this share of its words.
@@ -62,8 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written and read again."""
-    save, docs = Saved(spark), documents(spark, sf_dir)
+    """All stages over documents; what each returns is written and read again, and what only it needs is dropped then."""
+    save, docs, before = Saved(spark), documents(spark, sf_dir), []
     for _, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir))
+        with own_tables_dropped(spark):
+            docs = save(stage(spark, docs, sf_dir))
+        save.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
