@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import fingerprints, language, lines, minhash, mixing, neighbours, packing, sharding, substrings, toxicity
+from glimmer.llm import fingerprints, language, lines, minhash, mixing, neighbours, packing, resampling, sharding, substrings, toxicity
 from glimmer.llm.tables import documents
 
 
@@ -58,6 +58,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 24)
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 OP5_SQL = r"""
 WITH r AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -132,6 +136,33 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
+#: CRC-32 byte by byte over a table of its 256 remainders, for each distinct feature once.
+OP13_SQL = r"""
+WITH q AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS q FROM range(256) r(i)),
+x AS (SELECT row_number() OVER () AS id, 0 AS side, doc_id, text FROM documents UNION ALL SELECT 0, 1, NULL, text FROM benchmark),
+d AS MATERIALIZED (
+  SELECT id, side, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM x),
+f AS MATERIALIZED (
+  SELECT id, side, w[i] AS f FROM (SELECT id, side, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+  UNION ALL SELECT id, side, w[i] || ' ' || w[i + 1] FROM (SELECT id, side, w, unnest(range(1, len(w))) AS i FROM d)),
+h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+b AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(h) // 2 + 1), lambda i: ('0x' || h[2 * i - 1:2 * i])::BIGINT)),
+    lambda a, c: xor(a >> 8, q[(xor(a, c) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM h, q),
+n AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN b USING (f) GROUP BY 1),
+o AS (SELECT coalesce(sum(s), 0)::DOUBLE AS ss, coalesce(sum(t), 0)::DOUBLE AS tt FROM n),
+g AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (ss + 10000) / ((s + 1.0::DOUBLE) * (tt + 10000))))::BIGINT AS gain FROM n, o),
+w AS (SELECT id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE side = 0 GROUP BY id),
+e AS (
+  SELECT id, doc_id, len(w)::BIGINT AS words, greatest(2 * len(w) - 1, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (id) WHERE side = 0),
+r AS (SELECT id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 25 * count(*) OVER () // 100 AS drawn FROM e WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM e LEFT JOIN r USING (id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_substring_dedup": op2_substring_dedup,
@@ -143,5 +174,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_sharding": op10_sharding,
+    "op13_resampling": op13_resampling,
 }
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL, "op13_resampling": OP13_SQL}
