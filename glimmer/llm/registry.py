@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import fingerprints, language, lines, minhash, mixing, neighbours, packing, resampling, sharding, substrings, toxicity
+from glimmer.llm import collocations, fingerprints, language, lines, minhash, mixing, neighbours, packing, resampling, sharding, substrings, toxicity
 from glimmer.llm.tables import documents
 
 
@@ -58,6 +58,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 24)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -136,6 +140,30 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH p AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1),
+g AS MATERIALIZED (
+  SELECT lang, phrase, k, count(*) AS f
+  FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) r(k)))
+  GROUP BY ALL HAVING count(*) >= 30),
+s AS (SELECT lang, phrase, k, f, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+c AS (SELECT lang, phrase, f AS a, i, array_to_string(w[:i], ' ') AS x, array_to_string(w[i + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS i FROM s)),
+v AS (
+  SELECT c.lang, c.phrase, a, i, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM c JOIN g x ON x.lang = c.lang AND x.phrase = c.x JOIN g y ON y.lang = c.lang AND y.phrase = c.y),
+b AS (SELECT lang, phrase, a, unnest(arg_min({'l': l, 'r': r, 'score': score}, (score, i))) FROM v GROUP BY lang, phrase, a),
+i AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS f
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM s)) GROUP BY 1, 2),
+o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE NOT coalesce(100::HUGEINT * i.f >= 80::HUGEINT * a, false))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 #: CRC-32 byte by byte over a table of its 256 remainders, for each distinct feature once.
 OP13_SQL = r"""
 WITH q AS (
@@ -174,6 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_sharding": op10_sharding,
+    "op12_collocations": op12_collocations,
     "op13_resampling": op13_resampling,
 }
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL, "op13_resampling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL, "op12_collocations": OP12_SQL, "op13_resampling": OP13_SQL}
