@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import collocations, fingerprints, language, lines, minhash, mixing, neighbours, packing, resampling, sharding, substrings, toxicity
+from glimmer.llm import collocations, fingerprints, language, lines, minhash, mixing, neighbours, packing, partenum, resampling, sharding, substrings, toxicity
 from glimmer.llm.tables import documents
 
 
@@ -58,6 +58,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 24)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(documents(spark, sf_dir))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
@@ -140,6 +144,8 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
+OP11_SQL = OP9_SQL.replace("100 * c >= 75 *", "100 * c >= 80 *").replace(", doc_id = component_id AS kept", "")
+
 OP12_SQL = r"""
 WITH p AS MATERIALIZED (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
@@ -202,7 +208,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_sharding": op10_sharding,
+    "op11_ngram_join": op11_ngram_join,
     "op12_collocations": op12_collocations,
     "op13_resampling": op13_resampling,
 }
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL, "op12_collocations": OP12_SQL, "op13_resampling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL, "op11_ngram_join": OP11_SQL, "op12_collocations": OP12_SQL, "op13_resampling": OP13_SQL}
