@@ -110,7 +110,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, least_words:
     task numbers more than some millions.
     """
     save = Saved(docs.sparkSession)
-    counted = save(gains(bucket_counts(docs, buckets), bucket_counts(target, buckets), buckets))
+    corpus, wanted = (save(bucket_counts(df, buckets)) for df in (docs, target))
+    counted = save(gains(corpus, wanted, buckets))
     values = np.zeros(buckets, np.int64)
     for r in counted.collect():  # one row a bucket
         values[r["bucket"]] = r["gain"]
