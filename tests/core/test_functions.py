@@ -63,7 +63,7 @@ def test_stream_equals_batch(spark, tmp_path):
         part = made[i * len(made) // 4 : (i + 1) * len(made) // 4]
         part = part[::-1] + part[:5]  # out of order, with repeats
         (tmp_path / "in" / f"{i}.json").write_text("\n".join(map(json.dumps, part)))
-    content = spark.createDataFrame([(i, f"T{i}", "vod", "film") for i in range(1001, 1009)], sources.CONTENT_SCHEMA)
+    content = spark.createDataFrame([(i, f"T{i}", "vod", "film") for i in range(70, 73)], sources.CONTENT_SCHEMA)
     live = LiveEngine(spark, f"{tmp_path}/live", content, cfg)
     query = live.start(sources.stream_json(spark, f"{tmp_path}/in", 1), f"{tmp_path}/checkpoint", every=None)
     query.awaitTermination(300)
