@@ -33,6 +33,12 @@ def hot(intervals: DataFrame, boundary: DataFrame, cfg: EngineConfig) -> DataFra
     return count_cells(expand(intervals.join(F.broadcast(boundary)), cfg, since=F.col("wm")))
 
 
+def tiered(cells: DataFrame, boundary: DataFrame) -> DataFrame:
+    """Cells with their tier: cold before the boundary (one row), hot from it on; served together, each minute is in one of them."""
+    rows = cells.join(F.broadcast(boundary))
+    return rows.withColumn("tier", F.when(F.col("minute") < F.col("wm"), "cold").otherwise("hot")).drop("wm")
+
+
 def serve(cold_cells: DataFrame, hot_cells: DataFrame) -> DataFrame:
     """Cold rows, and hot rows after the last cold minute (all, if cold is empty); for tiers that were written at different times."""
     last = cold_cells.agg(F.coalesce(F.max("minute"), F.timestamp_seconds(F.lit(0))).alias("last"))

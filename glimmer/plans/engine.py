@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.config import EngineConfig, Rules
+from glimmer.operators import blocks
 from glimmer.operators import cells as C
 from glimmer.operators import sessions as S
 from glimmer.operators import tiers
@@ -39,6 +40,12 @@ class Engine:
     def sessions(self) -> DataFrame:
         return S.session_intervals(self.islands, self.content, self.cfg, self.as_of)
 
+    @cached_property
+    def versioned(self) -> DataFrame:
+        """Session rows, each with the time of its last event as its version: when it was last derived."""
+        seen = C.last_seen(self.events).select(S.SESSION, F.unix_millis("last_ts").alias("version"))
+        return self.sessions.drop("version").join(seen, S.SESSION)
+
     @cached_property
     def intervals(self) -> DataFrame:
         return C.unpack(self.sessions)
@@ -51,6 +58,17 @@ class Engine:
     def cells(self) -> DataFrame:
         return C.count_cells(self.atoms)
 
+    @cached_property
+    def cells_sweep(self) -> DataFrame:
+        return C.by_sweep(self.intervals, self.cfg)
+
+    @cached_property
+    def islands_blocked(self) -> DataFrame:
+        return blocks.islands_of_events(self.events, self.cfg, self.rules)
+
+    def user_bitmaps(self) -> DataFrame:
+        return C.bitmap_cells(self.atoms, "user_id", C.numbered(self.events, "user_id"))
+
     @cached_property
     def cells_independent(self) -> DataFrame:
         return C.session_independent(self.segments, self.content, self.cfg)
@@ -73,8 +91,8 @@ class Engine:
 
     @cached_property
     def now(self) -> DataFrame:
-        """What is served: both tiers.  Here they are derived from the same intervals and part at one minute, so they are all cells."""
-        return self.cells
+        """What is served: both tiers, told apart by a column; the cells are derived once."""
+        return tiers.tiered(self.cells, self.boundary)
 
     def sweep(self, foreground_resumes: bool, grace_seconds: int, gap_seconds: int) -> DataFrame:
         """Session cells under other knobs, with the sweep's own classifier and islands that only gaps split."""

@@ -18,6 +18,8 @@ from glimmer.sources import testdata
 
 CFG = TESTDATA_CONFIG
 AS_OF = "2024-01-30 00:00:00"
+#: When retention is looked at: some sessions are older than it allows, others are not.
+RETAINED_AT = "2024-02-02 12:00:00"
 B, H, G, HOT = CFG.bucket_seconds, CFG.heartbeat_seconds, CFG.gap_seconds, CFG.hot_window_seconds
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,7 +28,7 @@ KEYS = "country, platform, video_type, category, content_id, minute"
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return Engine(testdata.landing(spark, sf_dir), testdata.content(spark), CFG, as_of=AS_OF)
+    return Engine(testdata.landing(spark, sf_dir), testdata.content(spark, sf_dir), CFG, as_of=AS_OF)
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -160,13 +162,31 @@ query("bucket_expand", "SELECT video_session_id, user_id, platform, active_start
 query("cells_session_aware", "SELECT * FROM sa")(lambda e: e.cells)
 query("cells_session_independent", "SELECT * FROM si")(lambda e: e.cells_independent)
 query("cells_extended", "SELECT * FROM ex")(lambda e: e.cells_extended)
-query("intervals_retained", f"SELECT video_session_id, version FROM (SELECT DISTINCT video_session_id, epoch_ms(TIMESTAMP '{AS_OF}') AS version FROM isl) WHERE version >= epoch_ms(TIMESTAMP '2024-02-01 12:00:00' - INTERVAL {CFG.intervals_ttl_days} DAY)")(
-    lambda e: tiers.retained_versions(e.sessions, e.cfg.intervals_ttl_days, "2024-02-01 12:00:00").select(S.SESSION, "version")
-)
+query(
+    "intervals_retained",
+    f"""SELECT video_session_id, version FROM (SELECT DISTINCT video_session_id FROM isl) JOIN (SELECT video_session_id, epoch_ms(max(event_timestamp)) AS version FROM ev GROUP BY 1) USING (video_session_id)
+WHERE version >= epoch_ms(TIMESTAMP '{RETAINED_AT}' - INTERVAL {CFG.intervals_ttl_days} DAY)""",
+)(lambda e: tiers.retained_versions(e.versioned, e.cfg.intervals_ttl_days, RETAINED_AT).select(S.SESSION, "version"))
 query("tier_cold", "SELECT * FROM cold")(lambda e: e.cold)
 query("tier_hot", "SELECT * FROM hot")(lambda e: e.hot)
 query("tier_overlap", "SELECT minute FROM cold INTERSECT SELECT minute FROM hot")(lambda e: tiers.overlap(e.cold, e.hot))
-query("concurrency_now", "SELECT * FROM now")(lambda e: e.now)
+query("concurrency_now", "SELECT *, 'cold' AS tier FROM cold UNION ALL SELECT *, 'hot' FROM hot WHERE minute > (SELECT coalesce(max(minute), TIMESTAMP '1970-01-01') FROM cold)")(lambda e: e.now)
+query("islands_blocked", "SELECT * FROM isl")(lambda e: e.islands_blocked)
+query("cells_sweep", "SELECT * FROM ind", MEMBERS)(lambda e: e.cells_sweep)
+query(
+    "sweep_steps",
+    f"""SELECT platform, minute, lead(minute) OVER (PARTITION BY platform ORDER BY minute) AS until, n FROM (
+  SELECT platform, minute, n, coalesce(lag(n) OVER (PARTITION BY platform ORDER BY minute), 0) AS before
+  FROM (SELECT p.platform, g.minute, count(DISTINCT m.video_session_id) AS n
+    FROM (SELECT DISTINCT platform FROM mb) p CROSS JOIN (SELECT minute FROM gr UNION SELECT max(minute) + INTERVAL {B} SECOND FROM gr) g
+    LEFT JOIN mb m ON m.platform = p.platform AND m.minute = g.minute GROUP BY 1, 2))
+WHERE n <> before QUALIFY n > 0""",
+    MEMBERS,
+)(lambda e: C.steps(e.intervals, e.cfg, keys=("platform",)))
+query("users_exact_from_bitmaps", "SELECT minute, count(DISTINCT user_id) AS users FROM mb GROUP BY 1", MEMBERS)(lambda e: C.rolled_up(e.user_bitmaps(), ("minute",), "users"))
+query("users_by_video_type_from_bitmaps", "SELECT video_type, count(DISTINCT user_id) AS users FROM mb WHERE country = 'IN' GROUP BY 1", MEMBERS)(
+    lambda e: C.rolled_up(e.user_bitmaps().where("country = 'IN'"), ("video_type",), "users")
+)
 query("last_seen", "SELECT video_session_id, max(event_timestamp) AS last_ts FROM ev GROUP BY 1")(lambda e: C.last_seen(e.events))
 query("dim_values", "SELECT DISTINCT 'platform' AS dim, platform AS value FROM ev UNION SELECT 'country', country FROM ev")(lambda e: C.dim_values(e.events))
 query("recent_sessions", f"SELECT ev.* FROM ev WHERE video_session_id IN (SELECT video_session_id FROM ev GROUP BY 1 HAVING max(event_timestamp) >= TIMESTAMP '{AS_OF}' - INTERVAL {CFG.lookback_seconds} SECOND)")(lambda e: C.recent_sessions(e.events, C.last_seen(e.events), e.cfg, AS_OF))
@@ -198,8 +218,11 @@ query(
     f"""SELECT max(c)::BIGINT AS peak_concurrency, arg_min(minute, (-c, minute)) AS peak_minute, round(sum(c) / (SELECT date_diff('second', min(minute), max(minute)) / {B} + 1 FROM ex), 1) AS avg_concurrency, arg_max(c, minute)::BIGINT AS last_minute_concurrency
 FROM (SELECT minute, sum(concurrent) AS c FROM ex WHERE audio_language = 'hin' AND player_version = 'p1' GROUP BY 1)""",
 )(lambda e: serving.kpis(e.cells_extended, e.cfg, audio_language="hin", player_version="p1", app_version=""))
-for column in ("platform", "country", "video_type", "category"):
-    query(f"dropdown_{column}", f"SELECT DISTINCT {column} FROM now")(lambda e, column=column: serving.dropdown(e.now, column))
+for column in ("platform", "country"):
+    query(f"dropdown_{column}", f"SELECT DISTINCT {column} FROM ev")(lambda e, column=column: serving.dropdown_of(C.dim_values(e.events), column))
+for column in ("video_type", "category"):
+    query(f"dropdown_{column}", f"SELECT DISTINCT {column} FROM cd")(lambda e, column=column: serving.dropdown(e.content, column))
+query("dropdown_content", "SELECT content_id, title FROM cd ORDER BY title, content_id LIMIT 1000")(lambda e: serving.dropdown(e.content, "content_id", "title"))
 for name, column in (("audio", "audio_language"), ("subtitle", "subtitle_language"), ("player_version", "player_version"), ("app_version", "app_version")):
     query(f"dropdown_{name}", f"SELECT DISTINCT {column} FROM ex")(lambda e, column=column: serving.dropdown(e.cells_extended, column))
 query("dropdown_title", "SELECT DISTINCT content_id, title FROM ex")(lambda e: serving.dropdown(e.cells_extended, "content_id", "title"))

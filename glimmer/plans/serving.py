@@ -147,6 +147,11 @@ def dropdown(cells: DataFrame, *columns: str, limit: int = 1000) -> DataFrame:
     return cells.select(*columns).distinct().orderBy(*columns[::-1]).limit(limit)
 
 
+def dropdown_of(dim_values: DataFrame, dim: str, limit: int = 1000) -> DataFrame:
+    """A drop-down from the small table of (dim, value) pairs, which ingestion keeps up to date: no cell is derived for it."""
+    return dropdown(dim_values.where(F.col("dim") == dim).select(F.col("value").alias(dim)), dim, limit=limit)
+
+
 def exact_totals(atoms: DataFrame) -> DataFrame:
     """Distinct sessions and users a bucket over all dimensions, which sums of cells can overcount."""
     return atoms.groupBy("minute").agg(F.count_distinct(SESSION).alias("sessions"), F.count_distinct("user_id").alias("users"))

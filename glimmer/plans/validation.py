@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.config import CORE_DIMS, EXTENDED_DIMS, EngineConfig, Rules
-from glimmer.functions.scalar import bucket_floor, plus_seconds, seconds_between
+from glimmer.functions.scalar import bucket_floor, last_instant, plus_seconds, seconds_between
 from glimmer.operators import cells as C
 from glimmer.operators import sessions as S
 
@@ -135,16 +135,26 @@ def paused_samples(events: DataFrame, intervals: DataFrame, rules: Rules = Rules
 
 
 def paused_inside(events: DataFrame, intervals: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row: deactivated instants, their sessions, and how many lie in an active interval of theirs (none should).
-
-    An equi-join on the session with the range as its residual.
-    """
+    """One row: deactivated instants, their sessions, and how many lie in an active interval of theirs (none should)."""
     paused = S.running_state(S.collapse(S.classify(events, rules))).where("state = -1").select(SESSION, "ts")
-    inside = paused.join(intervals.select(SESSION, "active_start", "active_end"), SESSION).where("active_start <= ts AND ts < active_end")
+    inside = points_in_intervals(paused, intervals.select(SESSION, "active_start", "active_end"))
     counts = paused.agg(F.count("*").alias("deactivated_instants"), F.count_distinct(SESSION).alias("sessions_with_paused_state"))
     return counts.join(F.broadcast(inside.agg(F.count("*").alias("inside_active_interval"))))
 
 
+def points_in_intervals(points: DataFrame, intervals: DataFrame, bin_seconds: int = 3600) -> DataFrame:
+    """points(session, ts, ...) joined with the intervals(session, active_start, active_end, ...) of theirs that hold ts.
+
+    A binned join: an interval is in each bin of time that it touches, a point
+    in one, so a pair meets once, and a point meets what is near it, not all
+    intervals of its session.
+    """
+    binned = points.withColumn("bin", F.floor(F.unix_seconds("ts") / bin_seconds))
+    first, last = (F.floor(F.unix_seconds(c) / bin_seconds) for c in (F.col("active_start"), last_instant(F.col("active_end"))))
+    spread = intervals.where("active_end > active_start").withColumn("bin", F.explode(F.sequence(first, last)))
+    return binned.join(spread, [SESSION, "bin"]).where("active_start <= ts AND ts < active_end").drop("bin")
+
+
 def start_only_sessions(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Sessions with a start and a beat but no other activation."""
     play = F.col("event_type").isin("VideoPlay", "AppForegrounded") | F.col("event").isin(*rules.activating_markers)

@@ -24,7 +24,9 @@ ev AS (
     CASE WHEN subtitle_language = '' OR lower(trim(subtitle_language)) IN ('und', 'unknown', 'unk') THEN 'unk' ELSE split_part(lower(trim(subtitle_language)), '-', 1) END AS subtitle_language,
     CASE WHEN trim(player_version) = '' THEN 'unk' ELSE player_version END AS player_version, make_timestamp(session_start_epoch * 1000) AS session_start_epoch
   FROM raw),
-cd AS (SELECT i AS content_id, 'Title ' || i AS title, CASE WHEN i % 2 = 0 THEN 'live' ELSE 'vod' END AS video_type, ['sport', 'drama', 'film'][i % 3 + 1] AS category FROM range(8) t(i))"""
+cd AS (
+  SELECT p_partkey + 1 AS content_id, min(p_name) AS title, CASE WHEN (p_partkey + 1) % 2 = 0 THEN 'live' ELSE 'vod' END AS video_type, ['sport', 'drama', 'film'][(p_partkey + 1) % 3 + 1] AS category
+  FROM part GROUP BY p_partkey)"""
 
 
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +52,9 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def content(spark: SparkSession) -> DataFrame:
-    """Eight of the nine contents: one stays unknown."""
-    i = F.col("id")
+def content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The `part` table as the content catalogue: it has titles that nobody watches, and lacks content 0, which some do."""
+    i = F.col("p_partkey") + 1
     category = F.element_at(F.array(F.lit("sport"), F.lit("drama"), F.lit("film")), (i % 3 + 1).cast("int"))
-    return spark.range(8).select(i.alias("content_id"), F.concat(F.lit("Title "), i).alias("title"), F.when(i % 2 == 0, "live").otherwise("vod").alias("video_type"), category.alias("category"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return rows.select(i.alias("content_id"), F.col("p_name").alias("title"), F.when(i % 2 == 0, "live").otherwise("vod").alias("video_type"), category.alias("category"))

@@ -14,19 +14,30 @@ def test_query_against_sql(spark, name):
     df = QUERIES[name](spark, SF)
     names = sorted(df.columns)
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    for table in ("events", "part"):
+        c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = c.sql(f"SELECT {', '.join(names)} FROM ({ORACLE_SQL[name]})").fetchall()
     plain = lambda rows: sorted(repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
     assert plain(df.select(*names).collect()) == plain(want)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-def test_serving_reads_the_events_once(spark):
-    """Curves and figures come from one derivation of the cells; a tier adds the one-row boundary."""
-    for name, most in (("curve_dense", 1), ("kpi_peak_avg", 1), ("hour_grain", 1), ("concurrency_now", 1), ("tier_cold", 2), ("tier_hot", 2)):
-        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-        scans = plan.split("== Initial Plan ==")[-1].count("FileScan parquet")
-        assert 0 < scans <= most, (name, scans)
+def test_serving_derives_the_cells_once(spark):
+    """Curves and figures come from one derivation of the cells; the tiers' boundary reads the times alone, and where the tier isn't asked for, not even those."""
+    for name in ("curve_dense", "kpi_peak_avg", "hour_grain", "concurrency_now", "tier_cold", "tier_hot", "cells_session_aware", "dropdown_platform"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        scans = [line for line in plan.split("\n") if "FileScan parquet" in line and "events.parquet" in line]
+        whole = [line for line in scans if not line.endswith(("ReadSchema: struct<ts:timestamp_ntz>", "ReadSchema: struct<>"))]
+        assert len(whole) == 1 and len(scans) <= 2, (name, scans)
+        assert ("THEN cold ELSE hot" in plan) == (name == "concurrency_now"), name
+    for name in ("dropdown_platform", "dropdown_category", "dropdown_content"):
+        assert "Window" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString(), name
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_rows_are_there_to_be_dropped(spark):
+    kept, all_of = QUERIES["intervals_retained"](spark, "/root/testdata/sf0.01").count(), QUERIES["session_intervals"](spark, "/root/testdata/sf0.01").select("video_session_id").distinct().count()
+    assert 0 < kept < all_of
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
