@@ -122,15 +122,21 @@ def block_shards(planned: DataFrame, levels: int, seed: int) -> DataFrame:
     return blocks.groupBy("rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "shard"))), lambda x: x["shard"]).alias("shards"))
 
 
-def plan_mix(docs: DataFrame, levels: int = 4, seed: int = 1, most_repeats: int = 3, rows_per_bucket: int = 20_000, carry: bool = False) -> DataFrame:
+def plan_mix(docs: DataFrame, levels: int = 4, seed: int = 1, most_repeats: int = 3, rows_per_bucket: int = 20_000, carry: bool = False, cut: bool = True) -> DataFrame:
     """What the mix takes of each row of docs(doc_id, text, source, ...).
 
-    Returns doc_id, source, size (words), source_size, target, taken (words)
-    and draws: array of (copy, words, block, shard), a whole copy each but for
-    the one document in which a source's target ends, of which the first
-    words are taken; with carry also docs, the row itself as a struct.  There
-    are 2**levels shards.  A copy belongs to the block of its source's stream in
-    which it begins, and goes to the shard that drew this block.
+    Returns doc_id, source, size (words), source_size, target, taken (words:
+    the sum of the draws') and draws: array of (copy, first, words, block,
+    shard), the `words` words after the first `first` of a copy, which lie in a
+    block of the source's stream and go to the shard that drew this block; with
+    carry also docs, the row itself as a struct.  There are 2**levels shards.
+
+    Copies are cut where blocks end, so a shard's words of a source are those
+    of the blocks that it drew: its quota of whole blocks, but for the source's
+    last one, which ends with the target.  Without cut, a copy stays whole and
+    goes to the shard of the block in which it begins; shards' words are then
+    near their quotas only where blocks are longer than documents.  A document
+    in which a source's target ends gives its first words.
 
     Null text has no words; a null source is a source; null and repeated
     doc_ids count as rows of their own (equal rows are in turn, whichever is
@@ -168,32 +174,43 @@ def plan_mix(docs: DataFrame, levels: int = 4, seed: int = 1, most_repeats: int
     rows = rows.join(F.broadcast(planned), F.col("source").eqNullSafe(F.col("planned")))
     at, size, all_words = F.col("start") + F.col("at"), F.col("size"), F.col("source_size")
 
-    def draw(copy):
-        begin = copy * all_words + at
-        block = F.floor(begin / F.col("width")).cast("int")
-        return F.struct(copy.cast("int").alias("copy"), F.least(size, F.col("quota") - begin).alias("words"), block.alias("block"), F.get("shards", block).alias("shard"))
-
-    draws = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(most_repeats - 1).cast("long")), draw), lambda d: (d["words"] > 0) & d["shard"].isNotNull())
+    def draw(copy, begin, low, high, block):
+        return F.struct(copy.cast("int").alias("copy"), (low - begin).alias("first"), (high - low).alias("words"), block.cast("int").alias("block"), F.get("shards", block.cast("int")).alias("shard"))
+
+    def draws_of(copy):
+        begin, width = copy * all_words + at, F.col("width")
+        end = F.least(begin + size, F.col("quota"))
+        block = F.floor(begin / width)
+        if not cut:
+            return F.when(end > begin, F.array(draw(copy, begin, begin, end, block)))
+        # All pieces of all rows are no more than copies and blocks together.
+        pieces = F.sequence(block, F.floor((end - 1) / width))
+        return F.when(end > begin, F.transform(pieces, lambda b: draw(copy, begin, F.greatest(begin, b * width), F.least(end, (b + 1) * width), b)))
+
+    copies = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(most_repeats - 1).cast("long")), draws_of)
+    draws = F.filter(F.flatten(F.filter(copies, lambda x: x.isNotNull())), lambda d: d["shard"].isNotNull())
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
     return rows.withColumn("draws", draws).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws", *(["docs"] if carry else []))
 
 
-def mix(docs: DataFrame, levels: int = 4, seed: int = 1, **more) -> DataFrame:
+def mix(docs: DataFrame, levels: int = 4, seed: int = 1, cut: bool = False, **more) -> DataFrame:
     """The mixed documents: docs' columns and mix_shard, once for each copy taken, shards in turn and shuffled within.
 
-    A copy that is taken in part has its first words, joined by single spaces.
+    With cut, once for each draw, so that shards' words are exactly their
+    quotas; else copies stay whole (see plan_mix).
+    A copy that is taken in part has those words, joined by single spaces.
     A document without words takes no room in a mix of words and is kept once.
     Repeated rows are each taken as plan_mix says.  A column of docs named
     mix_shard is replaced.
     """
     docs = docs.drop("mix_shard")
-    plan = plan_mix(docs, levels, seed, carry=True, **more)
+    plan = plan_mix(docs, levels, seed, carry=True, cut=cut, **more)
     key = F.xxhash64("docs.doc_id", "docs.text", "docs.source")
-    once = F.array(F.struct(F.lit(0).alias("copy"), F.lit(0).cast("long").alias("words"), F.lit(0).alias("block"), F.pmod(key, F.lit(1 << levels)).cast("int").alias("shard")))
+    once = F.array(F.struct(F.lit(0).alias("copy"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("words"), F.lit(0).alias("block"), F.pmod(key, F.lit(1 << levels)).cast("int").alias("shard")))
     rows = plan.select("docs", "size", F.explode(F.when(F.col("size") == 0, once).otherwise(F.col("draws"))).alias("draw"))
-    part = F.concat_ws(" ", F.slice(F.regexp_extract_all("docs.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("draw.words").cast("int")))
+    part = F.concat_ws(" ", F.slice(F.regexp_extract_all("docs.text", F.lit(WORD), F.lit(0)), (F.col("draw.first") + 1).cast("int"), F.col("draw.words").cast("int")))
     text = F.when(F.col("draw.words") < F.col("size"), part).otherwise(F.col("docs.text"))
-    rows = rows.select("docs", text.alias("text"), F.col("draw.shard").alias("shard"), F.xxhash64(F.lit(seed), key, "draw.copy").alias("order"))
+    rows = rows.select("docs", text.alias("text"), F.col("draw.shard").alias("shard"), F.xxhash64(F.lit(seed), key, "draw.copy", "draw.first").alias("order"))
     # A shard's documents are dealt by the first bits of their order to as many tasks as a shuffle has.
     tasks = max(1 << levels, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.withColumn("part", F.shiftrightunsigned("order", 64 - max(1, (tasks >> levels).bit_length())))

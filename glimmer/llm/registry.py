@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glimmer.llm import collocations, fingerprints, language, lines, minhash, mixing, neighbours, packing, partenum, resampling, sharding, substrings, toxicity
 from glimmer.llm.tables import documents
@@ -35,7 +36,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(documents(spark, sf_dir))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").cast("long").alias("n_draws"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH r AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+  SELECT row_number() OVER () AS id, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          ('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || ':1'), 15))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),
@@ -87,11 +88,16 @@ t AS (
   FROM l),
 p AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS pos
-  FROM r)
+  FROM r),
+q AS (SELECT *, floor(target + 0.5)::BIGINT AS quota FROM t),
+x AS (SELECT *, greatest(64, ceil(sum(quota) OVER () / 32768))::BIGINT AS width FROM q),
+c AS (
+  SELECT id, doc_id, size, p.source_size, target, copy, width, copy * x.source_size + pos AS lo, least(copy * x.source_size + pos + size, quota) AS hi
+  FROM (SELECT p.*, s.source_size FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source) p JOIN x ON p.source IS NOT DISTINCT FROM x.source, range(3) r(copy)),
+e AS (SELECT *, unnest(CASE WHEN hi > lo THEN range((lo // width)::BIGINT, ((hi - 1) // width)::BIGINT + 1) ELSE [NULL] END) AS block FROM c)
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, floor(target + 0.5)::BIGINT - pos)) + greatest(0, least(size, floor(target + 0.5)::BIGINT - source_size - pos))
-   + greatest(0, least(size, floor(target + 0.5)::BIGINT - 2 * source_size - pos)))::BIGINT AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+  coalesce(sum(least(hi, (block + 1) * width) - greatest(lo, block * width)) FILTER (block IS NOT NULL), 0)::BIGINT AS taken, count(block)::BIGINT AS n_draws
+FROM e GROUP BY id, doc_id, size, source_size, target
 """
 
 OP2_SQL = r"""

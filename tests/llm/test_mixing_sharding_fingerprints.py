@@ -1,5 +1,6 @@
 import bisect
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -65,11 +66,54 @@ def test_blocks_are_drawn_by_exact_quotas(spark):
     assert changes > 250  # contiguous ranges would have 7
 
 
+def test_shards_get_exactly_their_quotas(spark):
+    """Cut at block edges, a shard's words of a source are those of its blocks, each of which is covered once; the leaves say how many."""
+    _, docs = documents(spark, 3000, 4)
+    levels, most = 3, 400
+    docs = docs.where(f"doc_id < {most} OR doc_id = 3001")
+    plan = mixing.plan_mix(docs, levels).select("doc_id", "source", "size", "target", "draws").collect()
+    quota = {r["source"]: math.floor(r["target"] + 0.5) for r in plan}
+    names = sorted(s for s in quota if s is not None) + [None]
+    width = max(mixing.LEAST_BLOCK, math.ceil(sum(quota.values()) / mixing.MOST_BLOCKS))
+    blocks = [math.ceil(quota[s] / width) for s in names]
+    leaves = mixing.split_quotas(spark.createDataFrame([(blocks,)], "quotas array<long>"), levels, 1).collect()
+    words, covered, of = Counter(), Counter(), {}
+    for r in plan:
+        for copy in range(3):
+            pieces = sorted((d["first"], d["words"]) for d in r["draws"] if d["copy"] == copy)
+            assert all(f + n == g for (f, n), (g, _) in zip(pieces, pieces[1:], strict=False)) and (not pieces or pieces[0][0] == 0)
+        for d in r["draws"]:
+            assert d["words"] > 0 and of.setdefault((r["source"], d["block"]), d["shard"]) == d["shard"]
+            words[r["source"], d["shard"]] += d["words"]
+            covered[r["source"], d["block"]] += d["words"]
+    for i, s in enumerate(names):
+        assert [covered[s, b] for b in range(blocks[i])] == [min(width, quota[s] - b * width) for b in range(blocks[i])]
+        last = quota[s] - (blocks[i] - 1) * width
+        for leaf in leaves:
+            n, has_last = leaf["quotas"][i], of[s, blocks[i] - 1] == leaf["leaf"]
+            assert words[s, leaf["leaf"]] == (n - 1) * width + last if has_last else words[s, leaf["leaf"]] == n * width
+    assert len({d["block"] for r in plan if r["size"] == 50000 for d in r["draws"]}) > 100
+    mixed = Counter()
+    for r in mixing.mix(docs, levels, cut=True).select("source", "mix_shard", "text").collect():
+        mixed[r["source"], r["mix_shard"]] += len((r["text"] or "").split())
+    assert +mixed == +words
+
+
+def test_a_cut_copy_is_its_words(spark):
+    """The pieces of a document's copy, put in order, are its words."""
+    docs = spark.createDataFrame([(i, " ".join(f"{i}_{k}" for k in range(150 * (i + 1))), "a" if i < 3 else "b") for i in range(5)], "doc_id long, text string, source string")
+    plan = {r["doc_id"]: r for r in mixing.plan_mix(docs).collect()}
+    got = Counter(w for r in mixing.mix(docs, cut=True).collect() for w in r["text"].split())
+    for i, r in plan.items():
+        want = Counter(k for d in r["draws"] for k in range(d["first"], d["first"] + d["words"]))
+        assert {k: got[f"{i}_{k}"] for k in want} == want and sum(want.values()) == r["taken"]
+
+
 def test_documents_go_where_their_blocks_go(spark):
-    """Copies that begin in one block are in one shard, and shards' words are near their blocks'."""
+    """Left whole, copies that begin in one block are in one shard, and shards' words are near their blocks'."""
     _, docs = documents(spark, 3000, 4)
     docs = docs.where("doc_id < 3000")
-    draws = mixing.plan_mix(docs).select("source", F.explode("draws").alias("d")).select("source", "d.*").collect()
+    draws = mixing.plan_mix(docs, cut=False).select("source", F.explode("draws").alias("d")).select("source", "d.*").collect()
     of = {}
     for d in draws:
         assert of.setdefault((d["source"], d["block"]), d["shard"]) == d["shard"]
