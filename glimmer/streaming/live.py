@@ -8,6 +8,11 @@ State merges on reading: sessions' first and last times by min and max,
 attributes' values as a set, intervals by the newest version.  Events are in a
 folder for each day, and a batch reads no day before the first event of the
 sessions that it touches.
+
+compact() merges the parts of many batches into one folder, named by a negative
+batch.  Readers take the newest such folder that is complete (its success
+marker is the pointer) and the batches after it; what it replaces is deleted
+one compaction later, so that readers who have listed it can finish.
 """
 
 from __future__ import annotations
@@ -47,10 +52,21 @@ class LiveEngine:
         path, fs = self._path(table)
         return fs.exists(path)
 
+    def _folders(self, table: str) -> tuple[list[int], int | None]:
+        """The batches a reader takes, and the newest complete compacted one among them."""
+        path, fs = self._path(table)
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        found = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+        whole = [b for b in found if b < 0 and fs.exists(self._path(f"{table}/batch={b}/_SUCCESS")[0])]
+        newest = min(whole, default=None)
+        until = -1 if newest is None else -newest - 1
+        return sorted(b for b in found if b > until or b == newest), newest
+
     def _read(self, table: str, until: int | None = None) -> DataFrame | None:
         if not self.has(table):
             return None
-        rows = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}/batch=*")
+        folders = [f"{self.root}/{table}/batch={b}" for b in self._folders(table)[0]]
+        rows = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*folders)
         return rows if until is None else rows.where(F.col("batch") <= until)
 
     def events(self) -> DataFrame:
@@ -130,3 +146,48 @@ class LiveEngine:
         for folder in old:
             fs.delete(folder, True)
         return len(old)
+
+    def compact(self, as_of: str | None = None) -> int:
+        """Merges all batches before the newest; returns how many folders are deleted.
+
+        Sessions' times and attributes' values are merged, the newest version of
+        intervals is kept, cold cells are put together.  Sessions whose intervals
+        all ended before the intervals' retention at as_of (default: the last
+        event) are dropped.  Deleted are batches, hot snapshots and marks that the
+        compaction before this one has replaced.  The newest batch isn't
+        touched: it may be tried again.  Not to run while a batch is worked on.
+        """
+        marks = self._read("marks")
+        until = -1 if marks is None else marks.agg(F.max("batch")).first()[0] - 1
+        before = self._folders("intervals")[1] if self.has("intervals") else None
+        if until < 0 or before is not None and -before - 1 >= until:
+            return 0
+        if as_of is None:
+            as_of = self.last_seen().agg(F.max("last_ts")).first()[0]
+
+        def kept(rows: DataFrame) -> DataFrame:
+            last = F.array_max(F.transform("intervals", lambda iv: iv["active_end"]))
+            newest = tiers.latest(rows, (S.SESSION,)).withColumn("_end", last)
+            cut = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(self.cfg.intervals_ttl_days))
+            return newest.where(F.col("is_provisional") | (F.col("_end") >= cut)).drop("_end")
+
+        merges = {
+            "last_seen": lambda rows: rows.groupBy(S.SESSION).agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")),
+            "dim_values": lambda rows: rows.select("dim", "value").distinct(),
+            "intervals": kept,
+            "cold": lambda rows: rows,
+        }
+        for table, merge in merges.items():
+            rows = self._read(table, until)
+            if self._folders(table)[1] != -until - 1:
+                self._write(table, -until - 1, merge(rows.drop("batch")))
+        return 0 if before is None else sum(self._delete_replaced(table, before) for table in (*merges, "hot", "marks"))
+
+    def _delete_replaced(self, table: str, compacted: int) -> int:
+        """Deletes the batches that a compacted folder replaced, and older compacted folders."""
+        path, fs = self._path(table)
+        names = [(f.getPath(), f.getPath().getName()) for f in fs.listStatus(path)]
+        old = [p for p, n in names if n.startswith("batch=") and compacted < int(n.removeprefix("batch=")) < -compacted]
+        for folder in old:
+            fs.delete(folder, True)
+        return len(old)

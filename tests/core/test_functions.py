@@ -87,6 +87,35 @@ def test_stream_equals_batch(spark, tmp_path):
     assert live.drop_expired("2020-01-01") == 0 and live.drop_expired("2030-01-01") > 0 and not [p for p in (tmp_path / "live" / "events").rglob("day=*") if day in p.name]
 
 
+def test_compaction_changes_no_figure_and_bounds_the_folders(spark, tmp_path):
+    made = made_up.generate(spark, 12, seed=5).cache()
+    content = spark.createDataFrame([], sources.CONTENT_SCHEMA)
+    live = LiveEngine(spark, f"{tmp_path}/live", content, EngineConfig(hot_window_seconds=1800, intervals_ttl_days=1))
+    part = lambda i: made.where(F.pmod(F.xxhash64("video_session_id"), F.lit(5)) == i)
+    found = lambda *a: [sorted(map(str, df.collect())) for df in (live.now(), live.last_seen(), live.dim_values(), live.intervals(*a))]
+    parts = lambda table: {p.name for p in (tmp_path / "live" / table).glob("batch=*")}
+    assert live.compact() == 0  # nothing there
+    for i in range(2):
+        live.process(part(i), i)
+    want = found()
+    assert live.compact("2000-01-01") == 0 and found() == want and "batch=-1" in parts("cold")
+    assert live.compact("2000-01-01") == 0 and found() == want  # no new batch since
+    (tmp_path / "live" / "cold" / "batch=-9").mkdir()  # an attempt that was cut off isn't read
+    live.process(part(1), 1)  # the newest batch is tried again
+    assert found() == want
+    for i in range(2, 4):
+        live.process(part(i), i)
+    want = found()
+    assert live.compact("2000-01-01") > 0 and found() == want
+    assert {"batch=-1", "batch=1", "batch=2", "batch=3", "batch=-3"} == parts("intervals") and "batch=0" not in parts("hot") | parts("marks")
+    live.process(part(4), 4)
+    live.compact("2100-01-01")
+    kept = {r["batch"] for r in live._read("intervals").where("NOT is_provisional").select("batch").distinct().collect()}
+    assert kept <= {4}  # older sessions are beyond retention
+    assert max(len(parts(t)) for t in ("cold", "hot", "intervals", "last_seen", "dim_values", "marks")) <= 5
+    made.unpersist()
+
+
 def test_an_empty_batch_changes_nothing(spark, tmp_path):
     landing = made_up.generate(spark, 3)
     content = spark.createDataFrame([], sources.CONTENT_SCHEMA)
