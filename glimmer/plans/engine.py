@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.config import EngineConfig, Rules
@@ -94,6 +94,14 @@ class Engine:
         """What is served: both tiers, told apart by a column; the cells are derived once."""
         return tiers.tiered(self.cells, self.boundary)
 
+    def cold_after(self, late: Column) -> DataFrame:
+        """Cold cells as a live path has them after late events (late: a condition on landing rows): those without them, and what they change."""
+        early = Engine(self.landing.where(~late), self.content, self.cfg, self.rules, self.as_of)
+        derived = self.landing.where(late).select(S.SESSION).distinct()
+        bounded = [rows.join(F.broadcast(self.boundary)) for rows in (early.intervals, self.intervals)]
+        changes = tiers.corrections(*bounded, derived, self.cfg, F.timestamp_seconds(F.lit(0)), F.col("wm"))
+        return tiers.corrected(tiers.cold(early.intervals, self.boundary, self.cfg), changes)
+
     def sweep(self, foreground_resumes: bool, grace_seconds: int, gap_seconds: int) -> DataFrame:
         """Session cells under other knobs, with the sweep's own classifier and islands that only gaps split."""
         cfg = EngineConfig(self.cfg.bucket_seconds, grace_seconds, gap_seconds - grace_seconds)

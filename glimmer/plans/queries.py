@@ -171,6 +171,8 @@ query("tier_cold", "SELECT * FROM cold")(lambda e: e.cold)
 query("tier_hot", "SELECT * FROM hot")(lambda e: e.hot)
 query("tier_overlap", "SELECT minute FROM cold INTERSECT SELECT minute FROM hot")(lambda e: tiers.overlap(e.cold, e.hot))
 query("concurrency_now", "SELECT *, 'cold' AS tier FROM cold UNION ALL SELECT *, 'hot' FROM hot WHERE minute > (SELECT coalesce(max(minute), TIMESTAMP '1970-01-01') FROM cold)")(lambda e: e.now)
+# Backgrounding and errors come late here; what they change in the cold tier is added to it.
+query("cold_after_late_events", "SELECT * FROM cold")(lambda e: e.cold_after(F.col("event_type").isin("AppBackgrounded", "VideoError")))
 query("islands_blocked", "SELECT * FROM isl")(lambda e: e.islands_blocked)
 query("cells_sweep", "SELECT * FROM ind", MEMBERS)(lambda e: e.cells_sweep)
 query(

@@ -33,13 +33,14 @@ class LiveEngine:
 
     A batch re-derives the sessions it touches from their whole history, and
     closes those that have fallen silent.
-    Minutes older than the hot window are moved to the cold tier once and stay
-    as they were then: events that come later than that change only the
-    intervals.
+    Minutes older than the hot window are moved to the cold tier once.  Events
+    that come later than that are written as signed corrections of its cells,
+    as far back as intervals are kept (older minutes are final: what was there
+    can't be told any more).  With frozen=True they change only the intervals.
     """
 
-    def __init__(self, spark: SparkSession, root: str, content: DataFrame, cfg: EngineConfig = EngineConfig(), rules: Rules = Rules()) -> None:
-        self.spark, self.root, self.content, self.cfg, self.rules = spark, root.rstrip("/"), content, cfg, rules
+    def __init__(self, spark: SparkSession, root: str, content: DataFrame, cfg: EngineConfig = EngineConfig(), rules: Rules = Rules(), frozen: bool = False) -> None:
+        self.spark, self.root, self.content, self.cfg, self.rules, self.frozen = spark, root.rstrip("/"), content, cfg, rules, frozen
 
     def _write(self, table: str, batch: int, rows: DataFrame, by: tuple[str, ...] = ()) -> None:
         rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.root}/{table}/batch={batch}")
@@ -85,9 +86,12 @@ class LiveEngine:
         return C.unpack(tiers.latest(self._read("intervals").drop("batch"), (S.SESSION,)))
 
     def now(self) -> DataFrame:
-        """Cold cells, and the newest hot snapshot after them."""
+        """Cold cells with their corrections, and the newest hot snapshot after them."""
         last = self._read("marks").agg(F.max("batch")).first()[0]
         cold = self._read("cold", last).drop("batch")
+        changes = self._read("corrections", last)
+        if changes is not None:
+            cold = tiers.corrected(cold, changes.drop("batch"))
         return tiers.serve(cold, self._read("hot").where(F.col("batch") == last).drop("batch"))
 
     def metrics(self) -> DataFrame:
@@ -116,19 +120,33 @@ class LiveEngine:
             open_rows = tiers.latest(before.drop("batch"), (S.SESSION,)).where("is_provisional").join(touched, S.SESSION, "left_anti")
             last_end = F.array_max(F.transform("intervals", lambda iv: iv["active_end"]))
             silent = open_rows.where(last_end < plus_seconds(now, -self.cfg.gap_seconds))
-            rows = rows.unionByName(silent.withColumn("is_provisional", F.lit(False)).withColumn("version", F.lit(batch).cast("long")))
+            # Sessions of which a late event has left nothing: an empty version, so that the one before isn't the newest.
+            emptied = tiers.latest(before.drop("batch").join(touched, S.SESSION, "left_semi"), (S.SESSION,)).join(merged.select(S.SESSION), S.SESSION, "left_anti")
+            emptied = emptied.withColumn("intervals", F.filter("intervals", lambda _: F.lit(False)))
+            for closed in (silent, emptied):
+                rows = rows.unionByName(closed.withColumn("is_provisional", F.lit(False)).withColumn("version", F.lit(batch).cast("long")))
         self._write("intervals", batch, rows)
         intervals = C.unpack(tiers.latest(self._read("intervals", batch).drop("batch"), (S.SESSION,)))
         # The tiers part a hot window before the last event; cold takes what lies between the last parting and this one.
         until = plus_seconds(bucket_floor(now, self.cfg.bucket_seconds), -self.cfg.hot_window_seconds)
         marks = self._read("marks")
-        before = marks.where(F.col("batch") < batch).agg(F.max("until")).first()[0] if marks is not None else None
-        since = F.timestamp_seconds(F.lit(0)) if before is None else F.lit(before)
+        parted = marks.where(F.col("batch") < batch).agg(F.max("until")).first()[0] if marks is not None else None
+        since = F.timestamp_seconds(F.lit(0)) if parted is None else F.lit(parted)
+        if parted is not None and before is not None and not self.frozen:
+            self._correct(batch, C.unpack(tiers.latest(before.drop("batch"), (S.SESSION,))), touched, now, since)
         self._write("cold", batch, C.count_cells(C.expand(intervals, self.cfg, since, until)))
         self._write("hot", batch, C.count_cells(C.expand(intervals, self.cfg, F.greatest(since, until))))
         mark = self.spark.range(1).select(F.greatest(since, until).alias("until"))
         self._write("marks", batch, mark.join(F.broadcast(fresh.agg(F.count("*").alias("rows")))))
 
+    def _correct(self, batch: int, before: DataFrame, touched: DataFrame, now, until) -> None:
+        """Writes what a batch changes in cold minutes, if anything; most batches have no such event and expand nothing."""
+        # Compaction has dropped no interval that reaches into a bucket after this.
+        since = plus_seconds(bucket_floor(now, self.cfg.bucket_seconds), self.cfg.bucket_seconds - 86_400 * self.cfg.intervals_ttl_days)
+        again = C.unpack(self._read("intervals").where(F.col("batch") == batch).drop("batch"))
+        if not tiers.changed(before, again, touched, since, until).isEmpty():
+            self._write("corrections", batch, tiers.corrections(before, again, touched, self.cfg, since, until))
+
     def start(self, landing: DataFrame, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
         """Runs on a stream of landing rows; with every=None, over what is there, and then ends."""
         trigger = {"availableNow": True} if every is None else {"processingTime": every}
@@ -151,7 +169,7 @@ class LiveEngine:
         """Merges all batches before the newest; returns how many folders are deleted.
 
         Sessions' times and attributes' values are merged, the newest version of
-        intervals is kept, cold cells are put together.  Sessions whose intervals
+        intervals is kept, cold cells are put together and corrections added up.  Sessions whose intervals
         all ended before the intervals' retention at as_of (default: the last
         event) are dropped.  Deleted are batches, hot snapshots and marks that the
         compaction before this one has replaced.  The newest batch isn't
@@ -176,7 +194,9 @@ class LiveEngine:
             "dim_values": lambda rows: rows.select("dim", "value").distinct(),
             "intervals": kept,
             "cold": lambda rows: rows,
+            "corrections": lambda rows: rows.groupBy(*tiers.CELL_KEY).agg(*[F.sum(c).alias(c) for c in ("concurrent", "concurrent_users")]).where("concurrent <> 0 OR concurrent_users <> 0"),
         }
+        merges = {table: merge for table, merge in merges.items() if self.has(table)}
         for table, merge in merges.items():
             rows = self._read(table, until)
             if self._folders(table)[1] != -until - 1:
