@@ -2,7 +2,8 @@
 
 Voters look at hits of a lexicon and at patterns.  The lexicon is mined from
 labelled documents: word beginnings that are far commoner in toxic ones,
-counted over all of them.  The label model is generative: the class draws the
+counted over all of them; of more than LEXICON such, those that a ratio test
+is surest of.  The label model is generative: the class draws the
 votes (toxic, clean or none), each voter's by a table of its own (its accuracy)
 or, where two voters agree beyond what the class explains, by a table given the
 class and the other's vote (their correlation).  Such pairs form a tree, the
@@ -30,6 +31,8 @@ SAMPLE, BANKS = 20_000, 12
 #: A word beginning is toxic if it is in so many toxic documents, so many times commoner there, and a likelihood ratio test
 #: against equal shares passes (chi squared of one degree of freedom, 0.001), whatever the number of documents.
 LEAST_DOCUMENTS, LIFT, SURE = 4, 20.0, 10.83
+#: Word beginnings of the lexicon at most, a parameter of the model's size (2 MB): those that the ratio test is surest of.
+LEXICON = 1 << 18
 #: Bits of the table that tells which word beginnings to count in clean documents.
 TABLE_BITS = 22
 MEASURES = ("words", "hits", "kinds", "marks", "capitals", "lines")
@@ -255,11 +258,13 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         share, n, m = toxic / (toxic + clean), F.col("n"), F.col("m")
         ratio = 2 * (n * F.log(n / ((n + m) * share)) + F.when(m > 0, m * F.log(m / ((n + m) * (1 - share)))).otherwise(0.0))
         both = both.where((n / toxic >= LIFT * (m + 0.5) / clean) & (ratio >= SURE))
-        mined = both.select("stem").toArrow()["stem"].to_numpy().view(U64)
+        surest = both.orderBy(ratio.desc(), "stem").limit(LEXICON)
+        mined = surest.select("stem").toArrow()["stem"].to_numpy().view(U64)
         save.drop(top)
+    lexicon = labelled.sparkSession.sparkContext.broadcast(mined)
 
     def read(parts):
-        reader = Reader(mined)
+        reader = Reader(lexicon.value)
         for batch in batches(parts):
             m = reader.measure(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x.tobytes() for x in m], pa.binary())], ["toxic", "measures"])

@@ -1,7 +1,12 @@
+import collections
+import math
 import os
+import re
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glimmer.llm import toxicity
 
@@ -13,10 +18,64 @@ def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     found = toxicity.predict_held_out(docs, labels)
     assert found.columns == ["doc_id", "held_out", "score", "predicted"] and found.count() == docs.count()
-    rows = found.join(labels.where("quality = 1"), "doc_id").where("held_out").collect()
+    rows = found.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("held_out").collect()
     assert sum(r["toxic"] == r["predicted"] for r in rows) >= 0.93 * len(rows)
 
 
+def beginnings(text):
+    """For each word, its beginnings by length, the whole word first."""
+    for word in re.findall(rb"[a-z\x80-\xff]+", text.lower().encode("utf-8", "replace")):
+        yield [(n, word[:n] if n else word) for n in toxicity.STEMS if len(word) >= n]
+
+
+def hashed(n, stem):
+    return int(next(toxicity.Reader().stems([stem], (n,)))[2][0])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_query_against_brute_force(spark, monkeypatch):
+    """The lexicon, every measure and every score of the query, counted again by loops over whole texts."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    models = []
+    learn = toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda *a: models.append(learn(*a)) or models[-1])
+    got = {r["doc_id"]: r for r in toxicity.predict_held_out(docs, labels).collect()}
+    model = models[0]
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in texts}
+    toxic_of = {}
+    for r in labels.collect():
+        if r["doc_id"] in texts and not held[r["doc_id"]] and r["toxic"] is not None:
+            toxic_of[r["doc_id"]] = max(r["toxic"], toxic_of.get(r["doc_id"], 0))
+    counts = [collections.Counter(), collections.Counter()]
+    for i, y in toxic_of.items():
+        counts[y].update({b for word in beginnings(texts[i]) for b in word})
+    toxic = sum(toxic_of.values())
+    clean, lexicon = len(toxic_of) - toxic, set()
+    for b, n in counts[1].items():
+        m, share = counts[0][b], toxic / len(toxic_of)
+        ratio = 2 * (n * math.log(n / ((n + m) * share)) + (m * math.log(m / ((n + m) * (1 - share))) if m else 0))
+        if n >= toxicity.LEAST_DOCUMENTS and n / toxic >= toxicity.LIFT * (m + 0.5) / clean and ratio >= toxicity.SURE:
+            lexicon.add(b)
+    codes = {b: hashed(*b) for b in lexicon}
+    assert lexicon and sorted(codes.values()) == sorted(model.lexicon.tolist())
+    assert got.keys() == texts.keys() and {i: r["held_out"] for i, r in got.items()} == held
+    for i, text in texts.items():
+        hits = [found[-1] for word in beginnings(text) if (found := [b for b in word if b in lexicon])]
+        banks = collections.Counter(int(toxicity.mix(np.array([codes[b]], np.uint64))[0] % np.uint64(toxicity.BANKS)) for b in hits)
+        row = [len(text.split()), len(hits), len(set(hits)), text.count("!"), sum(map(str.isupper, text)) / max(1, len(text)), text.count("\n") + 1]
+        x = toxicity.features(np.array([row + [banks[b] for b in range(toxicity.BANKS)]], float))[0]
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ model.weights)))))
+        assert abs(p - got[i]["score"]) < 1e-9 and got[i]["predicted"] == (got[i]["score"] >= 0.5), i
+
+
+def test_lexicon_keeps_the_surest_beyond_its_size(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEXICON", 3)
+    labelled = spark.createDataFrame([("zorg" + (" plim" if i < 6 else "") + " and", 1) for i in range(30)] + [("and nothing", 0)] * 300, "text string, toxic int")
+    model = toxicity.learn(labelled)
+    assert len(model.lexicon) == 3 and learned(model, "zorg") and not learned(model, "plim")
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(1)
     y = (rng.random(4000) < 0.3).astype(int)
