@@ -232,14 +232,18 @@ def jaccard_components(docs: DataFrame, percent: int = 80, rows_per_bucket: int
     labels = save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     save.drop(links)
 
-    # Groups of three or more whose nodes are not yet in one component: pairs of different components there.
+    # Groups whose nodes are not yet in one component: pairs of different components there.
     placed = groups.join(labels.withColumnRenamed("u", "node"), "node", "left").select("key", "hub", "node", F.coalesce("component", "node").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("main.n < all AND all > 2")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.min("node").alias("a"), F.max("node").alias("b")).where("main.n < all")
+    sizes = save(sizes)
+    # Those of two nodes are pairs as they are: one that the few centres of both left out is compared here.
+    twos = save(sizes.where("all = 2").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select("key", F.col("main.component").alias("main"), blocks(F.col("main.n")).alias("m"), blocks(F.col("all") - F.col("main.n")).alias("k"))
-    mixed = save(placed.join(sizes, "key"))
-    save.drop(groups, grouped)
+    large = sizes.where("all > 2").select("key", F.col("main.component").alias("main"), blocks(F.col("main.n")).alias("m"), blocks(F.col("all") - F.col("main.n")).alias("k"))
+    mixed = save(placed.join(large, "key"))
+    save.drop(groups, grouped, sizes)
+    more = save(_passing(_joined(twos, sketches, "own"), near))
     if mixed.take(1):
         # Blocks 0 ... m-1 have the largest component, the k after them the rest; every pair of blocks with one of the rest is a cell.
         is_main = F.col("component") == F.col("main")
@@ -252,10 +256,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80, rows_per_bucket: int
         task = F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("key"), F.col("cuts"))), F.lit(tasks))
         spread = mixed.join(cuts, "hub").select(task.alias("task"), "key", "node", "component", own.alias("own"), F.explode(cells).alias("cell")).join(nodes.select("node", "n_shingles", "sketch"), "node")
         spread = spread.select("task", "key", "cell.i", "cell.j", "own", "node", "component", "n_shingles", "sketch")
-        more = save(spread.groupBy("task").applyInArrow(_compare(percent), "a long, b long").distinct())
-        links = confirmed(more.join(pairs, ["a", "b"], "left_anti"))
+        found = save(spread.groupBy("task").applyInArrow(_compare(percent), "a long, b long").distinct())
+        more = found.join(pairs, ["a", "b"], "left_anti").union(more).distinct()
+    if more.take(1):
+        links = confirmed(more)
         labels = save(components(labels.select("u", F.col("component").alias("v")).union(links.select("a", "b"))))
-        save.drop(more, links)
+        save.drop(links)
     whole = save(nodes.select("set_key", "node").join(labels.withColumnRenamed("u", "node"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component")))
     save.drop(rows, nodes, pairs, mixed, labels)
     return slim.join(whole, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

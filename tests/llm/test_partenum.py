@@ -57,6 +57,28 @@ def test_large_group_of_near_copies_is_hot(spark):
     assert result(partenum.jaccard_components(docs)) == want(rows)
 
 
+def test_groups_of_two_are_compared_whatever_the_centres(spark):
+    """The last two texts are linked, meet in groups of the two alone, and neither is among the few centres that the other is paired with."""
+    one = [f"w{i}" for i in range(40)]
+    two = [*one[1:38], "y0.44370900552695813", "w39", "x0.6869719531756391", "x0.5962110982339794"]
+    edits = [
+        {6: "e0.3188352290297036", 16: "e0.7566434921026768", 30: "e0.9257864752046526"},
+        {2: "e0.5047354679649547", 18: "e0.8165840352127958", 32: "e0.21739691862933253", 36: "e0.4996199052325645", 39: "e0.46376471011871623"},
+        {5: "e0.19195895296847598", 23: "e0.5584048882985104", 36: "e0.4724290268059408"},
+        {0: "e0.9693606225876774", 12: "e0.48436942119950765", 27: "e0.885335253935772", 29: "e0.9206819014071564"},
+        {7: "e0.02942573062240239", 8: "e0.8573031250982401", 10: "e0.14270767104047155", 22: "e0.8836176855629609"},
+        {12: "e0.5459341875616391", 28: "e0.8972017263809773"},
+        {7: "e0.6908162062937624", 12: "e0.588431112417003", 13: "e0.8575683410423194", 14: "e0.2692555831313792", 18: "e0.2612483414910445"},
+        {5: "e0.31077684318420606", 9: "e0.09989947231962515", 10: "e0.6868271737745874", 27: "e0.11486749909072913"},
+    ]
+    rows = []
+    for base, some in [*((one, e) for e in edits[:4]), *((two, e) for e in edits[4:]), (one, {}), (two, {})]:
+        rows.append((len(rows), " ".join(some.get(i, w) for i, w in enumerate(base))))
+    found = want(rows)
+    assert found[8][2] == found[9][2]
+    assert result(partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == found
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 4, 6, 9, 20, 45, 130, 700])
 def test_linked_sets_share_a_signature(size):
     """Pairs at the bound, of any sizes that can be linked, share one; whatever hashes their features have."""
