@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from glimmer.plans.queries import ORACLE_SQL, QUERIES
+from glimmer.sources import testdata
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +48,12 @@ def test_reconciliations_are_not_empty_and_agree(spark):
         if "agree" in df.columns:
             rows = df.select("agree").collect()
             assert rows and all(r["agree"] for r in rows), name
+
+
+@pytest.mark.parametrize("name", ["video_type"])
+def test_dropdowns_of_a_large_catalogue_are_whole(spark, monkeypatch, name):
+    """The SQL has no limit: of 1500 values in the catalogue, watched or not, none is missing; and they come in order."""
+    catalogue = spark.range(1500).selectExpr("id AS content_id", "'t' || id AS title", "'v' || id AS video_type", "'c' || id AS category")
+    monkeypatch.setattr(testdata, "content", lambda spark, sf_dir: catalogue)
+    monkeypatch.setattr(testdata, "landing", lambda spark, sf_dir: None)
+    assert [r[0] for r in QUERIES[f"dropdown_{name}"](spark, "").collect()] == sorted(f"{name[0]}{i}" for i in range(1500))
