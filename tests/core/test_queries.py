@@ -50,7 +50,7 @@ def test_reconciliations_are_not_empty_and_agree(spark):
             assert rows and all(r["agree"] for r in rows), name
 
 
-@pytest.mark.parametrize("name", ["video_type"])
+@pytest.mark.parametrize("name", ["video_type", "category"])
 def test_dropdowns_of_a_large_catalogue_are_whole(spark, monkeypatch, name):
     """The SQL has no limit: of 1500 values in the catalogue, watched or not, none is missing; and they come in order."""
     catalogue = spark.range(1500).selectExpr("id AS content_id", "'t' || id AS title", "'v' || id AS video_type", "'c' || id AS category")
