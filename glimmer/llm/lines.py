@@ -42,6 +42,8 @@ from glimmer.llm.text import U64, Hasher, batches, encoded, mix, pieces
 TABLE_BITS, SLICES = 22, 64
 #: First bits of a word's hash that its index entries are made from, and lines whose words are sorted at once: in 64 bits, with 8 of the frequency code.
 WORD_BITS, AT_ONCE = 44, 1 << 12
+#: Bytes of text that are hashed at once, so few that the arrays of 8 bytes for each stay in a CPU's cache.
+CACHED = 1 << 17
 #: Index entries in a range of words, those of one word beyond which it is compared in blocks, and pairs that are tested at once.
 RANGE, HOT, WIDE = 1 << 18, 1 << 19, 1 << 19
 #: Sets of up to so many words have sketches of 1, 2 and 4 times 64 bits, larger ones of 16 times.
@@ -50,6 +52,8 @@ SIZES, WIDTHS = (40, 88, 400), (1, 2, 4, 16)
 SURE = (300, 750)
 #: Candidates that a set keeps of a cell at first: surely near, probably, or neither.
 FIRST = (2, 16, 256)
+#: Candidates of a later round that are all verified at once.
+FEW = 1 << 18
 _ID = [("doc", "<i8"), ("row", "<i8"), ("line", "<i4")]
 ENTRY = np.dtype([("word", "<u4"), *_ID, ("size", "<u4"), ("place", "<u4"), ("code", "u1"), ("side", "u1"), ("open", "u1")])
 KEY = np.dtype([("a", "<u8"), ("b", "<u8"), *_ID])
@@ -71,7 +75,7 @@ class Lines:
         starts = np.cumsum(counts) - counts
         doc = np.repeat(np.arange(len(texts)), counts)
         hashes, at, before, known = [np.zeros(0, U64)], [np.zeros(0, np.int64)], -1, 0
-        for first, buf, edges in pieces(texts):
+        for first, buf, edges in pieces(texts, CACHED):
             # A piece of a long text goes on where the one before it ended; what joins texts is a line's end.
             base = known if first == before else int(starts[first])
             begin, end = hasher.bounds(buf)
@@ -385,9 +389,13 @@ def near_enough(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
     return 100 * both >= percent * (n + m - both)
 
 
-def _word_slices(counts: np.ndarray) -> list[tuple[int, bytes]]:
-    """The non-zero counts of each slice of the table: numbers within it (2 bytes), then counts (4)."""
-    return [(i, _packed_counts(c)) for i, c in enumerate(counts.reshape(SLICES, -1)) if c.any()]
+def _word_slices(words: np.ndarray) -> list[tuple[int, bytes]]:
+    """The non-zero counts of the words' slots in each slice of the table: numbers within it (2 bytes), then counts (4)."""
+    slots = np.sort((words >> U64(64 - TABLE_BITS)).astype(np.uint32))
+    starts = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])) if len(slots) else np.zeros(0, np.int64)
+    slots, counts, wide = slots[starts], np.diff(np.append(starts, len(slots))), (1 << TABLE_BITS) // SLICES
+    edges = np.searchsorted(slots, np.arange(SLICES + 1) * wide).tolist()
+    return [(i, (slots[a:b] - np.uint32(i * wide)).astype("<u2").tobytes() + counts[a:b].astype("<u4").tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
 
 
 def _packed_counts(counts: np.ndarray) -> bytes:
@@ -475,7 +483,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
         keys = dict(zip(KEY.names, (*digests.T, docs[lines.doc[at]], names[lines.doc[at]], lines.number[at]), strict=True))
         edges = np.searchsorted(dealt[order], np.arange(key_ranges + 1)).tolist()
         out = [{"range": i, "packed": pack({n: c[a:b] for n, c in keys.items()})} for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-        out += [{"slice": i, "packed": p} for i, p in _word_slices(np.bincount(slot(lines.words), minlength=1 << TABLE_BITS))]
+        out += [{"slice": i, "packed": p} for i, p in _word_slices(lines.words)]
         if len(again):
             out.append({"part": table["part"][0].as_py(), "rows": lines.doc[again], "lines": lines.number[again]})
         return pa.Table.from_pylist(out, scanned)
@@ -545,15 +553,15 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
 
         return run
 
-    def mark(data, wanted):
-        """The slots of the words that the wanted lines are indexed under, as bits of each slice."""
-        if not data.num_rows or not wanted.num_rows:
-            return slots.empty_table()
-        data, docs, names = opened(data)
-        lines = Lines.some(encoded(data["text"]), Hasher(), *marked(wanted))
-        found = np.concatenate([e["word"] for e, _ in index_entries(lines, docs, names, table.value, percent)])
-        bits = np.bincount(found >> (32 - TABLE_BITS), minlength=1 << TABLE_BITS).reshape(SLICES, -1) > 0
-        return pa.table([pa.array(range(SLICES), pa.int32()), pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())], schema=slots)
+    def mark(parts):
+        """The slots of the words that sets (row, line, words) are indexed under, as bits of each slice."""
+        for batch in batches(parts):
+            sets = batch.column("words").to_pylist()
+            n, nowhere = np.array([len(x) // 8 for x in sets], np.int64), np.zeros(len(sets), np.int64)
+            lines = Lines(nowhere, nowhere, np.frombuffer(b"".join(sets), U64), np.repeat(np.arange(len(sets)), n))
+            found = np.concatenate([e["word"] for e, _ in index_entries(lines, nowhere, nowhere, table.value, percent)])
+            bits = np.bincount(found >> (32 - TABLE_BITS), minlength=1 << TABLE_BITS).reshape(SLICES, -1) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())], schema=slots)
 
     def either(data):
         bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in data["bits"].to_pylist()])
@@ -568,18 +576,21 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
 
     def test(parts):
         for batch in batches(parts):
-            yield batch.select(["row", "line"]).filter(pa.array(near_enough(batch.column("x").to_pylist(), batch.column("y").to_pylist(), percent)))
+            x = batch.column("x").to_pylist()
+            ok = near_enough(x, batch.column("y").to_pylist(), percent)
+            out = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("line"), pa.array(x, pa.binary(), mask=ok)], ["row", "line", "words"])
+            yield out.filter(pc.or_(pa.array(ok), batch.column("more")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The later lines (row, line) of the pairs that are similar on full sets."""
-        pairs = save(pairs.select("row", "line", "row2", "line2"))
+        """(row, line, words) of the pairs' later lines: words are null where the pair is similar on full sets, else those of a set that has `more`."""
+        pairs = save(pairs.select("row", "line", "row2", "line2", "more"))
         wanted = listed(pairs.select("row", "line").union(pairs.select("row2", "line2")).distinct())
         sets = save(texts.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(give, "row long, line int, words binary"))
         both = pairs.join(sets.withColumnRenamed("words", "x").hint("shuffle_merge"), ["row", "line"])
         both = both.join(sets.select(F.col("row").alias("row2"), F.col("line").alias("line2"), F.col("words").alias("y")).hint("shuffle_merge"), ["row2", "line2"])
-        passed = save(both.select("row", "line", "x", "y").mapInArrow(test, "row long, line int").distinct())
+        tested = save(both.select("row", "line", "x", "y", "more").mapInArrow(test, "row long, line int, words binary").distinct())
         save.drop(sets, pairs)
-        return passed
+        return tested
 
     sent_schema = pa.schema([("cell", pa.int64()), ("crossing", pa.bool_()), ("packed", pa.binary())])
     pairs_schema = pa.schema([("row", pa.int64()), ("line", pa.int32()), ("row2", pa.int64()), ("line2", pa.int32()), ("far", pa.int32()), ("more", pa.bool_())])
@@ -587,23 +598,30 @@ def dedup_lines(docs: DataFrame, percent: int = 75, as_digest: bool = False, car
     slots = pa.schema([("slice", pa.int32()), ("bits", pa.binary())])
     kinds = "row long, line int, row2 long, line2 int, far int, more boolean"
     skip = gone.withColumn("searching", F.lit(False))
-    near, low, high, asked = None, 0, 1, None
+    near, low, high, asked, failed = None, 0, 1, None, None
     while True:
         sent = texts.groupBy("part").cogroup(skip.groupBy("part")).applyInArrow(sender(asked), "cell long, crossing boolean, packed binary")
         pairs = save(sent.groupBy("cell").applyInArrow(partners(low, high), kinds))
         closest = save(pairs.groupBy("row", "line").agg(F.min(F.struct("far", "row2", "line2")).alias("c"), F.count("*").alias("n"), F.max("more").alias("more")).select("row", "line", "c.row2", "c.line2", "n", "more"))
-        passed = verified(closest)
-        others = pairs.join(closest.where("n > 1").select("row", "line"), ["row", "line"], "left_semi").join(passed, ["row", "line"], "left_anti")
-        others = save(others.select("row", "line", "row2", "line2").distinct().join(closest, ["row", "line", "row2", "line2"], "left_anti"))
-        if others.take(1):
-            passed = passed.union(verified(others))
+        # Of later rounds' sets the closest one hardly ever passes: if there are few candidates, all are verified at once.
+        few = failed is not None and pairs.count() <= FEW
+        passed = verified(pairs.select("row", "line", "row2", "line2", F.lit(False).alias("more")).distinct() if few else closest)
+        if failed is None:
+            failed = passed.where("words IS NOT NULL")  # all sets of later rounds are among these
+        passed = passed.where("words IS NULL").select("row", "line")
+        if not few:
+            others = pairs.join(closest.where("n > 1").select("row", "line"), ["row", "line"], "left_semi").join(passed, ["row", "line"], "left_anti")
+            others = save(others.select("row", "line", "row2", "line2").distinct().join(closest, ["row", "line", "row2", "line2"], "left_anti"))
+            if others.take(1):
+                passed = passed.union(verified(others.withColumn("more", F.lit(False))).select("row", "line"))
+            save.drop(others)
         near = save(passed if near is None else near.union(passed).distinct())
         left = save(closest.where("more").select("row", "line").join(near, ["row", "line"], "left_anti"))
-        save.drop(pairs, closest, others)
+        save.drop(pairs, closest)
         if not left.take(1):
             break
         # Sets that are still open ask for the entries of all sets under their words again.
-        bits = texts.groupBy("part").cogroup(listed(left).groupBy("part")).applyInArrow(mark, "slice int, bits binary")
+        bits = failed.join(left.hint("shuffle_merge"), ["row", "line"], "left_semi").mapInArrow(mark, "slice int, bits binary")
         bits = bits.groupBy("slice", F.pmod(F.xxhash64("bits"), F.lit(64))).applyInArrow(either, "slice int, bits binary").groupBy("slice").applyInArrow(either, "slice int, bits binary")
         flags = {r["slice"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool) for r in bits.collect()}  # SLICES rows, 0.5 MB
         asked = spark.sparkContext.broadcast(np.concatenate([flags[i] for i in range(SLICES)]))

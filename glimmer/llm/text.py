@@ -110,20 +110,21 @@ class Hasher:
                 yield np.zeros(0, U64)
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, bytes, byte offset of each text and of the end), about PIECE bytes each.
+def pieces(texts: list[bytes], most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, bytes, byte offset of each text and of the end), about PIECE bytes each, or `most` if that is less.
 
     A text longer than a piece comes in several pieces, each ending between words.
     """
+    piece = min(most or PIECE, PIECE)
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
-        if held and size + len(text) > PIECE:
+        if held and size + len(text) > piece:
             yield first, *_joined(held)
             first, held, size = i, [], 0
-        if len(text) > PIECE:
+        if len(text) > piece:
             at = 0
             while at < len(text):
-                end = min(at + PIECE, len(text))
+                end = min(at + piece, len(text))
                 while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
                     end += 1
                 yield i, *_joined([text[at:end]])

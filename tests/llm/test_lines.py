@@ -149,3 +149,17 @@ def test_batches_of_very_different_line_counts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"], r["n_lines"] - n, r["n_removed"]) for r, n in zip(lines.dedup_lines(docs, as_digest=True).orderBy("doc_id").collect(), (2, 9000, 200, 40), strict=True))
     assert got == [r[:3] for r in brute(short)]
+
+
+def test_later_rounds_read_the_texts_twice(spark, monkeypatch):
+    """A later round reads all texts for its entries and once for its pairs; what it asks for comes from words that are there."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    passes, plain = [], PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: passes.append(f.__name__) or plain(self, f, schema))
+    monkeypatch.setattr(lines, "FIRST", (1, 1, 1))
+    rows = edits(75, 60, 60, 14)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(lines.dedup_lines(docs, as_digest=True)) == brute(rows)
+    assert passes[-1] == "finish" and passes.count("send") > 1
+    assert set(passes) == {"send", "give", "finish"} and len(passes) <= 2 * passes.count("send") + 2, passes
