@@ -14,13 +14,18 @@ shared by all sorts of sets.  It is left out, and there are some more partitions
 the bound asks for: linked sets agree in several of them, and could miss each other
 only if in as many partitions the set has a pair of empty parts.  Such a set can
 only miss sets of its kind, so those sign once more, with other hashes, and
-again if need be; those left in the last round sign empty parts as well.
+again if need be; those left in the last round sign empty parts as well.  A set
+too small to be linked with any but its equals, which are one node, signs nothing.
 
 Sets that share signatures are candidates, linked when their full sets say so.
 Each group has a centre, and a set is first paired with a few centres of its
 groups; where a group's sets aren't in one component after that, all its pairs of
 different components are compared by sketches, in blocks, and near pairs are
-confirmed in the same way, so no link is lost to the choice of centres.
+confirmed in the same way, so no link is lost to the choice of centres.  A centre's
+groups are mostly of the same sets, one for each signature: they are compared as
+one where that makes no more pairs than they have, and so are those of centres
+that lead to the same one.  What a task holds at once is
+bounded: a group with many rows has its cells in tasks of their own.
 """
 
 from __future__ import annotations
@@ -42,13 +47,17 @@ PARTS = 3
 SPARE, ROUNDS = 1.1, 6
 #: The smallest hashes of a set kept for the comparison of blocks, 4 bytes each, and by how much their estimate may miss the
 #: similarity (6 standard deviations); sets of no more are compared by all of theirs.
-LEAST, SLACK = 256, 0.15
+LEAST, SLACK = 512, 0.11
 #: Sets of a group that are compared at once, sets whose signatures are sent at once, and how many of those make a signature hot.
 BLOCK, SETS, HOT = 2048, 2000, 32
 #: Centres that a set is paired with before whole groups are looked at.
 CENTRES = 3
-#: Rows of cells that a task compares, about.
-CELL_ROWS = 40_000
+#: Times that centres are led on to the centres of their own groups before whole groups are compared; each doubles the steps.
+JUMPS = 2
+#: Rows of cells that are compared at once, about; a group with more has its cells dealt one by one.
+CELL_ROWS = 4096
+#: Shared hashes and sets of a block that a cell looks at in one step, and candidates that are held before they are looked at.
+WIDTH, STRIP, HELD = 512, 256, 1 << 20
 _HASHED = U64(0x5851F42D4C957F2D)
 
 
@@ -65,6 +74,11 @@ def bound(high: int, percent: int) -> int:
     return 2 * high * (100 - percent) // (100 + percent)
 
 
+def alone(size: int, percent: int) -> bool:
+    """Whether sets of this size are linked with equal ones only: the most alike of all others has one feature more."""
+    return 100 * size < percent * (size + 1)
+
+
 def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
     """All signatures of a non-empty set of sorted hashes: for its own band and for the next."""
     number, high = band(len(shingles), percent)
@@ -110,9 +124,17 @@ def estimate(one: np.ndarray, other: np.ndarray, whole: bool) -> float:
     return float((both[1:][again] <= last).sum()) / LEAST
 
 
+def _enough(both, n, m, percent: int):
+    """Whether sets of n and m that share so many 32 bits may be linked: two of a set that are equal by chance may have been counted once."""
+    return (both >= (percent / 100 - 0.03) * (n + m - both)) & (100 * (both + 2) >= percent * (n + m - both - 2))
+
+
 def _may_link(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
-    whole = n <= LEAST and m <= LEAST
-    return 100 * min(n, m) >= percent * max(n, m) and estimate(x, y, whole) >= percent / 100 - (0.03 if whole else SLACK)
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    if n <= LEAST and m <= LEAST:
+        return bool(_enough(n + m - len(np.union1d(x, y)), n, m, percent))
+    return estimate(x, y, False) >= percent / 100 - SLACK
 
 
 def matched(nodes: np.ndarray, signed: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +203,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, rows_per_bucket: int
         for batch in batches(parts, SETS):
             ids, signed = batch.column("doc_id").to_numpy(), []
             for s in shingle_sets(encoded(batch.column("text")), hasher):
-                signed.append(signatures(s, percent) if len(s) else np.zeros(0, U64))
+                signed.append(np.zeros(0, U64) if alone(len(s), percent) else signatures(s, percent))
             flat, who = np.concatenate(signed), np.repeat(np.argsort(np.argsort(ids, kind="stable")), [len(x) for x in signed])
             ids = np.sort(ids)
             # Of a signature that many sets of the batch have, the first set stands for all where signatures meet.
@@ -226,8 +248,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, rows_per_bucket: int
     hubs = groups.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("hub"))
     groups = save(groups.join(hubs, "key").select("key", "node", (-F.col("hub.least")).alias("hub"), F.col("hub.met").alias("met")))
     best = F.slice(F.sort_array(F.collect_set(F.struct("met", "hub")), asc=False), 1, CENTRES)
-    stars = groups.where("hub <> node").groupBy("node").agg(best.alias("best")).select("node", F.explode("best.hub").alias("hub"))
-    pairs = save(stars.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+    stars = save(groups.where("hub <> node").groupBy("node").agg(best.alias("best")))
+    pairs = save(stars.select("node", F.explode("best.hub").alias("hub")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
     links = confirmed(_passing(_joined(pairs, sketches, "own"), near))
     labels = save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     save.drop(links)
@@ -239,25 +261,18 @@ def jaccard_components(docs: DataFrame, percent: int = 80, rows_per_bucket: int
     sizes = save(sizes)
     # Those of two nodes are pairs as they are: one that the few centres of both left out is compared here.
     twos = save(sizes.where("all = 2").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    large = sizes.where("all > 2").select("key", F.col("main.component").alias("main"), blocks(F.col("main.n")).alias("m"), blocks(F.col("all") - F.col("main.n")).alias("k"))
-    mixed = save(placed.join(large, "key"))
+    mixed = save(placed.join(sizes.where("all > 2").select("key", "all"), "key"))
     save.drop(groups, grouped, sizes)
     more = save(_passing(_joined(twos, sketches, "own"), near))
     if mixed.take(1):
-        # Blocks 0 ... m-1 have the largest component, the k after them the rest; every pair of blocks with one of the rest is a cell.
-        is_main = F.col("component") == F.col("main")
-        own = F.when(is_main, F.pmod(F.xxhash64("node"), F.col("m"))).otherwise(F.col("m") + F.pmod(F.xxhash64("node"), F.col("k"))).cast("int")
-        others = F.sequence(F.when(is_main, F.col("m")).otherwise(0), F.col("m") + F.col("k") - 1)
-        cells = F.transform(others, lambda i: F.struct(F.least(own, i).alias("i"), F.greatest(own, i).alias("j")))
-        # Cells are small and many: a task looks at those of some centres, so that it meets a pair of theirs once; a centre with many rows is cut by key.
-        tasks = max(1, math.ceil(mixed.count() / CELL_ROWS))
-        cuts = mixed.groupBy("hub").agg(F.ceil(F.count("*") / CELL_ROWS).alias("cuts"))
-        task = F.pmod(F.xxhash64("hub", F.pmod(F.xxhash64("key"), F.col("cuts"))), F.lit(tasks))
-        spread = mixed.join(cuts, "hub").select(task.alias("task"), "key", "node", "component", own.alias("own"), F.explode(cells).alias("cell")).join(nodes.select("node", "n_shingles", "sketch"), "node")
-        spread = spread.select("task", "key", "cell.i", "cell.j", "own", "node", "component", "n_shingles", "sketch")
+        cells = _cells(save, mixed, stars.select(F.col("node").alias("hub"), F.col("best")[0]["hub"].alias("top")))
+        tasks = max(1, math.ceil(cells.count() / CELL_ROWS))
+        task = F.pmod(F.xxhash64("hub", "key", F.when(F.col("cut"), F.col("cell"))), F.lit(tasks))
+        spread = cells.select(task.alias("task"), "hub", "key", "cell.i", "cell.j", "own", "node", "component").join(nodes.select("node", "n_shingles", "sketch"), "node")
         found = save(spread.groupBy("task").applyInArrow(_compare(percent), "a long, b long").distinct())
         more = found.join(pairs, ["a", "b"], "left_anti").union(more).distinct()
+        save.drop(cells)
+    save.drop(stars)
     if more.take(1):
         links = confirmed(more)
         labels = save(components(labels.select("u", F.col("component").alias("v")).union(links.select("a", "b"))))
@@ -278,6 +293,37 @@ def _packed(flat: np.ndarray, who: np.ndarray, ids: np.ndarray, bits: int):
         yield int(span[a]), ids[own].astype("<i8").tobytes(), n.astype("<u4").tobytes(), flat[a:b].astype("<u4").tobytes(), (flat[a:b] >> U64(32)).astype("<u2").tobytes()
 
 
+def _cells(save: Saved, mixed: DataFrame, tops: DataFrame) -> DataFrame:
+    """hub, key, cell, own, node, component, cut: the blocks that the sets of mixed(key, hub, node, component, all) are compared in; all: the sets of a key.
+
+    tops(hub, top): the best centre of a set's groups, itself left out.  Groups of a centre become one (key 0), and those of
+    all centres that lead to the same one (key 1), where that makes no more pairs.  cut: the group has more than CELL_ROWS rows.
+    """
+    hubs = save(tops.join(mixed.select("hub").distinct(), "hub", "left_semi"))
+    for _ in range(JUMPS):
+        further = save(hubs.join(hubs.select(F.col("hub").alias("top"), F.col("top").alias("next")), "top", "left").select("hub", F.coalesce("next", "top").alias("top")))
+        save.drop(hubs)
+        hubs = further
+    sets = save(mixed.groupBy("hub", "node").agg(F.sum("all").alias("pairs")).join(hubs, "hub", "left").select("hub", F.coalesce("top", "hub").alias("top"), "node", "pairs"))
+    by_hub = sets.groupBy("hub", "top").agg(F.count("*").alias("n"), F.sum("pairs").alias("pairs")).selectExpr("hub", "top", "n * n <= pairs AS as_one", "least(n * n, pairs) AS pairs")
+    by_top = sets.select("top", "node").distinct().groupBy("top").agg(F.count("*").alias("n")).join(by_hub.groupBy("top").agg(F.sum("pairs").alias("pairs")), "top")
+    as_one = save(by_hub.join(by_top.selectExpr("top", "n * n <= pairs AS at_top"), "top").where("as_one OR at_top").selectExpr("hub", "if(at_top, top, hub) AS centre", "if(at_top, 1L, 0L) AS one"))
+    groups = save(mixed.join(as_one, "hub", "left").select(F.coalesce("centre", "hub").alias("hub"), F.coalesce("one", "key").alias("key"), "node", "component").distinct())
+    save.drop(hubs, sets, as_one)
+    sizes = groups.groupBy("hub", "key", "component").agg(F.count("*").alias("n")).groupBy("hub", "key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    n, rest = F.col("main.n"), F.col("all") - F.col("main.n")
+    m, k = (F.ceil(x / BLOCK).cast("int") for x in (n, rest))
+    sizes = sizes.select("hub", "key", F.col("main.component").alias("main"), m.alias("m"), k.alias("k"), (n * k + rest * (m + k) > CELL_ROWS).alias("cut"))
+    # Blocks 0 ... m-1 have the largest component, the k after them the rest; every pair of blocks with one of the rest is a cell.
+    is_main = F.col("component") == F.col("main")
+    own = F.when(is_main, F.pmod(F.xxhash64("node"), F.col("m"))).otherwise(F.col("m") + F.pmod(F.xxhash64("node"), F.col("k"))).cast("int")
+    others = F.sequence(F.when(is_main, F.col("m")).otherwise(0), F.col("m") + F.col("k") - 1)
+    cells = F.transform(others, lambda i: F.struct(F.least(own, i).alias("i"), F.greatest(own, i).alias("j")))
+    out = save(groups.join(sizes, ["hub", "key"]).select("hub", "key", F.explode(cells).alias("cell"), own.alias("own"), "node", "component", "cut"))
+    save.drop(groups)
+    return out
+
+
 def _shared(sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(row, value number) of the sketches' values that more than one of them has."""
     flat, row = np.concatenate(sketches), np.repeat(np.arange(len(sketches)), [len(x) for x in sketches])
@@ -293,16 +339,20 @@ def _candidates(least: list[np.ndarray], size: np.ndarray, ones: np.ndarray, oth
     """
     every, place = np.unique(np.concatenate([ones, others]), return_inverse=True)
     row, value = _shared([least[k] for k in every.tolist()])
-    both, width = np.zeros((len(ones), len(others)), np.float32), 2048
-    for begin in range(0, int(value.max(initial=-1)) + 1, width):
-        some = (value >= begin) & (value < begin + width)
-        there = np.zeros((len(every), min(width, int(value.max()) + 1 - begin)), np.float32)
+    both, values = np.zeros((len(ones), len(others)), np.float32), int(value.max(initial=-1)) + 1
+    for begin in range(0, values, WIDTH):
+        some = (value >= begin) & (value < begin + WIDTH)
+        there = np.zeros((len(every), min(WIDTH, values - begin)), np.float32)
         there[row[some], value[some] - begin] = 1
         both += there[place[: len(ones)]] @ there[place[len(ones) :]].T
-    n, m = size[ones][:, None], size[others][None, :]
-    fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-    whole = (n <= LEAST) & (m <= LEAST)
-    return fits & np.where(whole, both >= (percent / 100 - 0.03) * (n + m - both), both >= (percent / 100 - SLACK) * LEAST)
+    may = np.zeros(both.shape, bool)
+    for begin in range(0, len(ones), STRIP):
+        strip = slice(begin, begin + STRIP)
+        n, m = size[ones[strip]][:, None], size[others][None, :]
+        fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        whole = (n <= LEAST) & (m <= LEAST)
+        may[strip] = fits & np.where(whole, _enough(both[strip], n, m, percent), both[strip] >= (percent / 100 - SLACK) * LEAST)
+    return may
 
 
 def _compare(percent: int):
@@ -310,44 +360,60 @@ def _compare(percent: int):
     import pyarrow as pa
 
     def compare(table):
-        table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        key, i, j, own, component, size = (table[c].to_numpy() for c in ("key", "i", "j", "own", "component", "n_shingles"))
-        least = [np.frombuffer(x, "<u4") for x in table["sketch"].to_pylist()]
+        hub, key, i, j, own = (table[c].to_numpy() for c in ("hub", "key", "i", "j", "own"))
         node, row, place = np.unique(table["node"].to_numpy(), return_index=True, return_inverse=True)
-        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
-        # A pair is in many cells: it is looked at once.
-        found, held = [np.zeros(0, np.int64)], 0
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            ones, others = (a + np.flatnonzero(own[a:b] == x[a]) for x in (i, j))
-            if len(ones) and len(others):
-                may = _candidates(least, size, ones, others, percent) & (component[ones][:, None] != component[others][None, :])
-                x, y = np.nonzero(may)
-                x, y = place[ones[x]], place[others[y]]
-                found.append(np.minimum(x, y) * len(node) + np.maximum(x, y))
-                held += len(x)
-            if held > 1 << 22:
-                found = [np.unique(np.concatenate(found))]
-                held = 0
+        component, size = (table[c].to_numpy()[row] for c in ("component", "n_shingles"))
+        least = [np.frombuffer(table["sketch"][k].as_buffer(), "<u4") for k in row.tolist()]
+        order = np.lexsort((j, i, key, hub))
+        new = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in (hub, key, i, j)])
+        edges = np.flatnonzero(np.concatenate([[True], new, [True]]))
         root = {c: c for c in set(component.tolist())}
+        out = [np.zeros(0, np.int64)]
 
         def find(c):
             while root[c] != c:
                 root[c] = c = root[root[c]]
             return c
 
-        pairs: list[tuple[int, int]] = []
-        for pair in np.unique(np.concatenate(found)).tolist():
-            x, y = divmod(pair, len(node))
-            k, m = int(row[x]), int(row[y])
-            a, b = find(int(component[k])), find(int(component[m]))
-            if a == b or not _may_link(least[k], least[m], size[k], size[m], percent):
+        def near(codes):
+            for code in codes.tolist():
+                k, m = divmod(code, len(node))
+                a, b = find(int(component[k])), find(int(component[m]))
+                if a == b or not _may_link(least[k], least[m], size[k], size[m], percent):
+                    continue
+                # Sets that are linked even if two of their equal 32 bits belong to different shingles join components here.
+                if size[k] <= LEAST and size[m] <= LEAST:
+                    union = len(np.union1d(least[k], least[m]))
+                    if 100 * (int(size[k] + size[m]) - union - 2) >= percent * (union + 2):
+                        root[a] = b
+                yield code
+
+        def look(codes):
+            for begin in range(0, len(codes), 1 << 16):
+                out.append(np.fromiter(near(codes[begin : begin + (1 << 16)]), np.int64))
+
+        # A pair can be in many cells: it is looked at once, as long as no more are held than so many.
+        found, held = [np.zeros(0, np.int64)], 0
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            some = order[a:b]
+            ones, others = (place[some[own[some] == x[some[0]]]] for x in (i, j))
+            if not len(ones) or not len(others):
                 continue
-            # Sets that are linked even if two of their equal 32 bits belong to different shingles join components here.
-            if size[k] <= LEAST and size[m] <= LEAST:
-                union = len(np.union1d(least[k], least[m]))
-                if 100 * (int(size[k] + size[m]) - union - 2) >= percent * (union + 2):
-                    root[a] = b
-            pairs.append((int(node[x]), int(node[y])))
-        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+            may = _candidates(least, size, ones, others, percent)
+            for begin in range(0, len(ones), STRIP):
+                strip = ones[begin : begin + STRIP]
+                x, y = np.nonzero(may[begin : begin + STRIP] & (component[strip][:, None] != component[others][None, :]))
+                x, y = strip[x], others[y]
+                found.append(np.minimum(x, y) * len(node) + np.maximum(x, y))
+                held += len(x)
+                if held > HELD:
+                    found = [np.unique(np.concatenate(found))]
+                    held = len(found[0])
+                    if held > HELD // 2:
+                        look(found.pop())
+                        found, held = [np.zeros(0, np.int64)], 0
+        look(np.unique(np.concatenate(found)))
+        codes = np.concatenate(out)
+        return pa.table({"a": node[codes // len(node)], "b": node[codes % len(node)]})
 
     return compare

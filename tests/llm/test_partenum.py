@@ -79,6 +79,54 @@ def test_groups_of_two_are_compared_whatever_the_centres(spark):
     assert result(partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == found
 
 
+def watched(monkeypatch, test):
+    """What a task compares at once has to pass test(rows, smallest set)."""
+    made = partenum._compare
+
+    def compare_of(percent):
+        compare = made(percent)
+
+        def run(table):
+            rows, least = table.num_rows, min(table["n_shingles"].to_pylist())
+            if not test(rows, least):
+                raise ValueError(f"{rows} rows at once, sets of {least}")
+            return compare(table)
+
+        return run
+
+    monkeypatch.setattr(partenum, "_compare", compare_of)
+
+
+def test_a_large_family_is_dealt_over_tasks(spark, monkeypatch):
+    """300 edits of one text that are mostly not linked meet in hundreds of groups: no task holds more than a few cells at once."""
+    monkeypatch.setattr(partenum, "BLOCK", 20)
+    monkeypatch.setattr(partenum, "CELL_ROWS", 80)
+    watched(monkeypatch, lambda rows, least: rows <= 800)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for place in rng.sample(range(100), 3):
+            words[place] = f"e{i}x{place}"
+        rows.append((i, " ".join(words)))
+    found = want(rows)
+    assert 2 < len({r[2] for r in found}) < 300
+    assert result(partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == found
+
+
+def test_sets_too_small_for_links_are_not_compared(spark, monkeypatch):
+    """Sets of up to three shingles are linked with equal ones only: they need not meet, however many they are."""
+    for percent in (75, 80, 90, 100):
+        for n in range(1, 120):
+            links = [both for m in range(1, 2 * n + 2) for both in range(min(n, m) + 1) if (both < max(n, m)) and 100 * both >= percent * (n + m - both)]
+            assert partenum.alone(n, percent) == (not links)
+    watched(monkeypatch, lambda rows, least: least > 3)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1 + i % 7))) for i in range(200)]
+    rows += [(300 + i, " ".join([f"a{j}" for j in range(8)] + [f"b{i}"] * (i % 3))) for i in range(6)]
+    assert result(partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == want(rows)
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 4, 6, 9, 20, 45, 130, 700])
 def test_linked_sets_share_a_signature(size):
     """Pairs at the bound, of any sizes that can be linked, share one; whatever hashes their features have."""
